@@ -105,11 +105,11 @@ def connected_components(edges: DataFrame) -> Stored:
     maps: list[Stored] = []
     while current.df.limit(1).count():
         salt = len(maps)
-        rank = lambda c: F.struct(F.xxhash64(F.lit(salt), c), c)  # noqa: E731, B023
+        rank = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("h"), c.alias("v"))  # noqa: E731, B023
         both = current.df.unionByName(current.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("r"))
         best = F.least(F.col("r"), rank(F.col("a")))
-        maps.append(Stored(least.select(F.col("a").alias("node"), best[best_field(1)].alias("parent"))))
+        maps.append(Stored(least.select(F.col("a").alias("node"), best["v"].alias("parent"))))
         up = maps[-1].df
         moved = (
             current.df.join(up.withColumnsRenamed({"node": "a", "parent": "pa"}), "a")
@@ -132,6 +132,3 @@ def connected_components(edges: DataFrame) -> Stored:
         roots = following
     return roots
 
-
-def best_field(i: int) -> str:
-    return f"col{i + 1}"
