@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontam, packing, simhash, warc
+from tideline.llm import crf, decontam, packing, simhash, toxicity, warc
 from tideline.llm.common import read_table
 
 
@@ -15,6 +15,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    model = toxicity.learn(docs.where("not held_out"), read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    field = crf.learn(docs.where("not held_out"))
+    return crf.identify(docs.drop("lang"), field, keep=["doc_id", "held_out"])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,7 +46,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op6_packing, op7_warc, op9_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op5_language, op6_packing, op7_warc, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
