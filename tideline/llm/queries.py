@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import crf, decontam, packing, simhash, toxicity, warc
+from tideline.llm import bloomlm, crf, decontam, packing, simhash, toxicity, warc
 from tideline.llm.common import read_table
 
 
@@ -25,6 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+    return bloomlm.score(docs, docs.where("not held_out"), keep=["doc_id", "held_out"])
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
     field = crf.learn(docs.where("not held_out"))
@@ -46,7 +51,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op5_language, op6_packing, op7_warc, op9_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_bloom_lm, op5_language, op6_packing, op7_warc, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
