@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bloomlm, crf, decontam, packing, simhash, toxicity, warc
+from tideline.llm import bloomlm, crf, decontam, packing, quality, simhash, toxicity, warc
 from tideline.llm.common import read_table
 
 
@@ -50,8 +50,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(found)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_bloom_lm, op5_language, op6_packing, op7_warc, op9_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_bloom_lm, op5_language, op6_packing, op7_warc, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
