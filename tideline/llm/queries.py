@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bloomlm, crf, decontam, packing, quality, simhash, toxicity, warc
+from tideline.llm import bloomlm, crf, decontam, packing, pii, quality, simhash, toxicity, warc
 from tideline.llm.common import read_table
 
 
@@ -44,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(warc.write_bundles(read_table(spark, sf_dir, "pages")).df)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("span_list")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -55,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_bloom_lm, op5_language, op6_packing, op7_warc, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_bloom_lm, op5_language, op6_packing, op7_warc, op8_pii, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
