@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bloomlm, crf, decontam, packing, pii, quality, simhash, toxicity, warc
+from tideline.llm import bloomlm, crf, decontam, packing, pii, quality, simhash, toolchat, toxicity, warc
 from tideline.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
+def op3_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolchat.link(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
     return bloomlm.score(docs, docs.where("not held_out"), keep=["doc_id", "held_out"])
@@ -59,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_bloom_lm, op5_language, op6_packing, op7_warc, op8_pii, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_tool_chat, op4_bloom_lm, op5_language, op6_packing, op7_warc, op8_pii, op9_decontamination, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

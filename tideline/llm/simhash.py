@@ -297,6 +297,18 @@ def near_links(prints: DataFrame, tau: int = THRESHOLD, block: int = BLOCK) -> D
     return runs.mapInArrow(lambda batches: _links_of_runs(batches, tau), "a long, b long")
 
 
+def _groups(printed: DataFrame, tau: int) -> DataFrame:
+    """(fp, component_id, first) of rows with doc_id, row and fp: the component's least doc_id and the row that stands for it."""
+    stands = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = Stored(printed.groupBy("fp").agg(F.min(stands).alias("least"))).df
+    roots = connected_components(near_links(nodes, tau)).df
+    members = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
+    named = members.groupBy("root").agg(F.min("least").alias("named"))
+    labels = Stored(members.join(named, "root").select("fp", "named")).df
+    least = F.coalesce("named", "least")
+    return nodes.join(labels, "fp", "left").select("fp", least["doc_id"].alias("component_id"), least["row"].alias("first"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable), a row per row of docs.
 
@@ -305,13 +317,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     an empty table gives no rows; other columns play no part. Texts are read once; after that equal
     fingerprints are one row, so copies cost no links.
     """
-    printed = Stored(add_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"])).df
-    nodes = Stored(printed.groupBy("fp").agg(F.min("doc_id").alias("least"))).df
-    roots = connected_components(near_links(nodes, tau)).df
-    members = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
-    named = members.groupBy("root").agg(F.min("least").alias("named"))
-    labels = Stored(members.join(named, "root").select("fp", "named"))
-    return (
-        printed.join(nodes.join(labels.df, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id")), "fp")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    printed = Stored(add_fingerprint(rows, keep=["doc_id", "row"])).df
+    return printed.join(_groups(printed, tau), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest doc_id (null after all others), of equal rows one."""
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    printed = Stored(add_fingerprint(rows, keep=["d", "doc_id", "row"])).df
+    kept = _groups(printed.select("doc_id", "row", "fp"), tau).select(F.col("first").alias("row")).distinct()
+    return printed.join(kept, "row", "left_semi").select("d.*")
