@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,31 +20,67 @@ from tideline.llm.common import Stored, append_arrow
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Most distinct words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Distinct words whose ids a worker remembers before it turns its memory over.
+CACHE_WORDS = 400_000
+
+
+#: What the tokenizer file's splitter keeps as pieces.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Bytes as the byte-level alphabet writes them: printed ones as they are, the rest from U+0100 on.
+_ALPHABET = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class _Words(dict):
-    """Ids (little-endian uint32 bytes) by stretch between spaces; the tokenizer never joins across white space."""
+    """Ids (little-endian uint32 bytes) by stretch between spaces; the tokenizer never joins across white space.
+
+    A stretch that isn't known is normalised and split here and its pieces go to the tokenizer's model. One whose
+    normal form depends on more than its characters goes through the whole tokenizer. Of the words, those used
+    since the last turnover are kept.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        self.former: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in {",", "."} and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        elif not word.islower() and word.isalpha() and unicodedata.is_normalized("NFC", word) and not {"Σ", "İ"} & {*word} and (low := word.lower()) != word:
-            ids = self[low]
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.former[0].get(word)
+        if ids is None:
+            ids = self.look_up(word)
         self[word] = ids
         return ids
 
+    def look_up(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self.piece(word.lower())
+            if "<|" in word:
+                return self.whole(word)
+        elif not unicodedata.is_normalized("NFC", word) or "<|" in word or "Σ" in word or "İ" in word:
+            return self.whole(word)
+        return b"".join(map(self.piece, _PIECES.findall(word.lower())))
+
+    def piece(self, text: str) -> bytes:
+        ids = self.pieces.get(text) or self.former[1].get(text)
+        if ids is None:
+            plain = text.isascii() and text.isprintable()
+            found = self.model.tokenize(text if plain else text.encode().decode("latin-1").translate(_ALPHABET))
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        self.pieces[text] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
+            self.former = (dict(self), self.pieces)
+            self.pieces = {}
             self.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
