@@ -6,7 +6,7 @@ import json
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Stored, append_arrow
@@ -134,6 +134,11 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict] | None) -
 _ITEM = pa.struct([("kind", pa.string()), ("id", pa.string()), ("wrong", pa.string()), ("refs", pa.list_(pa.string())), ("args", pa.string()), ("id_json", pa.string()), ("tail", pa.string())])
 
 
+def _quoted_json(name: str) -> Column:
+    """A string column as JSON text, null as null."""
+    return F.coalesce(F.when(F.col(name).isNotNull(), F.regexp_extract(F.to_json(F.array(name)), r"^\[(.*)\]$", 1)), F.lit("null"))
+
+
 def link(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """A row per turn: conv_id, turn, role, n_calls, n_results, n_linked, n_invalid, level, message.
 
@@ -186,7 +191,7 @@ def link(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     told = joined.withColumns({"fault": wrong, "linked": linked}).select(
         "row", "place", "kind", "fault", "linked", F.coalesce("level", F.lit(0)).alias("level"),
         F.concat(
-            F.lit("{"), "args", F.when(F.col("fault").isNull(), F.lit("")).otherwise(F.concat(F.lit('"fault":'), F.regexp_extract(F.to_json(F.array("fault")), r"^\[(.*)\]$", 1), F.lit(","))),
+            F.lit("{"), "args", F.when(F.col("fault").isNull(), F.lit("")).otherwise(F.concat(F.lit('"fault":'), _quoted_json("fault"), F.lit(","))),
             F.lit('"id":'), "id_json", F.lit(',"linked":'), F.col("linked").cast("string"), "tail", F.lit("}"),
         ).alias("json"),
     )
@@ -199,7 +204,7 @@ def link(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     written = F.concat(
         F.lit('{"content":'), "content",
         F.when(F.col("written").isNotNull(), F.concat(F.lit(',"items":['), F.array_join("written", ","), F.lit("]"))).otherwise(F.lit("")),
-        F.lit(',"role":'), F.coalesce(F.get(F.split(F.to_json(F.struct(F.col("role").alias("r"))), '^\\{"r":|\\}$'), F.lit(1)), F.lit("null")),
+        F.lit(',"role":'), _quoted_json("role"),
         F.lit(',"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("}"),
     )
     return rows.join(per_turn, "row", "left").select("conv_id", "turn", "role", *map(none, ("n_calls", "n_results", "n_linked", "n_invalid", "level")), written.alias("message"))
