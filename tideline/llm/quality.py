@@ -21,14 +21,14 @@ GOOD_WEIGHT = 50
 #: Most strata whose cutoffs are broadcast; more are joined by shuffle.
 BROADCAST_STRATA = 10_000
 
-#: Metrics of 0 to 1 of which more is worse, from the features below.
-RULES: dict[str, Column] = {
-    "symbols": F.expr("n_symbols / greatest(word_chars, 1)"),
-    "bangs": F.expr("n_bangs / greatest(word_chars, 1)"),
-    "capitals": F.expr("n_capitals / greatest(word_chars, 1)"),
-    "duplicate_lines": F.expr("n_dup_lines / greatest(n_lines, 1)"),
-    "repeated_words": F.expr("n_repeat_words / greatest(n_words, 1)"),
-    "long_words": F.expr("least(1.0D, word_chars / greatest(n_words, 1) / 50.0D)"),
+#: SQL of metrics of 0 to 1 of which more is worse, from the features below.
+RULES: dict[str, str] = {
+    "symbols": "n_symbols / greatest(word_chars, 1)",
+    "bangs": "n_bangs / greatest(word_chars, 1)",
+    "capitals": "n_capitals / greatest(word_chars, 1)",
+    "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "repeated_words": "n_repeat_words / greatest(n_words, 1)",
+    "long_words": "least(1.0D, word_chars / greatest(n_words, 1) / 50.0D)",
 }
 
 
@@ -105,7 +105,7 @@ def cutoffs(labelled: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA)
     documents. Of the certified cutoffs that is taken which rejects most bad documents less GOOD_WEIGHT times
     the good ones, the highest of equals. A stratum with too few labels has no row and rejects nothing.
     """
-    metrics = F.array(*[F.struct(F.lit(k).alias("rule"), v.cast("double").alias("value")) for k, v in RULES.items()])
+    metrics = F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(v).cast("double").alias("value")) for k, v in RULES.items()])
     bins = labelled.select("stratum", "good", F.inline(metrics)).select(
         "stratum", "rule", "good", F.ceil(F.least(F.col("value"), F.lit(1.0)) * STEPS).cast("int").alias("bin")
     )
@@ -145,7 +145,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         wide = F.broadcast(wide)
     over = F.lit(False)
     for k, v in RULES.items():
-        over = over | F.coalesce(v > F.col(f"__{k}"), F.lit(False))
+        over = over | F.coalesce(F.expr(v) > F.col(f"__{k}"), F.lit(False))
     return known.join(wide, "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & ~over).alias("kept"),
