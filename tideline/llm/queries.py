@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bloomlm, crf, decontam, packing, pii, quality, simhash, toolchat, toxicity, warc
+from tideline.llm import bloomlm, crf, decontam, packing, pii, quality, simhash, sql, toolchat, toxicity, warc
 from tideline.llm.common import read_table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
