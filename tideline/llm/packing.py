@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import unicodedata
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -161,37 +162,44 @@ def configurations(demand: np.ndarray, capacity: int, rounds: int, eta: float) -
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16, rounds: int = 1500) -> list[tuple[int, dict[int, int]]]:
     """(how many sequences, {length: items in each}) that use up the histogram exactly.
 
-    Classes of grain tokens keep the program small at every size of input. Configurations are rounded down,
-    met with exact lengths (the fullest of a class first), and the gap that is left takes the longest length that
-    fits, again and again. What rounding leaves goes the same way, largest first (best fit decreasing).
+    Classes of grain tokens keep the program small at every size of input. Configurations are rounded down and
+    met with exact lengths (the fullest of a class first), one of them swapped for what fits tighter. What
+    rounding leaves is dealt out by best fit decreasing, over the rooms of those and of new sequences, equal
+    ones at a time: the work depends on the number of lengths and patterns, not of documents.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    made: list[tuple[int, dict[int, int]]] = []
+    made: list = []
 
     def longest(top: int) -> int:
         """The longest length there is, of top at most; 0 if none."""
         found = np.flatnonzero(left[: top + 1])
         return int(found[-1]) if len(found) else 0
 
-    def fill(chosen: dict[int, int], most: int) -> int:
-        """Tops up a sequence and takes as many of it as there are items for, most at most."""
+    def tighten(chosen: dict[int, int]) -> None:
+        """Swaps one length for a longer one, such that least room stays."""
         room = capacity - sum(k * v for k, v in chosen.items())
-        while room > 0:
-            found = np.flatnonzero(left[: room + 1])
-            while len(found) and left[found[-1]] <= chosen.get(int(found[-1]), 0):
-                found = found[:-1]
-            if not len(found):
-                break
-            k = int(found[-1])
-            n = min(room // k, max(1, (int(left[k]) - chosen.get(k, 0)) // max(1, most)))
-            chosen[k] = chosen.get(k, 0) + n
-            room -= n * k
+        best = (0, 0, 0)
+        for k in chosen:
+            found = np.flatnonzero(left[k + 1 : k + room + 1])
+            for more in found[::-1] + 1:
+                if left[k + more] > chosen.get(k + int(more), 0):
+                    best = max(best, (int(more), k, k + int(more)))
+                    break
+        more, k, longer = best
+        if more:
+            chosen[k] -= 1
+            if not chosen[k]:
+                del chosen[k]
+            chosen[longer] = chosen.get(longer, 0) + 1
+
+    def take(chosen: dict[int, int], most: int) -> int:
+        """Takes as many of a sequence as there are items for, most at most."""
         times = min([most, *(int(left[k]) // v for k, v in chosen.items())])
         for k, v in chosen.items():
             left[k] -= times * v
-        made.append((times, dict(chosen)))
+        made.append([times, dict(chosen)])
         return times
 
     units = capacity // grain
@@ -212,9 +220,32 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16, r
                         chosen[k] = chosen.get(k, 0) + 1
                 if not chosen:
                     break
-                todo -= fill(chosen, todo)
+                tighten(chosen)
+                todo -= take(chosen, todo)
+    room_of = lambda chosen: capacity - sum(k * v for k, v in chosen.items())
+    open_rows = sorted((room_of(m[1]), i) for i, m in enumerate(made))
     while top := longest(capacity):
-        fill({top: 1}, int(left[top]))
+        at = bisect_left(open_rows, (top, -1))
+        if at == len(open_rows):  # none has room: new sequences, each as full of this length as it gets
+            each = min(capacity // top, int(left[top]))
+            take({top: each}, int(left[top]) // each)
+            insort(open_rows, (capacity - each * top, len(made) - 1))
+            continue
+        room, i = open_rows.pop(at)
+        times, chosen = made[i]
+        each = max(1, min(room // top, int(left[top]) // times))
+        n = min(times, int(left[top]) // each)
+        left[top] -= n * each
+        grown = chosen | {top: chosen.get(top, 0) + each}
+        if n < times:
+            made[i][0] -= n
+            insort(open_rows, (room, i))
+            made.append([n, grown])
+            i = len(made) - 1
+        else:
+            made[i][1] = grown
+        insort(open_rows, (room - each * top, i))
+    made = [(n, chosen) for n, chosen in made]
     return made
 
 
