@@ -20,6 +20,8 @@ from tideline.llm.common import Stored, append_arrow
 
 CAPACITY = 4096
 END_ID = 1
+#: How sharply prices answer to a class's lag.
+ETA = 4.0
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers before it turns its memory over.
 CACHE_WORDS = 400_000
@@ -139,27 +141,30 @@ def price(weights: np.ndarray, capacity: int) -> list[int]:
 def configurations(demand: np.ndarray, capacity: int, rounds: int, eta: float) -> dict[tuple[int, ...], float]:
     """Fractional multiplicities of configurations: multiplicative weights on the covering program.
 
-    demand[k]: items of class size k+1. A class loses weight by what a configuration covers of its demand;
-    the knapsack prices the next one. Step sizes are such that no class is covered in under 1/eta steps.
+    demand[k]: items of class size k+1. A class's price is its size (the dual of a program whose sequences are
+    all full) times exp(eta * how far it lags behind the share of sequences made so far); the knapsack finds the
+    configuration of greatest price, which is taken for 1/rounds of the sequences or till a class runs out.
     """
-    have = np.flatnonzero(demand)
-    least = float((demand * np.arange(1, len(demand) + 1)).sum()) / capacity
-    cover, x = np.zeros(len(demand)), defaultdict(float)
-    for _ in range(rounds):
-        weight = np.zeros(len(demand))
-        weight[have] = np.exp(-np.minimum(60, cover[have] / demand[have] * 12)) / demand[have]
-        weight[have[cover[have] >= demand[have]]] = 0
-        if not weight.any():
+    sizes = np.arange(1, len(demand) + 1)
+    least = float((demand * sizes).sum()) / capacity
+    cover, x, done = np.zeros(len(demand)), defaultdict(float), 0.0
+    share = np.zeros(len(demand))
+    have = demand > 0
+    for _ in range(2 * rounds):
+        share[have] = cover[have] / demand[have]
+        weight = np.where(have & (share < 1 - 1e-9), sizes * np.exp(np.clip(eta * (done / least - share), -30, 30)), 0.0)
+        if done >= least or not weight.any():
             break
         chosen = price(weight, capacity)
         size, count = np.unique(chosen, return_counts=True)
-        step = min(least * eta, float((demand[size - 1] / count).min()) * 0.5)
+        step = min(least / rounds, float(((demand - cover)[size - 1] / count).min()))
         x[tuple(chosen)] += step
         cover[size - 1] += step * count
+        done += step
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16, rounds: int = 1500) -> list[tuple[int, dict[int, int]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 8, rounds: int = 400) -> list[tuple[int, dict[int, int]]]:
     """(how many sequences, {length: items in each}) that use up the histogram exactly.
 
     Classes of grain tokens keep the program small at every size of input. Configurations are rounded down and
@@ -177,8 +182,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16, r
         found = np.flatnonzero(left[: top + 1])
         return int(found[-1]) if len(found) else 0
 
-    def tighten(chosen: dict[int, int]) -> None:
-        """Swaps one length for a longer one, such that least room stays."""
+    def tighten(chosen: dict[int, int]) -> bool:
+        """Swaps one length for a longer one, such that least room stays; whether there was one."""
         room = capacity - sum(k * v for k, v in chosen.items())
         best = (0, 0, 0)
         for k in chosen:
@@ -193,6 +198,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16, r
             if not chosen[k]:
                 del chosen[k]
             chosen[longer] = chosen.get(longer, 0) + 1
+        return more > 0
 
     def take(chosen: dict[int, int], most: int) -> int:
         """Takes as many of a sequence as there are items for, most at most."""
@@ -207,7 +213,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16, r
     for length in np.flatnonzero(left):
         demand[-(-int(length) // grain) - 1] += left[length]
     if demand.any():
-        x = configurations(demand, units, rounds, 1 / 400)
+        x = configurations(demand, units, rounds, ETA)
         for config, share in sorted(x.items(), key=lambda e: -e[1]):
             todo = int(share)
             while todo > 0:
@@ -220,7 +226,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = 16, r
                         chosen[k] = chosen.get(k, 0) + 1
                 if not chosen:
                     break
-                tighten(chosen)
+                while tighten(chosen):
+                    pass
                 todo -= take(chosen, todo)
     room_of = lambda chosen: capacity - sum(k * v for k, v in chosen.items())
     open_rows = sorted((room_of(m[1]), i) for i, m in enumerate(made))
