@@ -531,3 +531,43 @@ def session_stats_fold(spark, sf_dir):
         F.first("price").over(so_far).alias("open"), F.max("price").over(so_far).alias("high"), F.min("price").over(so_far).alias("low"),
     )
     return statistics.fold(candidates).select("instrument", _s("trading_date"), "as_of_us", *map(_d, ["open", "high", "low"]))
+
+
+@query("""WITH u AS (SELECT i, 'SYM' || lpad(CAST(i AS VARCHAR), 3, '0') AS instrument FROM range(208) t(i)), h AS (SELECT *, (i + 1) / 10.0 AS w FROM u WHERE i NOT IN (3, 100, 204))
+SELECT instrument, round(CAST(w AS DOUBLE), 6) AS cpr_width_pct, row_number() OVER (ORDER BY w, instrument) AS rank, (SELECT count(*) FROM u) AS expected, 205 AS evaluated, 'PARTIAL' AS completeness FROM h""")
+def fixture_universe_scan(spark, sf_dir):
+    """A universe of 208 made instruments, three of them without history, whose pivot widths are known."""
+    made = spark.range(208).select(F.col("id"), F.concat(F.lit("SYM"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("instrument"))
+    close = (F.lit(100) + (F.col("id") + 1) / F.lit(10)).cast("decimal(12,4)")
+    day = F.to_date(F.lit("2026-08-06"))
+    candles_ = made.where("id not in (3, 100, 204)").select(
+        "instrument", day.alias("trading_date"), F.date_sub(day, 1).alias("source_date"), F.lit(Decimal("100.0000")).cast("decimal(12,4)").alias("open"),
+        F.lit(Decimal(140)).cast("decimal(12,4)").alias("high"), (F.lit(160) - close).cast("decimal(12,4)").alias("low"), close.alias("close"),
+    )
+    results = _placed(strategies.evaluate(strategies.CATALOG["narrow_cpr"], candles_))
+    header = evaluation.snapshot_header(results, "cpr_width_pct", made).select("trading_date", "expected", "evaluated", "completeness")
+    ranked = evaluation.rank_candidates(results, "cpr_width_pct").join(F.broadcast(header), "trading_date")
+    return ranked.select("instrument", F.round(F.col("cpr_width_pct").cast("double"), 6).alias("cpr_width_pct"), F.col("rank").cast("long").alias("rank"), "expected", "evaluated", "completeness")
+
+
+@query(f"""WITH {_HOURLY}, c AS (SELECT instrument, open_us + k * 3600000000 AS start_us, open_us + (k + 1) * 3600000000 AS end_us, quantity FROM h
+  UNION ALL SELECT instrument, open_us + k * 3600000000 + 1, open_us + (k + 1) * 3600000000, quantity FROM h WHERE instrument = 'view' AND k = 5)
+SELECT instrument, count(*) AS n FROM c WHERE instrument <> 'view' GROUP BY 1""")
+def verified_series(spark, sf_dir):
+    """Series with one overlap are rejected whole."""
+    bars = _hourly(spark, sf_dir).withColumn("tf", F.lit(3600))
+    hour = (F.col("start_us") / 3_600_000_000).cast("long") % 24
+    twice = bars.unionByName(bars.where((F.col("instrument") == "view") & (hour == 5)).withColumn("start_us", F.col("start_us") + 1))
+    return history.verify_series(twice).groupBy("instrument").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS arrival, 4 AS code, 1 AS segment_code, user_id + 1 AS security_id, epoch_us(date_trunc('second', ts)) AS ts_us, CAST(CAST(value AS FLOAT) AS DOUBLE) AS last_price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS traded_quantity FROM events")
+def packet_decode(spark, sf_dir):
+    """The events written as binary quote packets and decoded again."""
+    from tideline.sources import packets
+
+    e = bindings.events(spark, sf_dir).select(
+        F.col("event_id").alias("arrival"), "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "value", F.get_json_object("props", "$.k").cast("int").alias("k")
+    )
+    got = packets.decode(packets.encode_quotes(e))
+    return got.select("arrival", "code", "segment_code", "security_id", "ts_us", F.col("tick.last_price").cast("double").alias("last_price"), F.col("tick.traded_quantity").alias("traded_quantity"))
