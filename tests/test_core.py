@@ -280,3 +280,23 @@ def test_queries_match_their_sql(spark):
 
     for name, sql in ORACLES.items():
         assert plain(QUERIES[name](spark, sf).toPandas()) == plain(con.execute(sql).df()), name
+
+
+def test_lifecycle_and_snapshot_service(spark, tmp_path):
+    from tideline.plans import service
+
+    commands = ["pause", "start", "mark_running", "pause", "stop", "start", "mark_error", "force_stop"]
+    frame = spark.createDataFrame([("s", i, c) for i, c in enumerate(commands)], "strategy_id string, arrival long, command string")
+    got = [(r.after, r.allowed) for r in evaluation.lifecycle(frame).orderBy("arrival").collect()]
+    assert got == [("REGISTERED", False), ("STARTING", True), ("RUNNING", True), ("PAUSED", True), ("STOPPED", True), ("STARTING", True), ("ERROR", True), ("STOPPED", True)]
+    with pytest.raises(service.Unavailable):
+        service.read_snapshot(spark, None, "narrow_cpr")
+    with pytest.raises(service.UnknownStrategy):
+        service.read_snapshot(spark, str(tmp_path), "nothing")
+    assert service.read_snapshot(spark, str(tmp_path), "narrow_cpr") is None
+    results = strategies.evaluate(strategies.CATALOG["narrow_cpr"], sessions_of(spark, ("100", "140", "36", "124"), ("100", "140", "56", "104"), ("100", "140", "48", "112")))
+    results = results.withColumns({"exchange": F.lit("X"), "symbol": F.col("instrument")})
+    evaluation.rank_candidates(results, "cpr_width_pct").write.parquet(str(tmp_path / "narrow_cpr" / "ranked"))
+    evaluation.snapshot_header(results, "cpr_width_pct", results).write.parquet(str(tmp_path / "narrow_cpr" / "header"))
+    read = service.read_snapshot(spark, str(tmp_path), "narrow_cpr", 2)
+    assert [(c["instrument"], c["rank"]) for c in read.candidates] == [("S1", 1), ("S2", 2)] and read.header["eligible"] == 3 and read.header["completeness"] == "COMPLETE"

@@ -135,3 +135,37 @@ def project(ranked: DataFrame, limit: int, metric: str) -> DataFrame:
     if not 1 <= limit <= 500:
         raise ValueError("limit must be 1 to 500")
     return ranked.where(F.col("rank") <= limit).withColumn(metric, F.col(metric).cast("string"))
+
+
+#: Which command leads from which states to which.
+TRANSITIONS = {
+    "start": (("REGISTERED", "STOPPED", "ERROR"), "STARTING"),
+    "mark_running": (("STARTING",), "RUNNING"),
+    "pause": (("RUNNING",), "PAUSED"),
+    "resume": (("PAUSED",), "RUNNING"),
+    "stop": (("RUNNING", "PAUSED", "ERROR"), "STOPPED"),
+    "force_stop": (("RUNNING", "PAUSED", "ERROR"), "STOPPED"),
+    "mark_error": (("STARTING", "RUNNING"), "ERROR"),
+}
+
+
+def lifecycle(commands: DataFrame) -> DataFrame:
+    """Each command (strategy_id, arrival, command) with the state it finds, the state it leaves and whether it was allowed.
+
+    A strategy begins REGISTERED. A command that its state doesn't allow changes nothing. The fold runs over one strategy's commands,
+    which operators give by hand and are few.
+    """
+    table = F.create_map(*[F.lit(x) for c, (sources, to) in TRANSITIONS.items() for s in sources for x in (f"{s}>{c}", to)])
+    rows = commands.groupBy("strategy_id").agg(F.sort_array(F.collect_list(F.struct("arrival", "command"))).alias("c"), F.first(table).alias("t"))
+    kind = "array<struct<arrival:bigint,command:string,before:string,after:string,allowed:boolean>>"
+
+    def step(done, x):
+        before = F.when(F.size(done) == 0, "REGISTERED").otherwise(F.try_element_at(done, F.lit(-1))["after"])
+        to = F.try_element_at(F.col("t"), F.concat_ws(">", before, x["command"]))
+        row = F.struct(
+            x["arrival"].cast("long").alias("arrival"), x["command"].alias("command"), before.alias("before"), F.coalesce(to, before).alias("after"), to.isNotNull().alias("allowed")
+        )
+        return F.concat(done, F.array(row))
+
+    told = rows.select("strategy_id", F.aggregate("c", F.array().cast(kind), step).alias("h"))
+    return told.select("strategy_id", F.inline("h"))

@@ -132,3 +132,10 @@ def apply_reconciled(outcomes: DataFrame, incomplete: DataFrame, finalized: Data
     order = Window.partitionBy("instrument", "tf").orderBy(F.desc("start_us"))
     grown = finalized.select(*repaired.columns).unionByName(repaired).withColumn("__n", F.row_number().over(order))
     return rest, grown.where(F.col("__n") <= keep).drop("__n")
+
+
+def in_range(candles: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Candles that start in [start, end). The dates that can hold them are asked for too, so a table partitioned by trading_date is pruned."""
+    day = 86_400_000_000
+    first, last = (F.to_date(F.timestamp_micros(F.lit(x))) for x in (start_us - day, end_us + day))
+    return candles.where(F.col("trading_date").between(first, last) & (F.col("start_us") >= start_us) & (F.col("start_us") < end_us))
