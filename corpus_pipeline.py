@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tideline.llm import crf, decontam, packing, pii, simhash
 from tideline.llm.common import Stored, read_table
 
-#: Least mean posterior of a document's language.
-LANGUAGE_SCORE = 0.5
+#: Least mean posterior of a document's language: code-switched texts whose languages share evenly stay.
+LANGUAGE_SCORE = 0.3
 
 
 def _whole(docs: DataFrame) -> DataFrame:
