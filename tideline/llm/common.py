@@ -99,6 +99,12 @@ def connected_components(edges: DataFrame) -> Stored:
     Each round maps every node to its neighbour (or itself) of least hashed rank and contracts the graph, so
     the number of nodes falls by a constant factor a round in expectation, on chains as on stars. Sums and
     minima are combined before they are shuffled; joins on hubs are left to adaptive skew splitting.
+def least(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The n rows of df with the least keys. Only keys, n a task, go to the driver; among rows of the last key any may stay."""
+    keys = df.select(key.alias("k")).where("k is not null").orderBy("k").limit(n).collect()
+    return df.where(key <= keys[-1].k).limit(n) if keys else df.limit(0)
+
+
     """
     spark = edges.sparkSession
     current = Stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

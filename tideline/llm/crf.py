@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import append_arrow
+from tideline.llm.common import append_arrow, least
 
 UNDETERMINED = "und"
 #: Bounds of the sample that the field is fitted on.
@@ -29,12 +30,17 @@ def words_of(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def _row(feature: str) -> int:
-    """FNV-1a over code points: the same in every process."""
-    h = 0xCBF29CE484222325
-    for c in feature:
-        h = (h ^ ord(c)) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) % ROWS
+class _Rows(dict):
+    """The row of each feature; the same in every process."""
+
+    def __missing__(self, feature: str) -> int:
+        row = zlib.crc32(feature.encode("utf-8", "replace")) % ROWS
+        if len(self) < CACHE_WORDS:
+            self[feature] = row
+        return row
+
+
+_rows = _Rows()
 
 
 def features(word: str, lexicon: dict[str, str]) -> list[int]:
@@ -43,7 +49,7 @@ def features(word: str, lexicon: dict[str, str]) -> list[int]:
     found = {f"p{word[:k]}" for k in (1, 2, 3, 4)} | {f"s{word[-k:]}" for k in (1, 2, 3, 4)}
     found |= {f"g{bound[i : i + k]}" for k in (2, 3) for i in range(len(bound) - k + 1)}
     found |= {"b", f"l{min(len(word), 12)}", f"x{lexicon.get(word, '-')}"}
-    return sorted(map(_row, found))
+    return [*map(_rows.__getitem__, found)]
 
 
 class Field:
@@ -55,8 +61,11 @@ class Field:
         self.weight = np.zeros((ROWS, k), np.float32)
         self.start, self.move = np.zeros(k, np.float32), np.zeros((k, k), np.float32)
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weight[features(word, self.lexicon)].sum(0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """(words, labels) log scores."""
+        rows = [features(w, self.lexicon) for w in words]
+        heads = np.cumsum([0, *map(len, rows[:-1])])
+        return np.add.reduceat(self.weight[np.concatenate(rows)], heads)
 
 
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, pairs: bool = False):
@@ -185,30 +194,29 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: str
     Texts of over SAMPLE_CHARS characters aren't drawn, which bounds what the driver receives; predictions read
     whole texts of any length.
     """
-    mixed = F.xxhash64(F.col(order).cast("string"))
-    rows = (
-        docs.where(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-        .select(mixed.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-        .orderBy("h", "lang", "text").limit(sample_docs).collect()
-    )
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
+    rows = least(known, F.xxhash64(F.col(order).cast("string")), sample_docs).select(F.col(lang).alias("lang"), F.col(text).alias("text")).collect()
+    rows.sort(key=lambda r: (r.lang, r.text))
     return fit_rows([(r.lang, r.text) for r in rows])
 
 
 class _Emissions(dict):
-    """The row of each word in a growing table of emissions."""
+    """The row of each word in a table of emissions, which grows by a batch's new words at a time."""
 
     def __init__(self, field: Field):
         super().__init__()
         self.field = field
-        self.table = np.zeros((1024, len(field.labels)), np.float32)
+        self.table = np.zeros((0, len(field.labels)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = self.field.emission(word)
-        self[word] = n
-        return n
+    def meet(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.table = self.table[:0]
+        fresh = sorted(set().union(*texts).difference(self))
+        self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+        for at in range(0, len(fresh), 20_000):
+            self.table = np.concatenate([self.table, self.field.emissions(fresh[at : at + 20_000])])
+        return [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in texts]
 
 
 _held: dict[str, _Emissions] = {}
@@ -219,10 +227,8 @@ def judge(texts: list[str | None], field: Field, emissions: _Emissions, cells: i
     out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
     if not field.labels:
         return out
-    if len(emissions) > CACHE_WORDS:
-        emissions.clear()
-    rows = [(i, np.fromiter(map(emissions.__getitem__, words_of(t)), np.int32)) for i, t in enumerate(texts) if t]
-    rows = sorted((r for r in rows if len(r[1])), key=lambda r: len(r[1]))
+    found = [(i, words) for i, t in enumerate(texts) if t and (words := words_of(t))]
+    rows = sorted(zip((i for i, _ in found), emissions.meet([w for _, w in found]), strict=True), key=lambda r: len(r[1]))
     at = 0
     while at < len(rows):
         stop = at + 1
@@ -247,7 +253,7 @@ def tag(text: str, field: Field) -> list[tuple[str, str]]:
     words, emissions = words_of(text), _Emissions(field)
     if not words:
         return []
-    ids = np.array([[emissions[w] for w in words]])
+    ids = np.array(emissions.meet([words]))
     marginal, _ = forward_backward(emissions.table[ids], np.array([len(words)]), field.start, field.move)
     return [(w, field.labels[int(m.argmax())]) for w, m in zip(words, marginal[0], strict=True)]
 
