@@ -178,7 +178,8 @@ def detect(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None
     new = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "span_list"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     found = find(docs, text, kept).df
-    more = bootstrap(found).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
+    # written first: Spark then knows its size, and moves the texts only if it is too large to broadcast
+    more = Stored(bootstrap(found).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))).df
     bare = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     joined = found.drop("candidates").join(more, "row", "left").select(
