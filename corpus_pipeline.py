@@ -36,12 +36,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to their kind in brackets, and n_chars follows."""
-    clean = pii.redact(pii.detect(_whole(docs), keep=["d", "text"]))
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("d"), "text")
+    clean = pii.redact(pii.detect(rows, keep=["d", "text"]))
     whole = F.col("d").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         size = F.when(F.size("span_list") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.n_chars"))
         whole = whole.withField("n_chars", size)
-    return clean.select(whole.alias("d")).select("d.*")
+    return clean.select(whole.alias("d")).select("d.*").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
