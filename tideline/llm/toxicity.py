@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import append_arrow
+from tideline.llm.common import Stored, append_arrow, least
 
 CUTOFF = 0.7
 GRAMS = (3, 4, 5)
@@ -20,14 +21,13 @@ ROWS = 1 << 20
 SAMPLE_OF_LABEL = 3000
 FEATURES = 1 << 16
 CACHE_WORDS = 400_000
+#: Up to so many labels are broadcast to the texts; of more, texts and labels are shuffled, once.
+BROADCAST_LABELS = 1_000_000
 _WORDS = re.compile(r"\w+")
 
 
 def _hash(gram: str) -> int:
-    h = 0xCBF29CE484222325
-    for c in gram:
-        h = (h ^ ord(c)) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 31) % ROWS
+    return zlib.crc32(gram.encode("utf-8", "replace")) % ROWS
 
 
 def grams_of(word: str) -> set[int]:
@@ -140,7 +140,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     those of least hashed id. A label that is null or neither 0 nor 1 is left out; of repeated labels the larger holds.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("toxic"))
-    labelled = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(marks, "id").select("id", "text", "toxic")
+    few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    whole = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    labelled = whole.join(F.broadcast(marks) if few else marks, "id").select("id", "text", "toxic")
+    if not few:
+        labelled = Stored(labelled).df
     totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
@@ -160,8 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     rows = []
     for value in (0, 1):
-        part = labelled.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_OF_LABEL)
-        rows += [(r.found, value) for r in append_arrow(part, [F.col("text")], "found array<int>", make, []).collect()]
+        part = least(labelled.where(F.col("toxic") == value), F.xxhash64(F.col("id").cast("string")), SAMPLE_OF_LABEL)
+        rows += [(sorted(r.found), value) for r in append_arrow(part, [F.col("text")], "found array<int>", make, []).collect()]
     return train(rows, ratio)
 
 
