@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +118,7 @@ class _Hashes(dict):
 
 def _hashed(texts: list[bytes | None], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in a row and how many each has."""
-    if len(known) > 400_000:
+    if len(known) > 200_000:
         known.clear()
     words = [tokens_of(t or b"") for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -274,7 +273,7 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[s
     bits = min(8 * filter_bytes, max(1 << 16, bits_per_token * n))
     model = Model(build_filter(pair_counts(known).unionByName(_unigram_rows(counts)), bits), n, v)
     top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    head = {bytes(r.word): r.n for r in top.collect()}
+    head = {bytes(r.word): math.log10(r.n + 1) for r in top.collect()}
     data = spark.sparkContext.broadcast((model.filter.data, model.filter.size, head))
 
     def make(token=uuid.uuid4().hex):
@@ -288,30 +287,34 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[s
 
         def run(texts):
             nonlocal done
-            out = {x: [] for x in ("row", "n_tokens", "n_head", "sum", "rest", "score")}
+            rows, sizes, hits, logs, words, times, bounds, scores = [], [], [], [], [], [], [0], []
             data = texts.to_pylist()
             for at in range(0, len(data), 200):
                 chunk = data[at : at + 200]
-                out["score"].append(model.score(*_hashed(chunk, _held[token])))
+                scores.append(model.score(*_hashed(chunk, _held[token])))
                 for t in chunk:
-                    seen = Counter(tokens_of(t or b""))
-                    hits = total = 0
-                    logs, rest = 0.0, []
-                    for w, k in seen.items():
-                        c = exact.get(w)
+                    total = known = 0
+                    held = 0.0
+                    for w, k in Counter(tokens_of(t or b"")).items():
                         total += k
-                        if c is None:
-                            rest.append({"word": w, "k": k})
+                        log = exact.get(w)
+                        if log is None:
+                            words.append(w)
+                            times.append(k)
                         else:
-                            hits += k
-                            logs += k * log_of(c)
-                    out["row"].append(part << 40 | done)
+                            known += k
+                            held += k * log
+                    rows.append(part << 40 | done)
                     done += 1
-                    for x, y in zip(("n_tokens", "n_head", "sum", "rest"), (total, hits, logs, rest), strict=True):
-                        out[x].append(y)
-            kinds = {"row": pa.int64(), "n_tokens": pa.int64(), "n_head": pa.int64(), "sum": pa.float64(), "rest": pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))}
-            scores = np.concatenate(out["score"]) if out["score"] else np.zeros(0)
-            return [*(pa.array(out[x], t) for x, t in kinds.items()), pa.array(scores, pa.float64())]
+                    sizes.append(total)
+                    hits.append(known)
+                    logs.append(held)
+                    bounds.append(len(words))
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
+            return [
+                pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(logs, pa.float64()),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rest), pa.array(np.concatenate(scores), pa.float64()),
+            ]
 
         return run
 
@@ -330,7 +333,3 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[s
         "score",
     )
 
-
-@lru_cache(1 << 16)
-def log_of(count: int) -> float:
-    return math.log10(count + 1)

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows that an appending function sees at once, which bounds what it holds of results.
+ROWS_AT_ONCE = 1000
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -86,25 +90,27 @@ def append_arrow(
 
     def run(batches):
         function = make()
-        for batch in batches:
-            made = function(*batch.columns[first:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:first], *made], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                made = function(*batch.columns[first:])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:first], *made], names=names)
 
     return chosen.mapInArrow(run, out)
 
 
-def connected_components(edges: DataFrame) -> Stored:
-    """(node, root) for every node of edges (a, b; long): one root per component.
-
-    Each round maps every node to its neighbour (or itself) of least hashed rank and contracts the graph, so
-    the number of nodes falls by a constant factor a round in expectation, on chains as on stars. Sums and
-    minima are combined before they are shuffled; joins on hubs are left to adaptive skew splitting.
 def least(df: DataFrame, key: Column, n: int) -> DataFrame:
     """The n rows of df with the least keys. Only keys, n a task, go to the driver; among rows of the last key any may stay."""
     keys = df.select(key.alias("k")).where("k is not null").orderBy("k").limit(n).collect()
     return df.where(key <= keys[-1].k).limit(n) if keys else df.limit(0)
 
 
+def connected_components(edges: DataFrame) -> Stored:
+    """(node, root) for every node of edges (a, b; long): one root per component.
+
+    Each round maps every node to its neighbour (or itself) of least hashed rank and contracts the graph, so
+    the number of nodes falls by a constant factor a round in expectation, on chains as on stars. Sums and
+    minima are combined before they are shuffled; joins on hubs are left to adaptive skew splitting.
     """
     spark = edges.sparkSession
     current = Stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
