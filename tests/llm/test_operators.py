@@ -193,6 +193,32 @@ def test_filter_never_forgets_and_seldom_invents():
     assert (bloomlm.count_of(level) <= counts).all()
 
 
+def test_filter_follows_the_corpus(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(bloomlm, "CHUNK_TOKENS", 700)
+    train = [r for r in rows if r[1] is not None][:200]
+    n, pairs, single = 0, {}, {}
+    tokens = lambda t: [w.decode("utf-8", "surrogatepass") for w in bloomlm.tokens_of((t or "").encode())]
+    for _, t, *_ in train:
+        w = tokens(t)
+        n += len(w)
+        for x, y in zip([w[-1], *w], w, strict=False):
+            pairs[x, y] = pairs.get((x, y), 0) + 1
+            single[y] = single.get(y, 0) + 1
+    level = lambda c: int(bloomlm.count_of(bloomlm.level_of(np.array([c])))[0]) if c else 0
+    got = {(r.doc_id, r.n_chars): r.score for r in bloomlm.score(docs, spark.createDataFrame(train, DOCS), false_rate=1e-9).collect()}
+    for i, t, _, _, k in rows:
+        w = tokens(t)
+        want = 0.0
+        for x, y in zip([w[-1], *w], w, strict=False):
+            c = level(single.get(x, 0))
+            want += np.log10((min(level(pairs.get((x, y), 0)), c) + bloomlm.KAPPA * (level(single.get(y, 0)) + 1) / (n + len(single) + 1)) / (c * bloomlm.BASE + bloomlm.KAPPA))
+        assert got[i, k] == pytest.approx(want), i
+    for size in (100, 10_000, 400_000):
+        keys = np.arange(size, dtype=np.uint64) << np.uint64(16)
+        held = bloomlm.segment_filter(keys, np.full(size, 3.0))
+        assert held.top == 3 and (held.levels(keys) == 3).all() and held.size >= 3 * size * 8
+
+
 def test_packing(spark, rows, docs):
     from tokenizers import Tokenizer
 

@@ -20,9 +20,10 @@ END = b"\n"
 #: Base of the count levels: level q stands for counts from BASE ** (q - 1) on.
 BASE = 1.5
 HASHES = 4
-BITS_PER_TOKEN = 4
-#: Most bytes of the filter that is broadcast; past it the filter's errors grow, the corpus is still counted whole.
-FILTER_BYTES = 256 << 20
+#: Chance that a probe for what was never inserted passes; it sets the filter's bits for each inserted (n-gram, level).
+FALSE_RATE = 0.01
+#: A chunk of texts looks up each of its n-grams once; it ends after the text that reaches this many tokens.
+CHUNK_TOKENS = 2_000_000
 #: N-gram hashes are dealt out by their top bits; a task holds one segment's n-grams at a time.
 SEGMENT_BITS = 10
 #: Most words (of 64 bytes at most) whose exact counts are broadcast for the base score; the rest are joined.
@@ -55,10 +56,13 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A partitioned Bloom filter: a key's segment is its top bits; in it, HASHES positions for each (key, level)."""
+    """A partitioned Bloom filter, or one segment of it: a key's segment is its top bits; in it, HASHES positions for each (key, level).
 
-    def __init__(self, bits_per_segment: int, data: np.ndarray):
-        self.size, self.data = bits_per_segment, data
+    top, if given, is the greatest level inserted; no higher one is probed.
+    """
+
+    def __init__(self, bits_per_segment: int, data: np.ndarray, top: int | None = None):
+        self.size, self.data, self.top = bits_per_segment, data, top
 
     @staticmethod
     def positions(keys: np.ndarray, level: int, k: int, size: int) -> np.ndarray:
@@ -68,9 +72,9 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: membership is probed for level 1, 2, .. until a probe fails."""
         out = np.zeros(len(keys), np.int64)
-        base = (keys >> np.uint64(64 - SEGMENT_BITS)) * np.uint64(self.size)
+        base = (keys >> np.uint64(64 - SEGMENT_BITS)) * np.uint64(self.size if 8 * len(self.data) > self.size else 0)
         live, level = np.arange(len(keys)), 0
-        while len(live):
+        while len(live) and (self.top is None or level < self.top):
             level += 1
             for k in range(HASHES):
                 at = base[live] + self.positions(keys[live], level, k, self.size)
@@ -88,9 +92,16 @@ def _segments(keys: np.ndarray, counts: np.ndarray):
 
 
 def _packed(segment_rows) -> pa.RecordBatch:
-    """Singletons and the rest apart; of a key the top 48 bits are kept, which its positions derive from."""
+    """Singletons and the rest apart; of a key the top 48 bits are kept, which its positions derive from.
+
+    In a segment these are 38 bits after its number; their steps are written byte by byte, most of the high ones 0.
+    """
     rows = list(segment_rows)
-    cut = lambda keys: np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+    def cut(keys: np.ndarray) -> bytes:
+        steps = np.diff(keys << np.uint64(SEGMENT_BITS) >> np.uint64(16 + SEGMENT_BITS), prepend=np.uint64(0))
+        return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
     once = [cut(keys[counts == 1]) for _, keys, counts in rows]
     more = [cut(keys[counts > 1]) for _, keys, counts in rows]
     counts = [counts[counts > 1].astype("<u4").tobytes() for _, _, counts in rows]
@@ -100,10 +111,10 @@ def _packed(segment_rows) -> pa.RecordBatch:
     )
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _unpacked(data: bytes, segment: int) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64) << np.uint64(16) | np.uint64(segment << 64 - SEGMENT_BITS)
 
 
 _PACKED = "segment int, once binary, more binary, counts binary"
@@ -120,7 +131,10 @@ def _hashed(texts: list[bytes | None], known: _Hashes) -> tuple[np.ndarray, np.n
     """Token hashes of all texts in a row and how many each has."""
     if len(known) > 200_000:
         known.clear()
-    words = [tokens_of(t or b"") for t in texts]
+    return _hashed_words([tokens_of(t or b"") for t in texts], known)
+
+
+def _hashed_words(words: list[list[bytes]], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(w) for w in words], np.int64)
     return np.fromiter((known[x] for w in words for x in w), np.uint64, int(sizes.sum())), sizes
 
@@ -190,77 +204,170 @@ def _unigram_rows(counts: DataFrame) -> DataFrame:
     return counts.select("word", "n").mapInArrow(run, _PACKED)
 
 
-def build_filter(packed: DataFrame, bits: int) -> Filter:
-    """The filter of packed counts. Each segment is built where its n-grams meet; the driver joins the segments' bits."""
-    size = max(64, bits >> SEGMENT_BITS >> 3 << 3)
+def segment_filter(keys: np.ndarray, counts: np.ndarray, false_rate: float = FALSE_RATE) -> Filter:
+    """The filter of one segment's keys (repeated ones are summed), sized by its insertions for false_rate."""
+    keys, inverse = np.unique(keys, return_inverse=True)
+    level = level_of(np.bincount(inverse, counts))
+    bits = -HASHES / math.log(1 - false_rate ** (1 / HASHES))
+    size = max(64, math.ceil(bits * int(level.sum()) / 8) * 8)
+    flags = np.zeros(size, np.uint8)
+    live, q = np.arange(len(keys)), 0
+    while len(live):
+        q += 1
+        for k in range(HASHES):
+            flags[Filter.positions(keys[live], q, k, size)] = 1
+        live = live[level[live] > q]
+    return Filter(size, np.packbits(flags, bitorder="little"), q)
+
+
+def look_up(packed: DataFrame, probes: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
+    """(chunk, segment, levels): a level for each key of probes (chunk, segment, keys), in their order.
+
+    A segment's filter is built and probed where its n-grams meet and is then given up, so nothing holds the whole filter.
+    """
 
     def run(batches):
-        now, parts = None, []
-
-        def built():
-            keys = np.concatenate([k for k, _ in parts])
-            counts = np.concatenate([c for _, c in parts])
-            keys, inverse = np.unique(keys, return_inverse=True)
-            level = level_of(np.bincount(inverse, counts))
-            flags = np.zeros(size, np.uint8)
-            live, q = np.arange(len(keys)), 0
-            while len(live):
-                q += 1
-                for k in range(HASHES):
-                    flags[Filter.positions(keys[live], q, k, size)] = 1
-                live = live[level[live] > q]
-            data = np.packbits(flags, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data], pa.binary())], names=["segment", "data"])
+        now, parts, held, asked, size = None, [], None, [], 0
+
+        def found():
+            nonlocal held, parts, asked, size
+            if held is None:
+                none = (np.zeros(0, np.uint64), np.zeros(0))
+                held, parts = segment_filter(*[np.concatenate(x) for x in zip(none, *parts, strict=True)], false_rate), []
+            keys, inverse = np.unique(np.concatenate([k for _, k in asked]), return_inverse=True)
+            each = np.split(held.levels(keys).astype(np.uint8)[inverse], np.cumsum([len(k) for _, k in asked])[:-1])
+            out = [pa.array([c for c, _ in asked], pa.int64()), pa.array([now] * len(asked), pa.int32()), pa.array([x.tobytes() for x in each], pa.binary())]
+            asked, size = [], 0
+            return pa.RecordBatch.from_arrays(out, names=["chunk", "segment", "levels"])
 
         for batch in batches:
-            for segment, once, more, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for segment, once, more, counts, chunk in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if asked and (segment != now or size > 1 << 20):
+                    yield found()
                 if segment != now:
-                    if parts:
-                        yield built()
-                    now, parts = segment, []
-                a, b = _unpacked(once), _unpacked(more)
-                parts += [(a, np.ones(len(a))), (b, np.frombuffer(counts, "<u4").astype(float))]
-        if parts:
-            yield built()
-
-    rows = packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "segment int, data binary")
-    data = np.zeros(size >> 3 << SEGMENT_BITS, np.uint8)
-    for r in rows.toLocalIterator():
-        data[r.segment * (size >> 3) : (r.segment + 1) * (size >> 3)] = np.frombuffer(r.data, np.uint8)
-    return Filter(size, data)
-
-
-class Model:
-    """Dirichlet-smoothed bigram probabilities over add-one unigrams; every count but N and V comes from the filter."""
-
-    def __init__(self, held: Filter, n: int, v: int, kappa: float = KAPPA):
-        self.filter, self.n, self.v, self.kappa = held, n, v, kappa
-
-    def score(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, given its token hashes."""
-        before = _contexts(hashes, sizes)
-        seen, inverse = np.unique(hashes, return_inverse=True)
-        counts = count_of(self.filter.levels(_mix(seen) & _TOP48))
-        alone = (counts + 1) / (self.n + self.v + 1)
-        end = np.searchsorted(seen, np.uint64(xxh64_intdigest(END)))
-        where = np.empty(len(hashes), np.int64)
-        where[1:] = inverse[:-1]
-        where[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = end
-        context = counts[where]
-        pairs = count_of(self.filter.levels(pair_keys(before, hashes) & _TOP48))
+                    now, parts, held = segment, [], None
+                keys = _unpacked(once, segment)
+                if chunk is None:
+                    b = _unpacked(more, segment)
+                    parts += [(keys, np.ones(len(keys))), (b, np.frombuffer(counts, "<u4").astype(float))]
+                else:
+                    asked.append((chunk, keys))
+                    size += len(keys)
+        if asked:
+            yield found()
+
+    nothing = F.lit(b"")
+    both = packed.withColumn("chunk", F.lit(None).cast("long")).unionByName(
+        probes.select("segment", F.col("keys").alias("once"), nothing.alias("more"), nothing.alias("counts"), "chunk")
+    )
+    return both.repartition("segment").sortWithinPartitions("segment", "chunk").mapInArrow(run, "chunk long, segment int, levels binary")
+
+
+class Chunk:
+    """Some texts as numbers: the hashes of their words, and each text's tokens as places among these."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
+        self.words, self.starts = words, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = tokens[:-1]
+        before[self.starts] = np.flatnonzero(words == np.uint64(xxh64_intdigest(END)))[0]
+        pairs, self.where = np.unique(before * len(words) + tokens, return_inverse=True)
+        self.first, self.second = pairs // len(words), pairs % len(words)
+        keys = np.concatenate([_mix(words), pair_keys(words[self.first], words[self.second])]) & _TOP48
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def score(self, levels: np.ndarray, n: int, v: int, kappa: float = KAPPA) -> np.ndarray:
+        """log10 probability of each text, given its keys' levels: Dirichlet-smoothed bigrams over add-one unigrams.
+
+        Every count but N and V comes from the filter.
+        """
+        counts = np.empty(len(levels))
+        counts[self.order] = count_of(levels)
+        alone, pairs = np.split(counts, [len(self.words)])
+        context = alone[self.first]
         # a level says at least this much of a context, and up to BASE times as much
-        p = (np.minimum(pairs, context) + self.kappa * alone[inverse]) / (context * BASE + self.kappa)
-        return np.add.reduceat(np.log10(p), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        p = (np.minimum(pairs, context) + kappa * (alone[self.second] + 1) / (n + v + 1)) / (context * BASE + kappa)
+        return np.add.reduceat(np.log10(p)[self.where], self.starts)
+
+
+def _width(words: np.ndarray) -> str:
+    return "<u2" if len(words) <= 1 << 16 else "<u4"
+
+
+def _packed_chunk(hashes: np.ndarray, sizes: np.ndarray, rows: list[int]) -> dict[str, bytes]:
+    """Frequent words get low numbers and the numbers are written byte by byte, so that they compress."""
+    words, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    tokens = number[inverse].astype(_width(words))
+    planes = tokens.view(np.uint8).reshape(len(tokens), -1).T.tobytes()
+    return {"words": words[order].astype("<u8").tobytes(), "tokens": pa.compress(planes, "zstd", asbytes=True), "sizes": sizes.astype("<u4").tobytes(), "rows": np.array(rows, "<i8").tobytes()}
+
+
+def _unpacked_chunk(made: dict[str, bytes]) -> tuple[Chunk, np.ndarray]:
+    words, sizes = np.frombuffer(made["words"], "<u8"), np.frombuffer(made["sizes"], "<u4").astype(np.int64)
+    n, kind = int(sizes.sum()), np.dtype(_width(words))
+    planes = np.frombuffer(pa.decompress(made["tokens"], n * kind.itemsize, "zstd"), np.uint8).reshape(kind.itemsize, n)
+    return Chunk(words, np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64), sizes), np.frombuffer(made["rows"], "<i8")
+
+
+_CHUNK = "struct<words:binary,tokens:binary,sizes:binary,rows:binary>"
+_CHUNK_ARROW = pa.struct([(x, pa.binary()) for x in ("words", "tokens", "sizes", "rows")])
+
+
+def probes_of(chunks: DataFrame) -> DataFrame:
+    """(chunk, segment, keys) of chunks (chunk, made): the keys of each chunk's n-grams by segment, in order."""
+
+    def run(batches):
+        for batch in batches:
+            for number, made in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                keys = _unpacked_chunk(made)[0].keys
+                packed = _packed(_segments(keys, np.ones(len(keys), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([number] * packed.num_rows, pa.int64()), packed.column(0), packed.column(1)], names=["chunk", "segment", "keys"])
+
+    return chunks.mapInArrow(run, "chunk long, segment int, keys binary")
+
+
+def scores_of(chunks: DataFrame, levels: DataFrame, n: int, v: int) -> DataFrame:
+    """(__row, score) of every text of chunks (chunk, made), from what look_up found."""
+
+    def run(batches):
+        made, parts = None, []
+
+        def scored():
+            chunk, rows = _unpacked_chunk(made)
+            scores = chunk.score(np.frombuffer(b"".join(parts), np.uint8).astype(np.int64), n, v)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(scores, pa.float64())], names=["__row", "score"])
+
+        for batch in batches:
+            for x, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if x is None:
+                    parts.append(found)
+                    continue
+                if made:
+                    yield scored()
+                made, parts = x, []
+        if made:
+            yield scored()
+
+    both = chunks.select("chunk", F.lit(-1).alias("segment"), "made", F.lit(None).cast("binary").alias("levels")).unionByName(
+        levels.select("chunk", "segment", F.lit(None).cast(_CHUNK).alias("made"), "levels")
+    )
+    return both.repartition("chunk").sortWithinPartitions("chunk", "segment").select("made", "levels").mapInArrow(run, "__row long, score double")
 
 
 _held: dict[str, _Hashes] = {}
 
 
-def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[str] | None = None, bits_per_token: int = BITS_PER_TOKEN, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[str] | None = None, false_rate: float = FALSE_RATE) -> DataFrame:
     """keep (default: all but the text) plus n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     Null texts count as empty, which is one end token; with an empty train nothing is known, N and V are 0 and
     every p is that of an unseen token; repeated rows score alike; columns of these names are replaced.
+    The filter is sized by the distinct (n-gram, level) pairs of train, whatever their number. Texts don't meet
+    it whole: the keys of their n-grams are dealt out by segment and only levels come back.
     The base score is exact: the counts of the HEAD_WORDS most frequent words are broadcast, other words are
     joined with their counts by (row, word).
     """
@@ -270,61 +377,68 @@ def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[s
     counts = Stored(word_counts(known)).df
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    bits = min(8 * filter_bytes, max(1 << 16, bits_per_token * n))
-    model = Model(build_filter(pair_counts(known).unionByName(_unigram_rows(counts)), bits), n, v)
     top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
     head = {bytes(r.word): math.log10(r.n + 1) for r in top.collect()}
-    data = spark.sparkContext.broadcast((model.filter.data, model.filter.size, head))
+    data = spark.sparkContext.broadcast(head)
 
     def make(token=uuid.uuid4().hex):
-        bloom, size, exact = data.value
+        exact = data.value
         if token not in _held:
             _held.clear()
             _held[token] = _Hashes()
-        model = Model(Filter(size, bloom), n, v)
         part = TaskContext.get().partitionId()
         done = 0
 
         def run(texts):
             nonlocal done
-            rows, sizes, hits, logs, words, times, bounds, scores = [], [], [], [], [], [], [0], []
+            rows, sizes, hits, logs, words, times, bounds, chunks = [], [], [], [], [], [], [0], []
+            hashes, size = [], 0
             data = texts.to_pylist()
-            for at in range(0, len(data), 200):
-                chunk = data[at : at + 200]
-                scores.append(model.score(*_hashed(chunk, _held[token])))
-                for t in chunk:
-                    total = known = 0
-                    held = 0.0
-                    for w, k in Counter(tokens_of(t or b"")).items():
-                        total += k
-                        log = exact.get(w)
-                        if log is None:
-                            words.append(w)
-                            times.append(k)
-                        else:
-                            known += k
-                            held += k * log
-                    rows.append(part << 40 | done)
-                    done += 1
-                    sizes.append(total)
-                    hits.append(known)
-                    logs.append(held)
-                    bounds.append(len(words))
+            for i, t in enumerate(data):
+                tokens = tokens_of(t or b"")
+                hashes.append(_hashed_words([tokens], _held[token])[0])
+                size += len(tokens)
+                known = 0
+                held = 0.0
+                for w, k in Counter(tokens).items():
+                    log = exact.get(w)
+                    if log is None:
+                        words.append(w)
+                        times.append(k)
+                    else:
+                        known += k
+                        held += k * log
+                rows.append(part << 40 | done)
+                done += 1
+                sizes.append(len(tokens))
+                hits.append(known)
+                logs.append(held)
+                bounds.append(len(words))
+                if size >= CHUNK_TOKENS or i == len(data) - 1:
+                    chunks.append(_packed_chunk(np.concatenate(hashes), np.array(sizes[-len(hashes) :]), rows[-len(hashes) :]))
+                    hashes, size = [], 0
+                    if len(_held[token]) > 200_000:
+                        _held[token].clear()
+                else:
+                    chunks.append(None)
             rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
             return [
                 pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(logs, pa.float64()),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rest), pa.array(np.concatenate(scores), pa.float64()),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rest), pa.array(chunks, _CHUNK_ARROW),
             ]
 
         return run
 
-    schema = "__row long, n_tokens long, __head long, __sum double, __rest array<struct<word:binary,k:bigint>>, score double"
+    schema = "__row long, n_tokens long, __head long, __sum double, __rest array<struct<word:binary,k:bigint>>, __made " + _CHUNK
     rows = Stored(append_arrow(docs, [F.col(text).cast("binary")], schema, make, kept)).df
-    rest = rows.select("__row", F.inline("__rest")).join(counts, "word").groupBy("__row").agg(
-        F.sum("k").alias("__more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("__logs")
-    )
+    chunks = rows.where("__made is not null").select(F.col("__row").alias("chunk"), F.col("__made").alias("made"))
+    levels = look_up(pair_counts(known).unionByName(_unigram_rows(counts)), probes_of(chunks), false_rate)
+    scores = scores_of(chunks, levels, n, v).select("__row", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("log"), "score")
+    words = rows.select("__row", F.inline("__rest")).join(counts, "word")
+    words = words.select("__row", "k", (F.col("k") * F.log10(F.col("n") + 1)).alias("log"), F.lit(None).cast("double").alias("score"))
+    rest = words.unionByName(scores).groupBy("__row").agg(F.sum("k").alias("__more"), F.sum("log").alias("__logs"), F.max("score").alias("score"))
     all_logs = F.col("__sum") + F.coalesce("__logs", F.lit(0.0))
-    return rows.drop("__rest").join(rest, "__row", "left").select(
+    return rows.drop("__rest", "__made").join(rest, "__row", "left").select(
         *[c for c in kept if c in rows.columns],
         "n_tokens",
         (F.col("__head") + F.coalesce("__more", F.lit(0))).alias("n_known"),
