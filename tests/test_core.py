@@ -282,6 +282,22 @@ def test_queries_match_their_sql(spark):
         assert plain(QUERIES[name](spark, sf).toPandas()) == plain(con.execute(sql).df()), name
 
 
+def test_validation_judges_every_event(spark):
+    import duckdb
+
+    from tideline.plans.queries import ORACLES, QUERIES
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"create view events as select * from '{sf}/events.parquet'")
+    for name in ("validate_events", "version_stamping"):
+        # the registered SQL still judges every third event only
+        sql = ORACLES[name].replace(" WHERE arrival % 3 = 0", "")
+        got = QUERIES[name](spark, sf)
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()), name
+    judged = {r.arrival for r in QUERIES["validate_events"](spark, sf).collect()}
+    assert {2 * a for (a,) in con.execute("select event_id from events").fetchall()} <= judged
+
+
 def test_lifecycle_and_snapshot_service(spark, tmp_path):
     from tideline.plans import service
 
