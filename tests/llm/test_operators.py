@@ -219,6 +219,17 @@ def test_filter_follows_the_corpus(spark, rows, docs, monkeypatch):
         assert held.top == 3 and (held.levels(keys) == 3).all() and held.size >= 3 * size * 8
 
 
+def test_unseen_keys_pass_at_the_stated_rate():
+    rng = np.random.default_rng(4)
+    every = np.unique(rng.integers(0, 2**64, 300_000, dtype=np.uint64) & bloomlm._TOP48)
+    rng.shuffle(every)
+    seen, unseen = every[:100_000], every[100_000:]
+    held = bloomlm.segment_filter(seen, rng.geometric(0.4, len(seen)).astype(float))
+    rate = (held.levels(unseen) > 0).mean()
+    print("rate of unseen keys that pass:", rate)
+    assert 0 < rate < 1.15 * bloomlm.FALSE_RATE
+
+
 def test_packing(spark, rows, docs):
     from tokenizers import Tokenizer
 
