@@ -195,6 +195,15 @@ def test_exact_resampling(spark):
     assert history.verify_series(overlap).count() == 0
 
 
+def test_strictest_freshness_and_foreign_instruments(spark):
+    assert (history.strictest_max_age([300, 60, 900]), history.strictest_max_age([])) == (60, None)
+    rows = [("A", "A", 0), ("A", "A", 60), ("B", "B", 0), ("B", "A", 60), ("C", None, 0)]
+    frame = spark.createDataFrame(rows, "wanted string, instrument string, s long")
+    frame = frame.selectExpr("wanted", "instrument", "60 as tf", "s * 1000000 as start_us", "(s + 60) * 1000000 as end_us")
+    got = history.verify_series(frame, 60, asked="wanted").collect()
+    assert [(r.wanted, r.instrument) for r in got] == [("A", "A")] * 2
+
+
 def test_expiry_and_readiness(spark):
     rows = [("X", "U", "future", date(2026, m, 1)) for m in (1, 7, 8, 9, 10, 10)]
     frame = spark.createDataFrame(rows, "exchange string, underlying string, instrument_class string, expiry date")

@@ -20,6 +20,11 @@ def union_requirements(needs: Iterable[tuple[int, int]]) -> list[tuple[int, int]
     return sorted(most.items(), key=lambda x: (x[0] == SESSION, x[0]))
 
 
+def strictest_max_age(ages: Iterable[int]) -> int | None:
+    """The least max_age over consumers; none without a consumer."""
+    return min(ages, default=None)
+
+
 def select_base(target: int, bases: Sequence[int]) -> int | None:
     """The longest base that is shorter than the target and divides it."""
     fits = [b for b in bases if b < target and target % b == 0]
@@ -32,11 +37,16 @@ def fetch_kind(target: int, direct: Sequence[int]) -> str:
     return "pending" if select_base(target, [d for d in direct if d != SESSION]) is None else "reconstruct"
 
 
-def verify_series(candles: DataFrame, seconds: int | None = None) -> DataFrame:
-    """The rows of series (instrument, tf) without repeats, overlaps or wrong widths; one bad row rejects its whole series."""
-    keyed = Window.partitionBy("instrument", "tf")
+def verify_series(candles: DataFrame, seconds: int | None = None, asked: str = "instrument") -> DataFrame:
+    """The rows of series (asked, tf) without repeats, overlaps, wrong widths or foreign instruments; one bad row rejects its whole series.
+
+    asked: the column of the instrument that a row was fetched for; a row of another, or of none, is foreign.
+    """
+    keyed = Window.partitionBy(asked, "tf")
     order = keyed.orderBy("start_us", "end_us")
     wrong = F.coalesce(F.lag("end_us").over(order) > F.col("start_us"), F.lit(False))
+    if asked != "instrument":
+        wrong = wrong | ~F.col("instrument").eqNullSafe(F.col(asked))
     if seconds is not None:
         wrong = wrong | (F.col("end_us") - F.col("start_us") != seconds * sessions.SECOND)
     marked = candles.withColumn("__wrong", wrong)
