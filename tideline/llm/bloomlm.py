@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tideline.llm.common import Stored, append_arrow
+from tideline.llm.common import ROWS_AT_ONCE, Stored, quoted
 
 #: The end token; a word can't hold white space, so none equals it.
 END = b"\n"
@@ -22,13 +22,12 @@ BASE = 1.5
 HASHES = 4
 #: Chance that a probe for what was never inserted passes; it sets the filter's bits for each inserted (n-gram, level).
 FALSE_RATE = 0.01
-#: A chunk of texts looks up each of its n-grams once; it ends after the text that reaches this many tokens.
+#: Of a chunk of texts each n-gram is counted and looked up once; it ends after the text that reaches this many tokens or bytes.
 CHUNK_TOKENS = 2_000_000
-#: N-gram hashes are dealt out by their top bits; a task holds one segment's n-grams at a time.
-SEGMENT_BITS = 10
-#: Most words (of 64 bytes at most) whose exact counts are broadcast for the base score; the rest are joined.
-HEAD_WORDS = 150_000
-HEAD_BYTES = 64
+CHUNK_BYTES = 32 << 20
+#: N-grams are dealt out by the top bits of their hashes, so many that a segment gets about this many at most; a task holds one segment at a time.
+SEGMENT_TOKENS = 1 << 21
+LEAST_BITS = 6
 KAPPA = 300.0
 
 
@@ -56,13 +55,10 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A partitioned Bloom filter, or one segment of it: a key's segment is its top bits; in it, HASHES positions for each (key, level).
+    """The Bloom filter of one segment: HASHES positions for each (key, level). top is the greatest level inserted; no higher one is probed."""
 
-    top, if given, is the greatest level inserted; no higher one is probed.
-    """
-
-    def __init__(self, bits_per_segment: int, data: np.ndarray, top: int | None = None):
-        self.size, self.data, self.top = bits_per_segment, data, top
+    def __init__(self, size: int, data: np.ndarray, top: int):
+        self.size, self.data, self.top = size, data, top
 
     @staticmethod
     def positions(keys: np.ndarray, level: int, k: int, size: int) -> np.ndarray:
@@ -72,378 +68,344 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: membership is probed for level 1, 2, .. until a probe fails."""
         out = np.zeros(len(keys), np.int64)
-        base = (keys >> np.uint64(64 - SEGMENT_BITS)) * np.uint64(self.size if 8 * len(self.data) > self.size else 0)
         live, level = np.arange(len(keys)), 0
-        while len(live) and (self.top is None or level < self.top):
+        while len(live) and level < self.top:
             level += 1
             for k in range(HASHES):
-                at = base[live] + self.positions(keys[live], level, k, self.size)
+                at = self.positions(keys[live], level, k, self.size)
                 live = live[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
             out[live] = level
         return out
 
 
-def _segments(keys: np.ndarray, counts: np.ndarray):
-    """(segment, keys, counts) of sorted keys."""
-    where = (keys >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-    bounds = np.searchsorted(where, np.arange((1 << SEGMENT_BITS) + 1))
-    for s in np.unique(where):
-        yield int(s), keys[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]]
-
-
-def _packed(segment_rows) -> pa.RecordBatch:
-    """Singletons and the rest apart; of a key the top 48 bits are kept, which its positions derive from.
-
-    In a segment these are 38 bits after its number; their steps are written byte by byte, most of the high ones 0.
-    """
-    rows = list(segment_rows)
-
-    def cut(keys: np.ndarray) -> bytes:
-        steps = np.diff(keys << np.uint64(SEGMENT_BITS) >> np.uint64(16 + SEGMENT_BITS), prepend=np.uint64(0))
-        return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
-
-    once = [cut(keys[counts == 1]) for _, keys, counts in rows]
-    more = [cut(keys[counts > 1]) for _, keys, counts in rows]
-    counts = [counts[counts > 1].astype("<u4").tobytes() for _, _, counts in rows]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([s for s, _, _ in rows], pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array(counts, pa.binary())],
-        names=["segment", "once", "more", "counts"],
-    )
-
-
-def _unpacked(data: bytes, segment: int) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64) << np.uint64(16) | np.uint64(segment << 64 - SEGMENT_BITS)
+def segment_filter(keys: np.ndarray, counts: np.ndarray, false_rate: float = FALSE_RATE) -> Filter:
+    """The filter of one segment's keys (repeated ones are summed, those of count 0 left out), sized by its insertions for false_rate."""
+    keys, inverse = np.unique(keys, return_inverse=True)
+    counts = np.bincount(inverse, counts, len(keys))
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    level = level_of(counts)
+    bits = -HASHES / math.log(1 - false_rate ** (1 / HASHES))
+    size = max(64, math.ceil(bits * int(level.sum()) / 8) * 8)
+    flags = np.zeros(size, np.uint8)
+    live, q = np.arange(len(keys)), 0
+    while len(live):
+        q += 1
+        for k in range(HASHES):
+            flags[Filter.positions(keys[live], q, k, size)] = 1
+        live = live[level[live] > q]
+    return Filter(size, np.packbits(flags, bitorder="little"), q)
 
 
-_PACKED = "segment int, once binary, more binary, counts binary"
 _TOP48 = np.uint64(0xFFFFFFFFFFFF0000)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxh64_intdigest(word)
-        return h
+def _shrunk(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
 
 
-def _hashed(texts: list[bytes | None], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts in a row and how many each has."""
-    if len(known) > 200_000:
-        known.clear()
-    return _hashed_words([tokens_of(t or b"") for t in texts], known)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers written byte by byte, compressed: most of the high bytes are 0. The length stands before."""
+    return len(numbers).to_bytes(8, "little") + _shrunk(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes())
 
 
-def _hashed_words(words: list[list[bytes]], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words], np.int64)
-    return np.fromiter((known[x] for w in words for x in w), np.uint64, int(sizes.sum())), sizes
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd") if n else b"", np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _contexts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The hash before each token; the end token's before a text's first."""
-    before = np.empty_like(hashes)
-    if len(hashes):
-        before[1:] = hashes[:-1]
-        before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = xxh64_intdigest(END)
-    return before
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their steps. The top 48 bits are kept, which their positions derive from."""
+    return _planes(np.diff(keys >> np.uint64(16), prepend=np.uint64(0)).astype("<u8"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): exact counts of all tokens of the binary column text, combined before they are shuffled."""
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, "<u8"), dtype=np.uint64) << np.uint64(16)
 
-    def run(batches):
-        counts: Counter[bytes] = Counter()
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+class _Numbering(dict):
+    """A number for each new word, from 0 on."""
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens_of(text or b""))
-                if len(counts) > 300_000:
-                    yield rows()
-                    counts.clear()
-        yield rows()
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+class _Gathered:
+    """The texts of a chunk so far, as numbers of its words."""
 
-def pair_counts(texts: DataFrame, chunk: int = 4_000_000) -> DataFrame:
-    """Packed bigram counts by segment, those of up to chunk tokens summed in a row."""
+    def __init__(self):
+        self.words, self.tokens, self.rows, self.learns, self.size, self.bytes = _Numbering(), [], [], [], 0, 0
 
-    def run(batches):
-        known, held, size = _Hashes(), [], 0
+    def add(self, text: bytes, row: int | None, learns: bool) -> int:
+        tokens = tokens_of(text)
+        self.tokens.append(np.fromiter(map(self.words.__getitem__, tokens), np.uint32, len(tokens)))
+        self.rows.append(-1 if row is None else row)
+        self.learns.append(learns)
+        self.size += len(tokens)
+        self.bytes += len(text)
+        return len(tokens)
 
-        def rows():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _packed(_segments(keys, counts))
+    def full(self) -> bool:
+        return self.size >= CHUNK_TOKENS or self.bytes >= CHUNK_BYTES
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
-                hashes, sizes = _hashed(texts[at : at + 500], known)
-                held.append(pair_keys(_contexts(hashes, sizes), hashes) & _TOP48)
-                size += len(hashes)
-                if size >= chunk:
-                    yield rows()
-                    held, size = [], 0
-        if size:
-            yield rows()
+    def packed(self) -> dict[str, bytes]:
+        """Frequent words get low numbers, so that the numbers compress."""
+        sizes = np.array([len(x) for x in self.tokens], "<u4")
+        tokens = np.concatenate(self.tokens)
+        order = np.argsort(-np.bincount(tokens), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        words = list(self.words)
+        return {
+            "words": _blob([words[i] for i in order.tolist()]), "tokens": _planes(number[tokens].astype("<u4")), "sizes": _planes(sizes),
+            "rows": _planes(np.array(self.rows, "<i8")), "learns": _planes(np.array(self.learns, np.uint8)),
+        }
 
-    return texts.mapInArrow(run, _PACKED)
 
+def _blob(words: list[bytes]) -> bytes:
+    """Words never hold a space."""
+    data = b" ".join(words)
+    return len(data).to_bytes(8, "little") + _shrunk(data)
 
-def _unigram_rows(counts: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            keys = _mix(np.array([xxh64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64)) & _TOP48
-            order = np.argsort(keys)
-            if len(keys):
-                yield _packed(_segments(keys[order], batch.column(1).to_numpy()[order]))
 
-    return counts.select("word", "n").mapInArrow(run, _PACKED)
-
-
-def segment_filter(keys: np.ndarray, counts: np.ndarray, false_rate: float = FALSE_RATE) -> Filter:
-    """The filter of one segment's keys (repeated ones are summed), sized by its insertions for false_rate."""
-    keys, inverse = np.unique(keys, return_inverse=True)
-    level = level_of(np.bincount(inverse, counts))
-    bits = -HASHES / math.log(1 - false_rate ** (1 / HASHES))
-    size = max(64, math.ceil(bits * int(level.sum()) / 8) * 8)
-    flags = np.zeros(size, np.uint8)
-    live, q = np.arange(len(keys)), 0
-    while len(live):
-        q += 1
-        for k in range(HASHES):
-            flags[Filter.positions(keys[live], q, k, size)] = 1
-        live = live[level[live] > q]
-    return Filter(size, np.packbits(flags, bitorder="little"), q)
-
-
-def look_up(packed: DataFrame, probes: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
-    """(chunk, segment, levels): a level for each key of probes (chunk, segment, keys), in their order.
-
-    A segment's filter is built and probed where its n-grams meet and is then given up, so nothing holds the whole filter.
-    """
-
-    def run(batches):
-        now, parts, held, asked, size = None, [], None, [], 0
-
-        def found():
-            nonlocal held, parts, asked, size
-            if held is None:
-                none = (np.zeros(0, np.uint64), np.zeros(0))
-                held, parts = segment_filter(*[np.concatenate(x) for x in zip(none, *parts, strict=True)], false_rate), []
-            keys, inverse = np.unique(np.concatenate([k for _, k in asked]), return_inverse=True)
-            each = np.split(held.levels(keys).astype(np.uint8)[inverse], np.cumsum([len(k) for _, k in asked])[:-1])
-            out = [pa.array([c for c, _ in asked], pa.int64()), pa.array([now] * len(asked), pa.int32()), pa.array([x.tobytes() for x in each], pa.binary())]
-            asked, size = [], 0
-            return pa.RecordBatch.from_arrays(out, names=["chunk", "segment", "levels"])
-
-        for batch in batches:
-            for segment, once, more, counts, chunk in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if asked and (segment != now or size > 1 << 20):
-                    yield found()
-                if segment != now:
-                    now, parts, held = segment, [], None
-                keys = _unpacked(once, segment)
-                if chunk is None:
-                    b = _unpacked(more, segment)
-                    parts += [(keys, np.ones(len(keys))), (b, np.frombuffer(counts, "<u4").astype(float))]
-                else:
-                    asked.append((chunk, keys))
-                    size += len(keys)
-        if asked:
-            yield found()
-
-    nothing = F.lit(b"")
-    both = packed.withColumn("chunk", F.lit(None).cast("long")).unionByName(
-        probes.select("segment", F.col("keys").alias("once"), nothing.alias("more"), nothing.alias("counts"), "chunk")
-    )
-    return both.repartition("segment").sortWithinPartitions("segment", "chunk").mapInArrow(run, "chunk long, segment int, levels binary")
+def _unblob(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, "zstd", asbytes=True).split(b" ") if n else []
 
 
 class Chunk:
-    """Some texts as numbers: the hashes of their words, and each text's tokens as places among these."""
-
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
-        self.words, self.starts = words, np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = tokens[:-1]
-        before[self.starts] = np.flatnonzero(words == np.uint64(xxh64_intdigest(END)))[0]
-        pairs, self.where = np.unique(before * len(words) + tokens, return_inverse=True)
-        self.first, self.second = pairs // len(words), pairs % len(words)
-        keys = np.concatenate([_mix(words), pair_keys(words[self.first], words[self.second])]) & _TOP48
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-
-    def score(self, levels: np.ndarray, n: int, v: int, kappa: float = KAPPA) -> np.ndarray:
-        """log10 probability of each text, given its keys' levels: Dirichlet-smoothed bigrams over add-one unigrams.
-
-        Every count but N and V comes from the filter.
+    """Some texts as numbers: each text's tokens as places among the chunk's words, and the distinct pairs of neighbours."""
+
+    def __init__(self, made: dict[str, bytes]):
+        self.sizes, self.rows = _numbers(made["sizes"], "<u4").astype(np.int64), _numbers(made["rows"], "<i8")
+        self.learns = _numbers(made["learns"], "u1").astype(bool)
+        self.tokens = _numbers(made["tokens"], "<u4").astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.words = _unblob(made["words"])
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = self.tokens[-1]  # the end token stands before a text's first, too
+        pairs, self.where = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
+        self.first, self.second = pairs // len(self.words), pairs % len(self.words)
+        hashes = np.array([xxh64_intdigest(w) for w in self.words], np.uint64)
+        keys, alone = pair_keys(hashes[self.first], hashes[self.second]) & _TOP48, _mix(hashes) & _TOP48
+        self.order, self.word_order = np.argsort(keys, kind="stable"), np.argsort(alone, kind="stable")
+        self.keys, self.word_keys = keys[self.order], alone[self.word_order]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each pair, and each word, stands in the texts to learn from, in the order of their keys."""
+        mine = np.repeat(self.learns, self.sizes)
+        return np.bincount(self.where[mine], minlength=len(self.first))[self.order], np.bincount(self.tokens[mine], minlength=len(self.words))[self.word_order]
+
+    def questions(self, bits: int) -> pa.RecordBatch:
+        """What each segment is asked: keys of pairs, and words, each with its count here."""
+        pairs, words = self.counts()
+        names = [self.words[i] for i in self.word_order.tolist()]
+        bounds = [np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) for k in (self.keys, self.word_keys)]
+        columns: list[list] = [[], [], [], [], [], []]
+        for s in range(1 << bits):
+            (a, b), (c, d) = ((int(x[s]), int(x[s + 1])) for x in bounds)
+            if a < b or c < d:
+                cells = (s, _packed_keys(self.keys[a:b]), _planes(pairs[a:b].astype("<u4")), _blob(names[c:d]), d - c, _planes(words[c:d].astype("<u4")))
+                for column, cell in zip(columns, cells, strict=True):
+                    column.append(cell)
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["segment", "keys", "counts", "words", "n_words", "word_counts"])
+
+    def probabilities(self, levels: np.ndarray, word_levels: np.ndarray, n: int, v: int, kappa: float = KAPPA) -> np.ndarray:
+        """p(second | first) of each distinct pair, given its keys' levels: Dirichlet-smoothed bigrams over add-one unigrams.
+
+        Every count but N and V comes from the filter. Over all words the probabilities after a context sum to 1 at
+        most, false positives apart: a level gives the least count it stands for, and contexts, in the
+        denominator, BASE times that. What lacks is what the levels' width loses, a third at most.
         """
-        counts = np.empty(len(levels))
-        counts[self.order] = count_of(levels)
-        alone, pairs = np.split(counts, [len(self.words)])
+        pairs, alone = np.empty(len(levels)), np.empty(len(word_levels))
+        pairs[self.order], alone[self.word_order] = count_of(levels), count_of(word_levels)
         context = alone[self.first]
-        # a level says at least this much of a context, and up to BASE times as much
-        p = (np.minimum(pairs, context) + kappa * (alone[self.second] + 1) / (n + v + 1)) / (context * BASE + kappa)
-        return np.add.reduceat(np.log10(p)[self.where], self.starts)
+        return (np.minimum(pairs, context) + kappa * (alone[self.second] + 1) / (n + v + 1)) / (context * BASE + kappa)
 
+    def score(self, levels: np.ndarray, word_levels: np.ndarray, n: int, v: int) -> np.ndarray:
+        """log10 probability of each text."""
+        return np.add.reduceat(np.log10(self.probabilities(levels, word_levels, n, v))[self.where], self.starts)
 
-def _width(words: np.ndarray) -> str:
-    return "<u2" if len(words) <= 1 << 16 else "<u4"
+    def base(self, counts: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """The known tokens and the base score of each text, given its words' exact counts."""
+        exact = np.empty(len(counts))
+        exact[self.word_order] = counts
+        sums = np.add.reduceat(np.log10(exact + 1)[self.tokens], self.starts) - self.sizes * math.log10(n + v + 1)
+        return np.add.reduceat((exact > 0)[self.tokens].astype(np.int64), self.starts), sums
 
 
-def _packed_chunk(hashes: np.ndarray, sizes: np.ndarray, rows: list[int]) -> dict[str, bytes]:
-    """Frequent words get low numbers and the numbers are written byte by byte, so that they compress."""
-    words, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    number = np.empty(len(words), np.int64)
-    number[order] = np.arange(len(words))
-    tokens = number[inverse].astype(_width(words))
-    planes = tokens.view(np.uint8).reshape(len(tokens), -1).T.tobytes()
-    return {"words": words[order].astype("<u8").tobytes(), "tokens": pa.compress(planes, "zstd", asbytes=True), "sizes": sizes.astype("<u4").tobytes(), "rows": np.array(rows, "<i8").tobytes()}
+_MADE = T.StructType([T.StructField(x, T.BinaryType()) for x in ("words", "tokens", "sizes", "rows", "learns")])
+_MADE_ARROW = pa.struct([(x, pa.binary()) for x in _MADE.names])
 
 
-def _unpacked_chunk(made: dict[str, bytes]) -> tuple[Chunk, np.ndarray]:
-    words, sizes = np.frombuffer(made["words"], "<u8"), np.frombuffer(made["sizes"], "<u4").astype(np.int64)
-    n, kind = int(sizes.sum()), np.dtype(_width(words))
-    planes = np.frombuffer(pa.decompress(made["tokens"], n * kind.itemsize, "zstd"), np.uint8).reshape(kind.itemsize, n)
-    return Chunk(words, np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64), sizes), np.frombuffer(made["rows"], "<i8")
+def gather(docs: DataFrame, text: Column, learns: Column, scored: Column, kept: list[str]) -> DataFrame:
+    """A row (kept, __row, n_tokens) for each scored row of docs, and, after those it holds, a row (__chunk, __made) for each chunk."""
+    chosen = docs.select(*map(quoted, kept), text.alias("__t"), learns.alias("__learns"), scored.alias("__scored"))
+    fields = [T.StructField(f.name, f.dataType) for f in chosen.schema.fields[: len(kept)]]
+    out = T.StructType([*fields, T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("__chunk", T.LongType()), T.StructField("__made", _MADE)])
 
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        now, done, chunks, kinds = _Gathered(), 0, 0, []
+
+        def closed():
+            nonlocal now, chunks
+            chunks += 1
+            cells = [pa.nulls(1, k) for k in kinds] + [pa.nulls(1, pa.int64())] * 2 + [pa.array([part << 32 | chunks], pa.int64()), pa.array([now.packed()], _MADE_ARROW)]
+            now = _Gathered()
+            return pa.RecordBatch.from_arrays(cells, names=out.names)
+
+        for whole in batches:
+            kinds = [c.type for c in whole.columns[: len(kept)]]
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                rows, sizes = [], []
+                for t, learn, shown in zip(*[c.to_pylist() for c in batch.columns[len(kept) :]], strict=True):
+                    row = part << 40 | done if shown else None
+                    size = now.add(t or b"", row, bool(learn))
+                    if shown:
+                        rows.append(row)
+                        sizes.append(size)
+                        done += 1
+                    if now.full():
+                        yield closed()
+                mine = batch.filter(pa.compute.fill_null(batch.column(len(kept) + 2), False))
+                yield pa.RecordBatch.from_arrays(
+                    [*mine.columns[: len(kept)], pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), _MADE_ARROW)], names=out.names
+                )
+        if now.size:
+            yield closed()
+
+    return chosen.mapInArrow(run, out)
+
+
+def ask(chunks: DataFrame, bits: int) -> DataFrame:
+    """(chunk, segment, keys, counts, words, n_words, word_counts): the n-grams of each chunk (chunk, made) by segment."""
+
+    def run(batches):
+        for batch in batches:
+            for number, made in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                asked = Chunk(made.as_py()).questions(bits)
+                yield pa.RecordBatch.from_arrays([pa.array([number] * asked.num_rows, pa.int64()), *asked.columns], names=["chunk", *asked.schema.names])
 
-_CHUNK = "struct<words:binary,tokens:binary,sizes:binary,rows:binary>"
-_CHUNK_ARROW = pa.struct([(x, pa.binary()) for x in ("words", "tokens", "sizes", "rows")])
+    return chunks.mapInArrow(run, "chunk long, segment int, keys binary, counts binary, words binary, n_words int, word_counts binary")
 
 
-def probes_of(chunks: DataFrame) -> DataFrame:
-    """(chunk, segment, keys) of chunks (chunk, made): the keys of each chunk's n-grams by segment, in order."""
+def answer(asked: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
+    """(chunk, segment, levels, word_levels, exact, n, v) for each row of ask: by the filter each key's level, and words' exact counts.
+
+    A segment's rows meet, its filter is built from their sums, probed for all of them and given up, so nothing
+    holds the whole filter. n and v are a segment's tokens and distinct words, on one of its rows.
+    """
+    names = ["chunk", "segment", "levels", "word_levels", "exact", "n", "v"]
+
+    def answered(segment: int, rows: list[tuple]):
+        chunks, packed, counts, blobs, sizes, word_counts = zip(*rows, strict=True)
+        keys = [_unpacked_keys(k) for k in packed]
+        words = [_unblob(b) if n else [] for b, n in zip(blobs, sizes, strict=True)]
+        exact: Counter[bytes] = Counter()
+        for w, c in zip(words, word_counts, strict=True):
+            for x, k in zip(w, _numbers(c, "<u4").tolist(), strict=True):
+                exact[x] += k
+        every = list(exact)
+        alone = _mix(np.array([xxh64_intdigest(w) for w in every], np.uint64)) & _TOP48
+        sums = np.array([exact[w] for w in every], float)
+        held = segment_filter(np.concatenate([*keys, alone]), np.concatenate([*[_numbers(c, "<u4") for c in counts], sums]).astype(float), false_rate)
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        found = np.split(held.levels(distinct).astype(np.uint8)[inverse], np.cumsum([len(k) for k in keys])[:-1])
+        level = dict(zip(every, held.levels(alone).tolist(), strict=True))
+        n, v = int(sums.sum()), int((sums > 0).sum())
+        for i, (chunk, w, mine) in enumerate(zip(chunks, words, found, strict=True)):
+            cells = (chunk, segment, _planes(mine), _planes(np.array([level[x] for x in w], np.uint8)), _planes(np.array([exact[x] for x in w], "<i8")), 0 if i else n, 0 if i else v)
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
 
     def run(batches):
+        now, rows = None, []
         for batch in batches:
-            for number, made in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                keys = _unpacked_chunk(made)[0].keys
-                packed = _packed(_segments(keys, np.ones(len(keys), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([number] * packed.num_rows, pa.int64()), packed.column(0), packed.column(1)], names=["chunk", "segment", "keys"])
+            for segment, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if segment != now and rows:
+                    yield from answered(now, rows)
+                    rows = []
+                now = segment
+                rows.append(row)
+        if rows:
+            yield from answered(now, rows)
+
+    dealt = asked.repartition("segment").sortWithinPartitions("segment", "chunk")
+    return dealt.select("segment", "chunk", "keys", "counts", "words", "n_words", "word_counts").mapInArrow(
+        run, "chunk long, segment int, levels binary, word_levels binary, exact binary, n long, v long"
+    )
 
-    return chunks.mapInArrow(run, "chunk long, segment int, keys binary")
 
+def tell(chunks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
+    """(__row, n_known, base_score, score) of every scored text of chunks (chunk, made)."""
 
-def scores_of(chunks: DataFrame, levels: DataFrame, n: int, v: int) -> DataFrame:
-    """(__row, score) of every text of chunks (chunk, made), from what look_up found."""
+    def told(made, parts):
+        chunk = Chunk(made)
+        levels, word_levels, exact = (np.concatenate([_numbers(p[i], kind) for p in parts]) for i, kind in enumerate(("u1", "u1", "<i8")))
+        known, base = chunk.base(exact, n, v)
+        mine = chunk.rows >= 0
+        cells = (chunk.rows, known, base, chunk.score(levels.astype(np.int64), word_levels.astype(np.int64), n, v))
+        return pa.RecordBatch.from_arrays([pa.array(x[mine]) for x in cells], names=["__row", "n_known", "base_score", "score"])
 
     def run(batches):
         made, parts = None, []
-
-        def scored():
-            chunk, rows = _unpacked_chunk(made)
-            scores = chunk.score(np.frombuffer(b"".join(parts), np.uint8).astype(np.int64), n, v)
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(scores, pa.float64())], names=["__row", "score"])
-
         for batch in batches:
-            for x, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for x, *part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if x is None:
-                    parts.append(found)
+                    parts.append(part)
                     continue
                 if made:
-                    yield scored()
+                    yield told(made, parts)
                 made, parts = x, []
         if made:
-            yield scored()
+            yield told(made, parts)
 
-    both = chunks.select("chunk", F.lit(-1).alias("segment"), "made", F.lit(None).cast("binary").alias("levels")).unionByName(
-        levels.select("chunk", "segment", F.lit(None).cast(_CHUNK).alias("made"), "levels")
+    none = [F.lit(None).cast("binary").alias(x) for x in ("levels", "word_levels", "exact")]
+    both = chunks.select("chunk", F.lit(-1).alias("segment"), "made", *none).unionByName(
+        answers.select("chunk", "segment", F.lit(None).cast(_MADE).alias("made"), "levels", "word_levels", "exact")
+    )
+    return both.repartition("chunk").sortWithinPartitions("chunk", "segment").select("made", "levels", "word_levels", "exact").mapInArrow(
+        run, "__row long, n_known long, base_score double, score double"
     )
-    return both.repartition("chunk").sortWithinPartitions("chunk", "segment").select("made", "levels").mapInArrow(run, "__row long, score double")
-
 
-_held: dict[str, _Hashes] = {}
 
+def score_marked(
+    docs: DataFrame, learns: Column, *, scored: Column | None = None, text: str = "text", keep: list[str] | None = None, false_rate: float = FALSE_RATE
+) -> DataFrame:
+    """keep (default: all but the text) plus n_tokens, n_known, train_tokens, base_score and score for every row of docs (where scored holds).
 
-def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[str] | None = None, false_rate: float = FALSE_RATE) -> DataFrame:
-    """keep (default: all but the text) plus n_tokens, n_known, train_tokens, base_score and score for every row of docs.
-
-    Null texts count as empty, which is one end token; with an empty train nothing is known, N and V are 0 and
-    every p is that of an unseen token; repeated rows score alike; columns of these names are replaced.
-    The filter is sized by the distinct (n-gram, level) pairs of train, whatever their number. Texts don't meet
-    it whole: the keys of their n-grams are dealt out by segment and only levels come back.
-    The base score is exact: the counts of the HEAD_WORDS most frequent words are broadcast, other words are
-    joined with their counts by (row, word).
+    The model is that of the rows where learns holds. Null texts count as empty, which is one end token; a null
+    learns is false; if nothing is learned from, N and V are 0 and every p is that of an unseen token; repeated
+    rows learn and score alike; an empty table gives no rows; columns of these names are replaced.
+    Texts become numbers chunk by chunk, and of a chunk each distinct n-gram goes, once, with its count to the
+    segment of its hash, where counts are summed, the filter's segment is built and probed, and levels and words' exact
+    counts (for the base score) go back. Filter and segments grow with the input; no task holds more than one of them.
     """
-    spark = docs.sparkSession
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c != text] if keep is None else keep
-    known = train.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    counts = Stored(word_counts(known)).df
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = total.n or 0, total.v
-    top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    head = {bytes(r.word): math.log10(r.n + 1) for r in top.collect()}
-    data = spark.sparkContext.broadcast(head)
-
-    def make(token=uuid.uuid4().hex):
-        exact = data.value
-        if token not in _held:
-            _held.clear()
-            _held[token] = _Hashes()
-        part = TaskContext.get().partitionId()
-        done = 0
-
-        def run(texts):
-            nonlocal done
-            rows, sizes, hits, logs, words, times, bounds, chunks = [], [], [], [], [], [], [0], []
-            hashes, size = [], 0
-            data = texts.to_pylist()
-            for i, t in enumerate(data):
-                tokens = tokens_of(t or b"")
-                hashes.append(_hashed_words([tokens], _held[token])[0])
-                size += len(tokens)
-                known = 0
-                held = 0.0
-                for w, k in Counter(tokens).items():
-                    log = exact.get(w)
-                    if log is None:
-                        words.append(w)
-                        times.append(k)
-                    else:
-                        known += k
-                        held += k * log
-                rows.append(part << 40 | done)
-                done += 1
-                sizes.append(len(tokens))
-                hits.append(known)
-                logs.append(held)
-                bounds.append(len(words))
-                if size >= CHUNK_TOKENS or i == len(data) - 1:
-                    chunks.append(_packed_chunk(np.concatenate(hashes), np.array(sizes[-len(hashes) :]), rows[-len(hashes) :]))
-                    hashes, size = [], 0
-                    if len(_held[token]) > 200_000:
-                        _held[token].clear()
-                else:
-                    chunks.append(None)
-            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
-            return [
-                pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(logs, pa.float64()),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rest), pa.array(chunks, _CHUNK_ARROW),
-            ]
-
-        return run
-
-    schema = "__row long, n_tokens long, __head long, __sum double, __rest array<struct<word:binary,k:bigint>>, __made " + _CHUNK
-    rows = Stored(append_arrow(docs, [F.col(text).cast("binary")], schema, make, kept)).df
-    chunks = rows.where("__made is not null").select(F.col("__row").alias("chunk"), F.col("__made").alias("made"))
-    levels = look_up(pair_counts(known).unionByName(_unigram_rows(counts)), probes_of(chunks), false_rate)
-    scores = scores_of(chunks, levels, n, v).select("__row", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("log"), "score")
-    words = rows.select("__row", F.inline("__rest")).join(counts, "word")
-    words = words.select("__row", "k", (F.col("k") * F.log10(F.col("n") + 1)).alias("log"), F.lit(None).cast("double").alias("score"))
-    rest = words.unionByName(scores).groupBy("__row").agg(F.sum("k").alias("__more"), F.sum("log").alias("__logs"), F.max("score").alias("score"))
-    all_logs = F.col("__sum") + F.coalesce("__logs", F.lit(0.0))
-    return rows.drop("__rest", "__made").join(rest, "__row", "left").select(
-        *[c for c in kept if c in rows.columns],
-        "n_tokens",
-        (F.col("__head") + F.coalesce("__more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (all_logs - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        "score",
+    kept = [c for c in kept if c not in new]
+    rows = Stored(gather(docs, quoted(text).cast("binary"), learns, F.lit(True) if scored is None else scored, kept)).df
+    chunks = rows.where("__chunk is not null").select(F.col("__chunk").alias("chunk"), F.col("__made").alias("made"))
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, total) / SEGMENT_TOKENS)))
+    answers = Stored(answer(ask(chunks, bits), false_rate)).df
+    sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n, v = sums.n or 0, sums.v or 0
+    told = tell(chunks, answers, n, v)
+    return rows.where("__row is not null").drop("__chunk", "__made").join(told, "__row").select(
+        *map(quoted, kept), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
+
+def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[str] | None = None, false_rate: float = FALSE_RATE) -> DataFrame:
+    """score_marked for every row of docs, learning from the texts of another table, train."""
+    kept = [c for c in docs.columns if c != text] if keep is None else keep
+    mine = docs.select(F.struct(*map(quoted, kept), F.lit(1).alias("__")).alias("d"), quoted(text).alias("t"), F.lit(False).alias("learns"))
+    both = mine.unionByName(train.select(F.lit(None).cast(mine.schema["d"].dataType).alias("d"), quoted(text).alias("t"), F.lit(True).alias("learns")))
+    told = score_marked(both, F.col("learns"), scored=~F.col("learns"), text="t", keep=["d"], false_rate=false_rate)
+    return told.select("d.*", *[c for c in told.columns if c != "d"]).drop("__")

@@ -31,7 +31,7 @@ def op3_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
-    return bloomlm.score(docs, docs.where("not held_out"), keep=["doc_id", "held_out"])
+    return bloomlm.score_marked(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
