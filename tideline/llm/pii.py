@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Stored, quoted
 
 #: Parts matches from the text around them. A text's own U+FFFF reads as U+FFFD, which no pattern tells apart.
-MARK = "￿"
+MARK = "\uffff"
+#: The base kinds, and, after them, what only contexts can confirm.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 #: The base patterns. Runs are taken whole (possessive, from their start or the last match on), so none is scanned twice.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -23,13 +25,17 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Least digits of a candidate without an at sign.
 CANDIDATE_DIGITS = 6
-#: How much text before an identifier its context is read from.
+#: Seeds of the kind secret: hexadecimal keys of 128 bits or more. They are no spans unless a context confirms them.
+SECRET = r"^(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}$"
+#: How much text on either side of an identifier its context is read from.
 CONTEXT_CHARS = 64
 ROUNDS = 3
-#: Least distinct instances of a pattern, least share of their confidence, and least confidence of a new identifier.
+#: Least distinct instances of a pattern, its least precision, and least confidence of a new identifier.
 SUPPORT = 5
 PRECISION = 0.9
 CONFIDENCE = 0.8
+#: Texts are redacted in blocks of so many characters.
+BLOCK = 16_384
 
 
 def _sums(lengths: Column) -> Column:
@@ -48,19 +54,25 @@ def _sums(lengths: Column) -> Column:
     return F.aggregate(slices, F.struct(F.lit(0).alias("at"), nested.alias("out")), add_slice, lambda s: F.flatten(s["out"]))
 
 
+_MATCH = "start:int,end:int,value:string,before:string,after:string"
+
+
 def _matches(parts: Column) -> Column:
-    """Matches (start, end, value, before) from a text split at the marks: the parts with odd index.
+    """Matches (start, end, value, before, after) from a text split at the marks: the parts with odd index.
 
-    parts is used as a column of its own, once in each argument, so it isn't computed again for every part.
+    parts is used as a column of its own, once in each argument, so it isn't computed again for every part. The text's
+    own start and end count as ends of lines.
     """
     starts = _sums(F.transform(parts, lambda p: F.length(p)))
-    before = F.concat(F.array(F.lit("")), parts)
-    zipped = F.arrays_zip(parts.alias("value"), starts.alias("start"), F.slice(before, 1, F.size(parts)).alias("before"))
+    before, after = F.concat(F.array(F.lit("")), parts), F.concat(parts, F.array(F.lit("")))
+    zipped = F.arrays_zip(parts.alias("value"), starts.alias("start"), F.slice(before, 1, F.size(parts)).alias("before"), F.slice(after, 2, F.size(parts)).alias("after"))
     odd = F.filter(zipped, lambda x, i: i % 2 == 1)
-    made = F.transform(odd, lambda x: F.struct(
-        x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), F.right(x["before"], F.lit(CONTEXT_CHARS)).alias("before"),
+    made = F.transform(odd, lambda x, i: F.struct(
+        x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"),
+        F.concat(F.when(i == 0, F.lit("\n")).otherwise(F.lit("")), F.right(x["before"], F.lit(CONTEXT_CHARS))).alias("before"),
+        F.concat(F.left(x["after"], F.lit(CONTEXT_CHARS)), F.when(i == (F.size(parts) - 3) / 2, F.lit("\n")).otherwise(F.lit(""))).alias("after"),
     ))
-    return F.when(F.size(parts) > 1, made).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string>>"))
+    return F.when(F.size(parts) > 1, made).otherwise(F.array().cast(f"array<struct<{_MATCH}>>"))
 
 
 def _marked(text: Column, pattern: str, needs: str | None = None) -> Column:
@@ -92,7 +104,7 @@ def _valid(kind: str, value: Column) -> Column:
 def _tagged(i: int, kind: str) -> Column:
     """The valid matches of a kind, so ordered that sorting goes by start, then kind."""
     return F.transform(F.filter(f"m_{kind}", lambda m: _valid(kind, m["value"])), lambda m: F.struct(
-        m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["before"].alias("before"),
+        m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"),
     ))
 
 
@@ -124,58 +136,99 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return Stored(numbered)
 
 
-def _context(before: Column) -> Column:
-    """The last word before, lowered, without the marks around it; empty if there is none on the same line."""
-    return F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09]*$", 1))
-
+def occurrences(found: DataFrame) -> DataFrame:
+    """(row, start, end, instance, kind, seed, before, after): valid base spans, and candidates that none of them overlaps.
 
-def bootstrap(found: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """(row, start, end, kind): identifiers beyond the base, found by the contexts that base identifiers stand in.
-
-    Nodes are patterns (the word before) and instances (the identifier's text), an edge is that they met. Base
-    identifiers are seeds of confidence 1. In each round a pattern's precision is the mean confidence of its
-    distinct instances, and an instance's confidence is 1 less the product of its good patterns' errors; a
-    pattern counts if it has SUPPORT instances and PRECISION. An instance of CONFIDENCE or more that no base span
-    overlaps is taken, with the kind that most of the pattern's seeds have.
+    Overlaps are seen in the order of starts, by how far the base spans before reach and where the next one begins.
     """
-    seeds = found.select("row", F.inline("base")).select(
-        "row", "start", "end", F.lower("value").alias("instance"), _context(F.col("before")).alias("pattern"), F.col("kind"), F.lit(1.0).alias("seed")
-    )
-    apart = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    others = found.where(F.size("candidates") > 0).select("row", F.inline(apart))
+    held = found.where((F.size("base") > 0) | (F.size("candidates") > 0))
+    base = held.select("row", F.inline("base")).select("row", "start", "end", F.lower("value").alias("instance"), "kind", F.lit(1.0).alias("seed"), "before", "after")
     core = F.regexp_extract("value", r"^[^\p{L}0-9+]*(.*?)[^\p{L}0-9]*$", 1)
     lead = F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}0-9+]+", ""))
-    trimmed = others.select(
-        "row", (F.col("start") + lead).alias("start"), (F.col("start") + lead + F.length(core)).alias("end"),
-        F.lower(core).alias("instance"), _context(F.col("before")).alias("pattern"), F.lit(None).cast("int").alias("kind"), F.lit(0.0).alias("seed"),
+    others = held.select("row", F.inline("candidates")).select("row", F.lower(core).alias("instance"), (F.col("start") + lead).alias("start"), F.length(core).alias("length"), "before", "after")
+    secret = F.col("instance").rlike(SECRET)
+    others = others.select(
+        "row", "start", (F.col("start") + F.col("length")).alias("end"), "instance",
+        F.when(secret, len(KINDS)).cast("int").alias("kind"), F.when(secret, 1.0).otherwise(0.0).alias("seed"), "before", "after",
     )
-    seen = Stored(seeds.unionByName(trimmed).where("pattern <> '' and instance <> ''")).df
-    edges = Stored(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("kind").alias("kind"))).df
-    # only instances beside seeds or open ones of patterns with enough instances can change anything
-    graph = edges.withColumn("confidence", F.col("seed"))
-    patterns = None
+    is_base = F.col("kind").isNotNull() & (F.col("kind") < len(KINDS))
+    order = Window.partitionBy("row").orderBy("start", F.when(is_base, 0).otherwise(1), "end")
+    reach = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    overlapped = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("following") < F.col("end"), F.lit(False))
+    return base.unionByName(others).withColumns({"reach": reach, "following": following}).where((is_base | ~overlapped) & (F.col("instance") != "")).drop("reach", "following")
+
+
+def shape(instance: Column) -> Column:
+    """What an identifier looks like: its length if it is of digits alone, 'hex' or 'mixed' for long runs, else its runs of letters as a and of digits as 9."""
+    runs = F.regexp_replace(F.regexp_replace(instance, r"\p{L}+", "a"), "[0-9]+", "9")
+    return (
+        F.when(instance.rlike("^[0-9]+$"), F.concat(F.lit("9x"), F.length(instance).cast("string")))
+        .when(instance.rlike("^[0-9a-f]{12,}$"), F.lit("hex")).when(instance.rlike("^[0-9a-z_-]{12,}$"), F.lit("mixed")).otherwise(F.left(runs, F.lit(24)))
+    )
+
+
+def patterns_of(before: Column, after: Column, instance: Column) -> Column:
+    """The lexical patterns that an occurrence stands in: the word or two before it, the word after, both sides, and these with its shape.
+
+    Words are lowered and of the same line: ^ and $ stand for its ends, # for another identifier beside it.
+    """
+    line, next_line = F.lower(F.regexp_extract(before, r"([^\n\x0B-\x0D]*)$", 1)), F.lower(F.regexp_extract(after, r"^([^\n\x0B-\x0D]*)", 1))
+    edge = F.when(before.rlike(r"[\n\x0B-\x0D]"), F.lit("^")).otherwise(F.lit("#"))
+    last = F.regexp_extract(line, r"([^\x20\x09]+)[\x20\x09]*$", 1)
+    two = F.regexp_extract(line, r"([^\x20\x09]+[\x20\x09]+[^\x20\x09]+)[\x20\x09]*$", 1)
+    first = F.regexp_extract(next_line, r"^[^\x20\x09]*[\x20\x09]+([^\x20\x09]+)", 1)
+    left, right = F.when(last == "", edge).otherwise(last), F.when(first == "", F.when(after.rlike(r"[\n\x0B-\x0D]"), F.lit("$")).otherwise(F.lit("#"))).otherwise(first)
+    pair = F.when(two == "", F.concat(edge, F.lit(" "), left)).otherwise(F.regexp_replace(two, r"[\x20\x09]+", " "))
+    like = shape(instance)
+    told = lambda name, *cells: F.concat_ws("\t", F.lit(name), *cells)
+    return F.array(told("l", left), told("ll", pair), told("r", right), told("l_r", left, right), told("l_s", left, like), told("ll_s", pair, like), told("s_r", like, right))
+
+
+def bootstrap(found: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+    """(row, start, end, kind): identifiers beyond the base, found by the patterns that seeds stand in.
+
+    Nodes are patterns and instances (the identifier's lowered text), an edge is that they met. Seeds, of
+    confidence 1, are base identifiers and long hexadecimal keys. In each round a pattern's precision is the sum of its distinct
+    instances' confidence, and 1, by their number, and 2 (so small numbers prove little), and an instance's
+    confidence is 1 less the product of its good patterns' errors; a pattern is good if it has SUPPORT instances and PRECISION.
+    Every occurrence of an instance of CONFIDENCE or more that no base span overlaps is taken, with the kind that
+    most seeds of its most precise pattern have (of equals the first). Keys in no good pattern are no spans.
+    """
+    seen = Stored(occurrences(found)).df
+    met = seen.select("instance", "kind", "seed", F.explode(F.array_distinct(patterns_of(F.col("before"), F.col("after"), F.col("instance")))).alias("pattern"))
+    edges = Stored(met.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("kind").alias("kind"))).df
+    graph, patterns, lifted = edges.withColumn("confidence", F.col("seed")), None, None
     for _ in range(rounds):
-        scored = graph.groupBy("pattern").agg(F.count("*").alias("n"), F.avg("confidence").alias("precision"), F.mode("kind").alias("kind"))
-        patterns = Stored(scored.where((F.col("n") >= SUPPORT) & (F.col("precision") >= PRECISION))).df
-        lifted = edges.join(patterns.select("pattern", "precision"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("lifted"))
-        graph = Stored(edges.join(lifted, "instance", "left").withColumn("confidence", F.greatest("seed", F.coalesce("lifted", F.lit(0.0)))).drop("lifted")).df
-    good = graph.where((F.col("seed") == 0) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "instance")
-    return seen.where("seed = 0").drop("kind").join(good, ["pattern", "instance"]).join(patterns.select("pattern", "kind"), "pattern").select("row", "start", "end", "kind")
+        by_kind = [F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(len(ALL_KINDS))]
+        scored = graph.groupBy("pattern").agg(F.count("*").alias("n"), ((F.sum("confidence") + 1) / (F.count("*") + 2)).alias("precision"), *by_kind)
+        most = F.greatest(*[F.col(f"k{k}") for k in range(len(ALL_KINDS))])
+        kind = F.coalesce(*[F.when(F.col(f"k{k}") == most, k) for k in range(len(ALL_KINDS))])
+        good = scored.where((F.col("n") >= SUPPORT) & (F.col("precision") >= PRECISION) & (most > 0))
+        patterns = Stored(good.select("pattern", "precision", kind.alias("told"))).df
+        error = F.greatest(1 - F.col("precision"), F.lit(1e-9))
+        lifted = Stored(edges.join(patterns, "pattern").groupBy("instance").agg(
+            (1 - F.exp(F.sum(F.log(error)))).alias("lifted"), F.max_by("told", F.struct("precision", -F.col("told"))).alias("told")
+        )).df
+        graph = edges.join(lifted, "instance", "left").withColumn("confidence", F.greatest("seed", F.coalesce("lifted", F.lit(0.0))))
+    taken = lifted.where(F.col("lifted") >= CONFIDENCE).select("instance", "told")
+    beyond = seen.where(F.col("kind").isNull() | (F.col("kind") >= len(KINDS)))
+    return beyond.join(taken, "instance").select("row", "start", "end", F.coalesce("kind", "told").alias("kind"))
 
 
 def _text_of(spans: Column) -> Column:
-    name = F.array(*map(F.lit, KINDS))
+    name = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
 
 
 def detect(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep (default: all columns) plus n_email, n_ip, n_card, n_phone, base_sha256, spans and span_list for each row.
+    """keep (default: all columns) plus n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans and span_list for each row.
 
-    Null and empty texts have no span; repeated rows give equal rows; spans are code points, the end
-    exclusive, by start, then kind. span_list holds (start, kind number, end) of all spans. Columns with these
-    names are replaced.
+    The first five tell of base spans alone, the others of all. Null and empty texts have no span; an empty table
+    gives no rows; repeated rows give equal rows; spans are code points, the end exclusive, by start, then kind.
+    span_list holds (start, kind number, end) of all spans. Columns with these names are replaced.
     """
-    new = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "span_list"}
+    new = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "span_list"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     found = find(docs, text, kept).df
     # written first: Spark then knows its size, and moves the texts only if it is too large to broadcast
@@ -190,22 +243,32 @@ def detect(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None
         *[_count_of(i, k) for i, k in enumerate(KINDS)],
         F.sha2(_text_of(F.col("__base")), 256).alias("base_sha256"),
         _text_of(F.col("span_list")).alias("spans"),
+        F.size("span_list").cast("long").alias("n_spans"),
         "span_list",
     )
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """Each span of span_list (as detect gives it, text kept) replaced by its kind in brackets; spans that overlap are one, of the first's kind."""
-    name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s, x):
-        fresh = F.struct(
-            x["end"].alias("at"),
-            F.concat(s["out"], F.array(F.substr(F.col(text), s["at"] + 1, x["start"] - s["at"]), F.get(name, x["kind"]))).alias("out"),
-        )
-        return F.when(x["start"] >= s["at"], fresh).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
-
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col(text), s["at"] + 1, F.length(text)))
-    done = F.when(F.size("span_list") > 0, F.aggregate("span_list", start, step, rest)).otherwise(F.col(text))
+    """Each span of span_list (as detect gives it, text kept) replaced by its kind in brackets; spans that overlap are one, of the first's kind.
+
+    A text is taken in blocks, so that long ones cost no square; a span's name stands in the block where it begins.
+    """
+    name = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
+
+    def cleaned(block: Column, number: Column) -> Column:
+        low = number * BLOCK
+        high = low + F.length(block)
+        mine = F.filter("span_list", lambda s: (s["start"] < high) & (s["end"] > low))
+        start = F.struct(low.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(s, x):
+            reach = F.least(x["end"], high)
+            gap = F.substr(block, s["at"] - low + 1, x["start"] - s["at"])
+            fresh = F.struct(reach.alias("at"), F.concat(s["out"], F.array(gap, F.get(name, x["kind"]))).alias("out"))
+            return F.when(x["start"] >= s["at"], fresh).otherwise(F.struct(F.greatest(s["at"], reach).alias("at"), s["out"].alias("out")))
+
+        return F.aggregate(mine, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(block, s["at"] - low + 1, F.length(block))))
+
+    blocks = F.regexp_extract_all(quoted(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    done = F.when(F.size("span_list") > 0, F.array_join(F.transform(blocks, cleaned), "")).otherwise(quoted(text))
     return found.withColumn(text, done)
