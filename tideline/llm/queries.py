@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,36 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
+#: The tools that calls may name, with their arguments' schemas.
+TOOLS = {
+    "find": {
+        "type": "object", "required": ["n", "q"], "additionalProperties": False,
+        "properties": {"q": {"type": "string"}, "n": {"type": "integer", "minimum": 1, "maximum": 100}, "after": {"type": "object"}},
+    },
+    "run": {"type": "object", "required": ["code"], "properties": {"code": {"type": "string"}, "seconds": {"type": "number", "minimum": 0}}},
+}
+
+
+def _tools(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in TOOLS.items()], "name string, schema string")
+
+
 def op3_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolchat.link(read_table(spark, sf_dir, "conversations"))
+    return toolchat.link(read_table(spark, sf_dir, "conversations"), _tools(spark))
+
+
+def made_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator on calls made of the conversations, which hold none.
+
+    Of three turns the first calls a tool (each call referring to the one three turns before), the second is the result and
+    the third plain text. Tools of every fifth conversation are unknown, some numbers out of range, some results come for calls that there are not.
+    """
+    turns = read_table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "length(coalesce(text, '')) as n")
+    call = """concat('{"tool_calls":[{"id":"c', turn, '","name":"', if(conv_id % 5 = 4, 'nosuch', 'find'), '","arguments":{"q":"w', n, '","n":', n % 7,
+        if(turn >= 3, concat(',"after":{"$ref":"c', turn - 3, '"}'), ''), '}}]}')"""
+    answer = """concat('{"tool_call_id":"', if(n % 11 = 0, 'x', 'c'), turn - 1, '","content":"', n, '"}')"""
+    made = f"case turn % 3 when 0 then {call} when 1 then {answer} else concat('plain ', n) end"
+    return toolchat.link(turns.selectExpr("conv_id", "turn", "role", f"{made} as text"), _tools(spark))
 
 
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +92,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_tool_chat, op4_bloom_lm, op5_language, op6_packing, op7_warc, op8_pii, op9_decontamination, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_tool_chat, op4_bloom_lm, op5_language, op6_packing, op7_warc, op8_pii, op9_decontamination, op10_quality, made_tool_calls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
+    return {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9, "made_tool_calls": sql.MADE_TOOL_CALLS}
