@@ -69,21 +69,24 @@ class Calendar:
         return sum(max(1, (b - a) // seconds) for a, b in self.blocks(day))
 
     def lookback_window(self, day: date, lookback: int, seconds: int | None = None, margin: int = 1) -> list[date]:
-        """The trading days before day whose candles suffice for a lookback; of sessions if seconds is None."""
+        """The trading days before day whose candles suffice for a lookback, and margin more; of sessions if seconds is None.
+
+        With a special session among them each date counts what it holds; one without times fails, wherever it lies.
+        """
         if seconds is None:
             return self.previous_trading_days(day, lookback)
         span = -(-lookback // max(1, (self.block[1] - self.block[0]) // seconds)) + margin
         days = self.previous_trading_days(day, span)
-        special = [d for d in days if d in self.open_sessions]
-        if missing := [d for d in special if d not in self.overrides]:
-            raise MissingTimingError(f"no session times: {missing}")
-        if not special:
+        if not self.open_sessions.intersection(days):
             return days
-        days, held = [], 0
-        while held < lookback:
-            days = self.previous_trading_days(day, len(days) + 1)
+        days, held, spare = [], 0, margin
+        while held < lookback or spare:
+            spare -= held >= lookback
+            days[:0] = self.previous_trading_days(days[0] if days else day, 1)
+            if days[0] in self.open_sessions and days[0] not in self.overrides:
+                raise MissingTimingError(f"no session times: {days[0]}")
             held += self.capacity(days[0], seconds)
-        return self.previous_trading_days(day, len(days) + margin)
+        return days
 
     def days(self, spark: SparkSession) -> DataFrame:
         """trading_date, explicit_open, explicit_closed, weekend, trading: a row per covered date."""

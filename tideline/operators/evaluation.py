@@ -89,13 +89,35 @@ def rank_in_context(results: DataFrame) -> DataFrame:
     return results.where("status = 'MATCHED' and score is not null").withColumn("rank", F.row_number().over(order))
 
 
-def error_lifecycle(outcomes: DataFrame, threshold: int) -> DataFrame:
-    """outcomes (strategy_id, arrival, failed) plus failures in a row and whether the strategy is in ERROR by then; a success resets."""
-    order = Window.partitionBy("strategy_id").orderBy("arrival")
-    streak = outcomes.withColumn("__run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order))
-    inside = Window.partitionBy("strategy_id", "__run").orderBy("arrival")
-    counted = streak.withColumn("failures", F.sum(F.col("failed").cast("int")).over(inside).cast("long")).drop("__run")
-    return counted.withColumn("in_error", F.max(F.col("failures") >= threshold).over(order))
+#: Outcomes of a strategy are folded in blocks of so many arrivals, whose sums are then carried on.
+BLOCK_ARRIVALS = 1 << 16
+
+
+def error_lifecycle(outcomes: DataFrame, threshold: int, block: int = BLOCK_ARRIVALS) -> DataFrame:
+    """outcomes (strategy_id, arrival, failed) plus failures in a row and whether the strategy is in ERROR by then; a success resets.
+
+    There are few strategies and many outcomes: runs are counted within blocks of arrivals, and what a block
+    leaves is carried over the blocks, a row each.
+    """
+    rows = outcomes.withColumn("__block", F.floor(F.col("arrival") / block).cast("long"))
+    inside = Window.partitionBy("strategy_id", "__block").orderBy("arrival")
+    run = Window.partitionBy("strategy_id", "__block", "__run").orderBy("arrival")
+    rows = rows.withColumn("__run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(inside))
+    rows = rows.withColumn("__own", F.sum(F.col("failed").cast("int")).over(run).cast("long"))
+    blocks = rows.groupBy("strategy_id", "__block").agg(
+        F.max("__run").alias("successes"), F.max_by("__own", "arrival").alias("tail"),
+        F.max(F.when(F.col("__run") == 0, F.col("__own"))).alias("head"), F.max("__own").alias("most"),
+    )
+    order = Window.partitionBy("strategy_id").orderBy("__block")
+    stretch = Window.partitionBy("strategy_id", "__stretch").orderBy("__block")
+    blocks = blocks.withColumn("__stretch", F.sum((F.col("successes") > 0).cast("int")).over(order))
+    blocks = blocks.withColumn("__left", F.sum("tail").over(stretch)).withColumn("__carry", F.coalesce(F.lag("__left").over(order), F.lit(0)))
+    worst = F.greatest(F.col("most"), F.coalesce(F.col("head") + F.col("__carry"), F.lit(0)))
+    before = F.coalesce(F.max(worst >= threshold).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    carried = blocks.withColumn("__before", before).select("strategy_id", "__block", "__carry", "__before")
+    told = rows.join(carried, ["strategy_id", "__block"]).withColumn("failures", F.col("__own") + F.when(F.col("__run") == 0, F.col("__carry")).otherwise(0))
+    told = told.withColumn("in_error", F.col("__before") | F.max(F.col("failures") >= threshold).over(inside))
+    return told.drop("__block", "__run", "__own", "__carry", "__before")
 
 
 def collapse(results: DataFrame, universe: DataFrame, policies: DataFrame) -> DataFrame:
@@ -122,12 +144,12 @@ def rank_candidates(results: DataFrame, metric: str, descending: bool = False, k
 
 def snapshot_header(results: DataFrame, metric: str, universe: DataFrame, keys: tuple[str, ...] = ("trading_date",)) -> DataFrame:
     """expected, evaluated, eligible and completeness of each snapshot: COMPLETE if all of the universe was evaluated."""
-    n = universe.select("instrument").distinct().agg(F.count("*").alias("expected"))
+    n = universe.select("instrument").distinct().count()
     counted = results.groupBy(*keys).agg(
         F.count("*").alias("evaluated"), F.count_if((F.col("status") == "MATCHED") & F.col(metric).isNotNull()).alias("eligible")
     )
     whole = F.when(F.col("evaluated") == F.col("expected"), "COMPLETE").otherwise("PARTIAL")
-    return counted.crossJoin(F.broadcast(n)).withColumn("completeness", whole)
+    return counted.withColumn("expected", F.lit(n).cast("long")).withColumn("completeness", whole)
 
 
 def project(ranked: DataFrame, limit: int, metric: str) -> DataFrame:
@@ -149,21 +171,26 @@ TRANSITIONS = {
 }
 
 
-def lifecycle(commands: DataFrame) -> DataFrame:
+def lifecycle(commands: DataFrame, clean_cancellable: str | None = None) -> DataFrame:
     """Each command (strategy_id, arrival, command) with the state it finds, the state it leaves and whether it was allowed.
 
-    A strategy begins REGISTERED. A command that its state doesn't allow changes nothing. The fold runs over one strategy's commands,
-    which operators give by hand and are few.
+    A strategy begins REGISTERED. A command that its state doesn't allow changes nothing. A strategy that is STARTING
+    is force-stopped only where the column clean_cancellable says that its start can be cancelled cleanly. The fold runs
+    over one strategy's commands, which operators give by hand and are few.
     """
-    table = F.create_map(*[F.lit(x) for c, (sources, to) in TRANSITIONS.items() for s in sources for x in (f"{s}>{c}", to)])
+    table = F.create_map(*[F.lit(x) for c, (sources, to) in TRANSITIONS.items() for s in sources for x in (f"{s}>{c}", to)], F.lit("STARTING>force_stop_clean"), F.lit("STOPPED"))
+    if clean_cancellable:
+        clean = (F.col("command") == "force_stop") & F.coalesce(F.col(clean_cancellable), F.lit(False))
+        commands = commands.withColumn("command", F.when(clean, "force_stop_clean").otherwise(F.col("command")))
     rows = commands.groupBy("strategy_id").agg(F.sort_array(F.collect_list(F.struct("arrival", "command"))).alias("c"), F.first(table).alias("t"))
     kind = "array<struct<arrival:bigint,command:string,before:string,after:string,allowed:boolean>>"
 
     def step(done, x):
         before = F.when(F.size(done) == 0, "REGISTERED").otherwise(F.try_element_at(done, F.lit(-1))["after"])
-        to = F.try_element_at(F.col("t"), F.concat_ws(">", before, x["command"]))
+        given = F.regexp_replace(x["command"], "_clean$", "")
+        to = F.coalesce(F.try_element_at(F.col("t"), F.concat_ws(">", before, x["command"])), F.try_element_at(F.col("t"), F.concat_ws(">", before, given)))
         row = F.struct(
-            x["arrival"].cast("long").alias("arrival"), x["command"].alias("command"), before.alias("before"), F.coalesce(to, before).alias("after"), to.isNotNull().alias("allowed")
+            x["arrival"].cast("long").alias("arrival"), given.alias("command"), before.alias("before"), F.coalesce(to, before).alias("after"), to.isNotNull().alias("allowed")
         )
         return F.concat(done, F.array(row))
 

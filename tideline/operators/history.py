@@ -109,27 +109,38 @@ def warmup_status(resolved: str = "resolved", unresolved: str = "unresolved"):
 IDENTITY = ["instrument", "tf", "start_us", "end_us"]
 
 
-def reconcile(incomplete: DataFrame, finalized: DataFrame, authority: DataFrame, *, current_date, trading_days: DataFrame, allow_current: bool = False) -> DataFrame:
-    """An outcome for each incomplete or authoritative candle of trading dates up to today.
+VALUES = ["open", "high", "low", "close", "quantity"]
 
-    Columns of all three: IDENTITY, trading_date, open, high, low, close (authority also quantity). RECONCILED repairs an
-    incomplete candle with the authority's; finalized candles are ALREADY_RECONCILED or in CONFLICT; today's are
-    CURRENT_DAY_WITHHELD unless allowed; incomplete ones the authority lacks are NO_AUTHORITATIVE_CANDLE; what nobody
-    waits for is NO_MATCH, or OUT_OF_WINDOW if older than all that its series retains.
+
+def reconcile(
+    incomplete: DataFrame, finalized: DataFrame, authority: DataFrame, *, current_date, trading_days: DataFrame, allow_current: bool = False, partial: DataFrame | None = None
+) -> DataFrame:
+    """An outcome for each incomplete or authoritative candle of trading dates up to today, and the candle given.
+
+    Columns: IDENTITY, trading_date and VALUES (of incomplete and partial candles no values are read). RECONCILED repairs an
+    incomplete candle with the authority's; finalized candles are ALREADY_RECONCILED, or in CONFLICT if any value, the
+    quantity too, differs; today's are CURRENT_DAY_WITHHELD unless allowed; incomplete ones the authority lacks are
+    NO_AUTHORITATIVE_CANDLE; what nobody waits for is NO_MATCH, or OUT_OF_WINDOW if it starts before all that its
+    series retains, an open (partial) candle included.
     """
-    values = F.struct("open", "high", "low", "close")
+    values = F.struct(*VALUES)
     a = authority.select(*IDENTITY, "trading_date", values.alias("given"))
     waits = incomplete.select(*IDENTITY, F.col("trading_date").alias("w_date"), F.lit(True).alias("waits"))
     done = finalized.select(*IDENTITY, values.alias("held"))
-    oldest = incomplete.select("instrument", "tf", "start_us").unionByName(finalized.select("instrument", "tf", "start_us")).groupBy("instrument", "tf").agg(F.min("start_us").alias("oldest"))
-    joined = a.join(waits, IDENTITY, "full").join(done, IDENTITY, "left").join(oldest, ["instrument", "tf"], "left")
+    series = ["instrument", "tf"]
+    starts = [x.select(*series, "start_us") for x in (incomplete, finalized, partial) if x is not None]
+    retained = starts[0]
+    for x in starts[1:]:
+        retained = retained.unionByName(x)
+    oldest = retained.groupBy(*series).agg(F.min("start_us").alias("oldest"))
+    joined = a.join(waits, IDENTITY, "full").join(done, IDENTITY, "left").join(oldest, series, "left")
     joined = joined.withColumn("trading_date", F.coalesce("trading_date", "w_date")).join(F.broadcast(trading_days.select("trading_date").distinct()), "trading_date", "left_semi")
     outcome = (
         F.when((F.col("trading_date") == current_date) & F.lit(not allow_current), "CURRENT_DAY_WITHHELD")
         .when(F.col("given").isNull(), "NO_AUTHORITATIVE_CANDLE")
         .when(F.col("held").isNotNull(), F.when(F.col("held") == F.col("given"), "ALREADY_RECONCILED").otherwise("CONFLICT"))
         .when(F.col("waits"), "RECONCILED")
-        .when(F.col("oldest").isNotNull() & (F.col("end_us") <= F.col("oldest")), "OUT_OF_WINDOW")
+        .when(F.col("start_us") < F.col("oldest"), "OUT_OF_WINDOW")
         .otherwise("NO_MATCH")
     )
     return joined.where(F.col("trading_date") <= current_date).select(*IDENTITY, "trading_date", outcome.alias("outcome"), F.col("given"))
@@ -144,6 +155,30 @@ def apply_reconciled(outcomes: DataFrame, incomplete: DataFrame, finalized: Data
     return rest, grown.where(F.col("__n") <= keep).drop("__n")
 
 
+def fetch_requests(needs: DataFrame, most_days: int = 90, intraday: Sequence[int] = (60, 300, 900, 1500, 3600)) -> DataFrame:
+    """needs (instrument, seconds, start_us, end_us) as requests: the endpoint, and the range in chunks [start_us, end_us) in order.
+
+    Whole days are one daily request; intraday widths that the provider knows go in chunks of most_days at most;
+    another width fails. An empty range asks nothing.
+    """
+    day = 86_400 * sessions.SECOND
+    daily = F.col("seconds") == 86_400
+    known = F.when(daily, "daily").when(F.col("seconds").isin(*intraday), "intraday").otherwise(F.raise_error(F.lit("no endpoint for this width")))
+    chunk = F.when(daily, F.col("end_us") - F.col("start_us")).otherwise(F.lit(most_days * day))
+    asked = needs.where("end_us > start_us").select("instrument", "seconds", known.alias("endpoint"), "start_us", "end_us", chunk.alias("__chunk"))
+    starts = asked.withColumn("__at", F.explode(F.sequence("start_us", F.col("end_us") - 1, F.col("__chunk"))))
+    return starts.select("instrument", "seconds", "endpoint", F.col("__at").alias("start_us"), F.least(F.col("__at") + F.col("__chunk"), F.col("end_us")).alias("end_us"))
+
+
+def with_previous(contexts: DataFrame, sessions_: DataFrame) -> DataFrame:
+    """contexts (instrument, trading_date, ..) with the session before as a struct previous (source_date, open, high, low, close), null where history lacks.
+
+    sessions_: previous_session's rows. A date's history is one row an instrument, so contexts keep their number.
+    """
+    held = sessions_.select("instrument", "trading_date", F.struct("source_date", "open", "high", "low", "close").alias("previous"))
+    return contexts.join(held, ["instrument", "trading_date"], "left")
+
+
 def in_range(candles: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """Candles that start in [start, end). The dates that can hold them are asked for too, so a table partitioned by trading_date is pruned."""
     day = 86_400_000_000

@@ -53,7 +53,7 @@ def accept_refresh(batch: DataFrame, requested: DataFrame, trading_date) -> Data
     bad = odd.groupBy("instrument").agg(
         (F.bool_or(F.col("__asked").isNull()) | (F.count("*") > 1) | F.bool_or(~F.col("trading_date").eqNullSafe(trading_date))).alias("bad")
     )
-    return batch.join(F.broadcast(bad.agg(F.coalesce(F.bool_or("bad"), F.lit(False)).alias("__rejected"))), F.lit(True)).where("not __rejected").drop("__rejected")
+    return batch.where(F.lit(bad.where("bad").limit(1).count() == 0))
 
 
 def due(reference_us: Column, last_us: Column, max_age_us: Column) -> Column:

@@ -28,6 +28,12 @@ def stock_derivatives(master: DataFrame) -> DataFrame:
     return wanted.join(cash, "underlying_security_id").where("underlying_symbol = cash_symbol").drop("cash_symbol")
 
 
+def fno_universe(master: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(futures, options, the distinct underlyings: underlying_security_id and underlying_symbol) of stock_derivatives."""
+    linked = stock_derivatives(master)
+    return linked.where("instrument = 'FUTSTK'"), linked.where("instrument = 'OPTSTK'"), linked.select("underlying_security_id", "underlying_symbol").distinct()
+
+
 def resolve_universe(derivatives: DataFrame, master: DataFrame) -> DataFrame:
     """exchange, underlying_symbol, status and security_id of each underlying: RESOLVED, or blocked as MISSING, MISMATCHED or AMBIGUOUS.
 

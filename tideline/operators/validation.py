@@ -45,6 +45,19 @@ def stamp_versions(events: DataFrame) -> DataFrame:
     return numbered.withColumn("lifecycle", F.when(F.col("version") == 1, "CREATED").otherwise("UPDATED"))
 
 
+def stamp_sequence(events: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Accepted events plus sequence: their number, from 1, over all instruments in order of arrival.
+
+    They are numbered within blocks of arrivals and offset by the counts of the blocks before, a row each.
+    """
+    rows = events.where("verdict = 'ACCEPT'").withColumn("__block", F.floor(F.col("arrival") / block).cast("long"))
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__block").orderBy("arrival")))
+    counts = rows.groupBy("__block").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__block", before.alias("__before"))
+    return numbered.join(offsets, "__block").withColumn("sequence", (F.col("__n") + F.col("__before")).cast("long")).drop("__block", "__n", "__before")
+
+
 def merge_latest(events: DataFrame, tick: list[str], quote: list[str]) -> DataFrame:
     """Each event with the latest tick and quote columns of its instrument up to it: each kind carries the other forward."""
     so_far = Window.partitionBy("instrument").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)

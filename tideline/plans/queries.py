@@ -140,7 +140,7 @@ def _validated(spark, sf_dir):
 
 
 _VALID = f"""WITH {TICKS},
-base AS (SELECT instrument, arrival * 2 AS arrival, CASE WHEN arrival % 11 = 0 THEN ts_us - 86400000000 ELSE ts_us END AS ts_us, kind, price, quantity FROM ticks WHERE arrival % 3 = 0),
+base AS (SELECT instrument, arrival * 2 AS arrival, CASE WHEN arrival % 11 = 0 THEN ts_us - 86400000000 ELSE ts_us END AS ts_us, kind, price, quantity FROM ticks),
 e AS (SELECT * FROM base UNION ALL SELECT instrument, arrival + 1, ts_us, kind, price, quantity FROM base WHERE arrival % 7 = 0),
 f AS (SELECT *, CAST(instrument AS INT) % 10 <> 3 AND ts_us <= 1706500060000000 AS fit FROM e),
 g AS (SELECT *, max(CASE WHEN fit THEN ts_us END) OVER (PARTITION BY instrument ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_us FROM f),
@@ -161,6 +161,11 @@ def version_stamping(spark, sf_dir):
     return rows.select("instrument", "arrival", F.col("version").cast("long").alias("version"), "lifecycle")
 
 
+@query(_VALID + "SELECT instrument, arrival, row_number() OVER (ORDER BY arrival) AS sequence FROM v WHERE verdict = 'ACCEPT'")
+def global_sequence(spark, sf_dir):
+    return validation.stamp_sequence(_validated(spark, sf_dir), block=1 << 10).select("instrument", "arrival", "sequence")
+
+
 _LAST = "last_value(CASE WHEN kind = '{0}' THEN {1} END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
@@ -367,12 +372,13 @@ def emission_one_shot(spark, sf_dir):
     return evaluation.emit(_results(spark, sf_dir), "ONE_SHOT").select(*_SHOW.split(", "))
 
 
-@query(f"WITH {_RESULTS} SELECT {_SHOW}, row_number() OVER (PARTITION BY instrument, version ORDER BY score DESC, strategy_id, arrival) AS rank FROM results WHERE status = 'MATCHED'")
+@query(f"""WITH {_RESULTS}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument, version, strategy_id ORDER BY arrival DESC) AS n FROM results)
+SELECT {_SHOW}, row_number() OVER (PARTITION BY instrument, version ORDER BY score DESC, strategy_id) AS rank FROM k WHERE n = 1 AND status = 'MATCHED'""")
 def cross_strategy_rank(spark, sf_dir):
-    order = Window.partitionBy("instrument", "version", "strategy_id").orderBy("arrival")
+    """A context holds each strategy's last result."""
     rows = _results(spark, sf_dir)
-    ranked = evaluation.rank_in_context(rows.withColumn("strategy_id", F.concat_ws("|", "strategy_id", F.lpad(F.col("arrival").cast("string"), 12, "0"))))
-    return ranked.select(F.substring("strategy_id", 1, 2).alias("strategy_id"), "instrument", "arrival", "status", F.col("rank").cast("long").alias("rank"))
+    last = rows.groupBy("instrument", "version", "strategy_id").agg(F.max_by(F.struct("arrival", "status", "score"), "arrival").alias("x")).select("instrument", "version", "strategy_id", "x.*")
+    return evaluation.rank_in_context(last).select(*_SHOW.split(", "), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_RESULTS}, n AS (SELECT strategy_id, max(trading_date) AS trading_date FROM able WHERE CAST(instrument AS INT) % 5 <> 0 GROUP BY 1),
@@ -424,23 +430,52 @@ def readiness_verdict(spark, sf_dir):
     return bindings.ticks(spark, sf_dir).select("instrument", "arrival", verdict.alias("verdict"))
 
 
-@query(f"""WITH {_HOURLY}, c AS (SELECT instrument, trading_date, open_us + k * 3600000000 AS start_us, open, high, low, close, k FROM h),
-w AS (SELECT * FROM c WHERE k % 4 <> 0), f AS (SELECT instrument, start_us, CASE WHEN k % 8 = 0 THEN close + 1 ELSE close END AS close FROM c WHERE k % 4 = 0), a AS (SELECT * FROM c WHERE k % 5 <> 0),
-o AS (SELECT instrument, min(start_us) AS oldest FROM c GROUP BY 1)
-SELECT c.instrument, c.start_us, CASE WHEN c.trading_date = DATE '2024-01-20' THEN 'CURRENT_DAY_WITHHELD' WHEN a.start_us IS NULL THEN 'NO_AUTHORITATIVE_CANDLE'
-  WHEN f.start_us IS NOT NULL THEN CASE WHEN f.close = c.close THEN 'ALREADY_RECONCILED' ELSE 'CONFLICT' END ELSE 'RECONCILED' END AS outcome
-FROM c LEFT JOIN a USING (instrument, start_us) LEFT JOIN f ON f.instrument = c.instrument AND f.start_us = c.start_us
-WHERE c.trading_date <= DATE '2024-01-20' AND (c.k % 4 <> 0 OR a.start_us IS NOT NULL)""")
-def reconcile_outcomes(spark, sf_dir):
+_RECONCILE = f"""{_HOURLY}, c AS (SELECT instrument, trading_date, open_us + k * 3600000000 AS start_us, open, high, low, close, quantity, k, trading_date >= DATE '2024-01-05' AS kept FROM h),
+w AS (SELECT * FROM c WHERE kept AND k % 4 <> 0 AND k % 6 <> 1),
+f AS (SELECT * REPLACE (CASE WHEN k % 8 = 0 THEN close + 1 ELSE close END AS close, quantity + CASE WHEN k = 12 THEN 1 ELSE 0 END AS quantity) FROM c WHERE kept AND k % 4 = 0),
+p AS (SELECT * FROM c WHERE instrument = 'click' AND trading_date = DATE '2024-01-04' AND k = 23), a AS (SELECT * FROM c WHERE k % 5 <> 0),
+o AS (SELECT instrument, min(start_us) AS oldest FROM (FROM w UNION ALL FROM f UNION ALL FROM p) GROUP BY 1),
+x AS (SELECT c.instrument, c.start_us, CASE WHEN c.trading_date = DATE '2024-01-20' THEN 'CURRENT_DAY_WITHHELD' WHEN a.start_us IS NULL THEN 'NO_AUTHORITATIVE_CANDLE'
+  WHEN f.start_us IS NOT NULL THEN CASE WHEN f.close = a.close AND f.quantity = a.quantity THEN 'ALREADY_RECONCILED' ELSE 'CONFLICT' END
+  WHEN w.start_us IS NOT NULL THEN 'RECONCILED' WHEN a.start_us < o.oldest THEN 'OUT_OF_WINDOW' ELSE 'NO_MATCH' END AS outcome
+FROM c LEFT JOIN a ON a.instrument = c.instrument AND a.start_us = c.start_us LEFT JOIN f ON f.instrument = c.instrument AND f.start_us = c.start_us
+  LEFT JOIN w ON w.instrument = c.instrument AND w.start_us = c.start_us LEFT JOIN o ON o.instrument = c.instrument
+WHERE c.trading_date <= DATE '2024-01-20' AND (w.start_us IS NOT NULL OR a.start_us IS NOT NULL))"""
+
+
+def _reconciled(spark, sf_dir):
+    """(outcomes, incomplete, finalized): all seven outcomes occur; hour 12 differs in its quantity alone, click keeps an older open candle."""
     hour = 3_600_000_000
     bars = _hourly(spark, sf_dir).withColumns({
         "tf": F.lit(3600), "trading_date": F.to_date(F.timestamp_micros("start_us")), "k": (F.col("start_us") / hour).cast("long") % 24,
     })
-    waiting = bars.where("k % 4 <> 0")
-    done = bars.where("k % 4 = 0").withColumn("close", F.when(F.col("k") % 8 == 0, F.col("close") + 1).otherwise(F.col("close")).cast("decimal(12,4)"))
-    today = F.to_date(F.lit("2024-01-20"))
-    out = history.reconcile(waiting, done, bars.where("k % 5 <> 0"), current_date=today, trading_days=bindings.ALWAYS.days(spark).where("trading"))
-    return out.select("instrument", "start_us", "outcome")
+    kept = F.col("trading_date") >= F.to_date(F.lit("2024-01-05"))
+    waiting = bars.where(kept & (F.col("k") % 4 != 0) & (F.col("k") % 6 != 1))
+    done = bars.where(kept & (F.col("k") % 4 == 0)).withColumns({
+        "close": F.when(F.col("k") % 8 == 0, F.col("close") + 1).otherwise(F.col("close")).cast("decimal(12,4)"),
+        "quantity": F.col("quantity") + F.when(F.col("k") == 12, 1).otherwise(0),
+    })
+    partial = bars.where((F.col("instrument") == "click") & (F.col("trading_date") == F.to_date(F.lit("2024-01-04"))) & (F.col("k") == 23))
+    out = history.reconcile(
+        waiting, done, bars.where("k % 5 <> 0"), current_date=F.to_date(F.lit("2024-01-20")), trading_days=bindings.ALWAYS.days(spark).where("trading"), partial=partial
+    )
+    return out, waiting, done
+
+
+@query(f"WITH {_RECONCILE} SELECT * FROM x")
+def reconcile_outcomes(spark, sf_dir):
+    return _reconciled(spark, sf_dir)[0].select("instrument", "start_us", "outcome")
+
+
+@query(f"""WITH {_RECONCILE}, r AS (SELECT a.* FROM a JOIN x USING (instrument, start_us) WHERE outcome = 'RECONCILED'), g AS (FROM f UNION ALL FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY start_us DESC) AS n FROM g)
+SELECT instrument, start_us, 'finalized' AS state, {_OHLC}, CAST(quantity AS BIGINT) AS quantity FROM n WHERE n <= 20
+UNION ALL SELECT instrument, start_us, 'incomplete', {_OHLC}, CAST(quantity AS BIGINT) FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.instrument = w.instrument AND r.start_us = w.start_us)""")
+def reconcile_apply(spark, sf_dir):
+    """What a series retains after its repairs: the newest 20 finalized candles, and the incomplete ones that wait on."""
+    rest, grown = history.apply_reconciled(*_reconciled(spark, sf_dir))
+    shown = lambda rows, state: rows.select("instrument", "start_us", F.lit(state).alias("state"), *map(_d, _PRICES), F.col("quantity").cast("long").alias("quantity"))
+    return shown(grown, "finalized").unionByName(shown(rest, "incomplete"))
 
 
 _MASTER = """cash AS (SELECT CAST(p_partkey AS VARCHAR) AS security_id, 'SYM' || (p_partkey % 400) AS symbol, 'NSE_EQ' AS exchange_segment, CASE WHEN p_partkey % 7 = 0 THEN 'ETF' ELSE 'ES' END AS series FROM part WHERE p_partkey % 4 <> 1),
@@ -495,18 +530,28 @@ def subscription_batches(spark, sf_dir):
     return universe.subscription_batches(rows.unionByName(rows)).select("batch", "n", F.array_join("security_ids", ",").alias("ids"))
 
 
-@query("""SELECT o_orderkey AS id, nullif(upper(trim(o_orderpriority)), '') AS name, CASE WHEN upper(trim(o_orderstatus)) NOT IN ('N/A', 'NA', '', 'P') THEN upper(trim(o_orderstatus)) END AS status,
-  o_totalprice > 0 AND o_totalprice <= 2 * o_totalprice AS valid FROM orders""")
+@query("""WITH p AS (SELECT *, o_totalprice AS open, o_totalprice + (o_orderkey % 7 - 1) * 10 AS high, o_totalprice - (o_orderkey % 5 - 1) * 10 AS low, o_totalprice + (o_orderkey % 3 - 1) * 15 AS close FROM orders)
+SELECT o_orderkey AS id, nullif(upper(trim(o_orderpriority)), '') AS name, CASE WHEN upper(trim(o_orderstatus)) NOT IN ('N/A', 'NA', '', 'P') THEN upper(trim(o_orderstatus)) END AS status,
+  low > 0 AND high >= greatest(open, close, low) AND low <= least(open, close) AS valid, open > 0 AND close >= open AS quoted FROM p""")
 def identity_and_constraints(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"open": F.col("o_totalprice"), "low": F.col("o_totalprice"), "close": F.col("o_totalprice"), "high": F.col("o_totalprice") * 2})
+    """Prices around each order's total, some of which break the order of low, open, close and high, or of bid (open) and ask (close)."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    made = orders.withColumns({"open": price, "high": price + (k % 7 - 1) * 10, "low": price - (k % 5 - 1) * 10, "close": price + (k % 3 - 1) * 15})
     status = F.when(constraints.no_sentinel("o_orderstatus") != "P", constraints.no_sentinel("o_orderstatus"))
-    return orders.select(F.col("o_orderkey").alias("id"), constraints.identity("o_orderpriority").alias("name"), status.alias("status"), constraints.ohlc_valid().alias("valid"))
+    return made.select(
+        k.alias("id"), constraints.identity("o_orderpriority").alias("name"), status.alias("status"), constraints.ohlc_valid().alias("valid"),
+        constraints.quote_valid("open", "close").alias("quoted"),
+    )
 
 
-@query(f"""WITH {_DAYS}, o AS (SELECT CAST(d AS DATE) AS d, CASE WHEN isodow(d) >= 6 OR d = DATE '2024-01-30' OR d = DATE '2024-01-20' THEN 'CLOSED' ELSE 'OPEN' END AS status FROM (SELECT d FROM days UNION ALL SELECT DATE '2024-03-01')),
-c AS (SELECT *, {_TRADING} AS trading FROM o)
-SELECT CAST(d AS VARCHAR) AS trading_date, CASE WHEN d > DATE '2024-02-15' THEN 'AUTHORITATIVE_COVERAGE_MISSING' WHEN status = 'CLOSED' AND d = DATE '2024-01-20' THEN 'CONFLICT'
- WHEN status = 'CLOSED' THEN CASE WHEN NOT trading THEN 'MATCH' ELSE 'NEW_CLOSED' END WHEN d IN (DATE '2024-01-22', DATE '2024-01-26') THEN 'CONFLICT' WHEN NOT trading THEN 'NEW_OPEN' ELSE 'MATCH' END AS status FROM c""")
+_COMPARED = f"""{_DAYS}, o AS (SELECT CAST(d AS DATE) AS d, CASE WHEN isodow(d) >= 6 OR d = DATE '2024-01-30' OR d = DATE '2024-01-20' THEN 'CLOSED' ELSE 'OPEN' END AS status FROM (SELECT d FROM days UNION ALL SELECT DATE '2024-03-01')),
+c AS (SELECT *, {_TRADING} AS trading FROM o),
+s AS (SELECT CAST(d AS VARCHAR) AS trading_date, CASE WHEN d > DATE '2024-02-15' THEN 'AUTHORITATIVE_COVERAGE_MISSING' WHEN status = 'CLOSED' AND d = DATE '2024-01-20' THEN 'CONFLICT'
+ WHEN status = 'CLOSED' THEN CASE WHEN NOT trading THEN 'MATCH' ELSE 'NEW_CLOSED' END WHEN d IN (DATE '2024-01-22', DATE '2024-01-26') THEN 'CONFLICT' WHEN NOT trading THEN 'NEW_OPEN' ELSE 'MATCH' END AS status FROM c)"""
+
+
+@query(f"WITH {_COMPARED} SELECT * FROM s")
 def calendar_compare(spark, sf_dir):
     return cal.compare(_observed(spark), bindings.EXCHANGE).select(_s("trading_date"), "status")
 
@@ -517,24 +562,200 @@ def _observed(spark) -> DataFrame:
     return days.select("trading_date", F.when(shut, "CLOSED").otherwise("OPEN").alias("status"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("intervals"))
 
 
-@query("SELECT 'CONFLICT' AS overall, sha256('CONFLICT|2024-01-20:CONFLICT|2024-01-22:CONFLICT|2024-01-26:CONFLICT|2024-01-30:NEW_CLOSED|2024-03-01:AUTHORITATIVE_COVERAGE_MISSING') AS signature")
+@query(f"""WITH {_COMPARED}, g AS (SELECT *, list_position(['MATCH', 'AUTHORITATIVE_COVERAGE_MISSING', 'TIMING_CHANGE', 'NEW_CLOSED', 'NEW_OPEN', 'CONFLICT'], status) AS gravity FROM s),
+t AS (SELECT arg_max(status, gravity) AS overall, string_agg(trading_date || ':' || status, '|' ORDER BY trading_date || ':' || status) FILTER (status <> 'MATCH') AS lines FROM g)
+SELECT overall, CASE WHEN lines IS NULL THEN 'match' ELSE sha256(overall || '|' || lines) END AS signature FROM t""")
 def calendar_signature(spark, sf_dir):
     return cal.signature(cal.compare(_observed(spark), bindings.EXCHANGE))
 
 
-@query()
+@query("""WITH o(d, a, z) AS (VALUES (DATE '2024-01-20', [33300, 41400], [36000, 45000]), (DATE '2024-01-20', [33300, 41400], [36000, 45600]), (DATE '2024-01-20', [41400, 33300], [45000, 36000]),
+  (DATE '2024-01-20', CAST([] AS INT[]), CAST([] AS INT[])), (DATE '2024-01-21', [33300], [36000]), (DATE '2024-01-23', [33300], [55000])),
+h AS (SELECT *, list_sort(list_zip(a, z)) = [(33300, 36000), (41400, 45000)] AS same, row_number() OVER (ORDER BY d, a, z) AS n FROM o)
+SELECT CAST(d AS VARCHAR) AS trading_date, len(a) AS n_intervals, list_sum(z) AS ends, CASE WHEN d = DATE '2024-01-20' THEN CASE WHEN len(a) = 0 OR same THEN 'MATCH' ELSE 'TIMING_CHANGE' END WHEN isodow(d) >= 6 THEN 'NEW_OPEN' ELSE 'MATCH' END AS status FROM h""")
+def calendar_timings(spark, sf_dir):
+    """Observed times of a special session that are the calendar's, in any order, others, and none; of a weekend day and of a plain one."""
+    blocks = [("2024-01-20", [(33300, 36000), (41400, 45000)]), ("2024-01-20", [(33300, 36000), (41400, 45600)]), ("2024-01-20", [(41400, 45000), (33300, 36000)]), ("2024-01-20", []), ("2024-01-21", [(33300, 36000)]), ("2024-01-23", [(33300, 55000)])]
+    out = None
+    for day, spans in blocks:
+        times = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in spans]) if spans else F.array().cast("array<struct<a:int,b:int>>")
+        row = spark.range(1).select(F.to_date(F.lit(day)).alias("trading_date"), F.lit("OPEN").alias("status"), times.alias("intervals"))
+        told = cal.compare(row, bindings.EXCHANGE).select(
+            _s("trading_date"), F.lit(len(spans)).cast("long").alias("n_intervals"), F.lit(sum(b for _, b in spans) if spans else None).cast("long").alias("ends"), "status"
+        )
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+_FOLD = """c AS (SELECT instrument, trading_date, arrival, ts_us, quantity % 10 <> 0 AS verified, first_value(price) OVER w AS o, max(price) OVER w AS h, min(price) OVER w AS l,
+  row_number() OVER (PARTITION BY instrument, trading_date ORDER BY arrival) AS n FROM ticks WINDOW w AS (PARTITION BY instrument, trading_date ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+_STEP = """CASE WHEN NOT c.verified OR c.o IS NULL THEN {0} WHEN {1} IS NULL THEN {2} WHEN c.ts_us < r.t OR c.o <> r.o OR c.h < r.h OR c.l > r.l OR (c.o = r.o AND c.h = r.h AND c.l = r.l) THEN {0} ELSE {2} END"""
+
+
+def _fold_sql(rows: str) -> str:
+    """The fold over rows c, step by step: r holds a session's state after its n-th candidate."""
+    first = ", ".join(f"CASE WHEN c.verified AND c.o IS NOT NULL THEN c.{x} END AS {y}" for x, y in (("ts_us", "t"), ("o", "o"), ("h", "h"), ("l", "l")))
+    step = ", ".join(_STEP.format(f"r.{y}", "r.t", f"c.{x}") for x, y in (("ts_us", "t"), ("o", "o"), ("h", "h"), ("l", "l")))
+    return f"""WITH RECURSIVE {rows},
+r AS (SELECT c.instrument, c.trading_date, c.n, {first} FROM c WHERE c.n = 1
+  UNION ALL SELECT c.instrument, c.trading_date, c.n, {step} FROM r JOIN c ON c.instrument = r.instrument AND c.trading_date = r.trading_date AND c.n = r.n + 1)
+SELECT instrument, CAST(trading_date AS VARCHAR) AS trading_date, t AS as_of_us, CAST(o AS DOUBLE) AS open, CAST(h AS DOUBLE) AS high, CAST(l AS DOUBLE) AS low
+FROM r QUALIFY row_number() OVER (PARTITION BY instrument, trading_date ORDER BY n DESC) = 1 AND t IS NOT NULL"""
+
+
+@query(_fold_sql(f"{TICKS}, {_FOLD}"))
 def session_stats_fold(spark, sf_dir):
+    return statistics.fold(_candidates(spark, sf_dir)).select("instrument", _s("trading_date"), "as_of_us", *map(_d, ["open", "high", "low"]))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
     t = bindings.ticks(spark, sf_dir)
     so_far = Window.partitionBy("instrument", "trading_date").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    candidates = t.select(
+    return t.select(
         "instrument", F.col("arrival").alias("seq"), "trading_date", F.col("ts_us").alias("as_of_us"), (F.col("quantity") % 10 != 0).alias("verified"), F.lit("LIVE_SESSION").alias("market_state"),
         F.first("price").over(so_far).alias("open"), F.max("price").over(so_far).alias("high"), F.min("price").over(so_far).alias("low"),
     )
-    return statistics.fold(candidates).select("instrument", _s("trading_date"), "as_of_us", *map(_d, ["open", "high", "low"]))
 
 
-@query("""WITH u AS (SELECT i, 'SYM' || lpad(CAST(i AS VARCHAR), 3, '0') AS instrument FROM range(208) t(i)), h AS (SELECT *, (i + 1) / 10.0 AS w FROM u WHERE i NOT IN (3, 100, 204))
-SELECT instrument, round(CAST(w AS DOUBLE), 6) AS cpr_width_pct, row_number() OVER (ORDER BY w, instrument) AS rank, (SELECT count(*) FROM u) AS expected, 205 AS evaluated, 'PARTIAL' AS completeness FROM h""")
+#: Observations that stand aside: of every error event, its price a unit either way.
+_STAGED = "g AS (SELECT instrument, arrival AS seq, trading_date, ts_us + 1 AS ts_us, price AS o, price + 1 AS h, price - 1 AS l FROM ticks WHERE event_type = 'error')"
+
+
+@query(_fold_sql(f"""{TICKS}, {_FOLD.replace("c AS (", "b AS (", 1)}, {_STAGED},
+m AS (SELECT g.*, (SELECT min(b.arrival) FROM b WHERE b.instrument = g.instrument AND b.trading_date = g.trading_date AND b.arrival > g.seq) AS met FROM g),
+u AS (SELECT instrument, met, arg_max({{'t': ts_us, 'o': o, 'h': h, 'l': l}}, ts_us) AS s FROM m WHERE met IS NOT NULL GROUP BY ALL),
+c AS (SELECT b.instrument, b.trading_date, b.n, coalesce(u.s.t, b.ts_us) AS ts_us, b.verified OR u.s IS NOT NULL AS verified, coalesce(u.s.o, b.o) AS o, coalesce(u.s.h, b.h) AS h, coalesce(u.s.l, b.l) AS l
+  FROM b LEFT JOIN u ON u.instrument = b.instrument AND u.met = b.arrival)"""))
+def staged_statistics(spark, sf_dir):
+    """The fold where a staged observation takes the place of the next live tick's own aggregate."""
+    t = bindings.ticks(spark, sf_dir).where("event_type = 'error'")
+    staged = t.select("instrument", F.col("arrival").alias("seq"), "trading_date", (F.col("ts_us") + 1).alias("as_of_us"), F.col("price").alias("open"), (F.col("price") + 1).alias("high"), (F.col("price") - 1).alias("low"))
+    rows = statistics.with_staged(_candidates(spark, sf_dir), staged)
+    return statistics.fold(rows).select("instrument", _s("trading_date"), "as_of_us", *map(_d, ["open", "high", "low"]))
+
+
+@query(f"WITH {TICKS} SELECT instrument, max(arrival) AS as_of_us, CAST(arg_max(price, arrival) AS DOUBLE) AS open FROM ticks GROUP BY 1")
+def staging_slot(spark, sf_dir):
+    """An instrument's slot holds its newest observation; the same one twice is no contradiction."""
+    rows = bindings.ticks(spark, sf_dir).select("instrument", F.col("arrival").alias("as_of_us"), "trading_date", *[F.col("price").alias(c) for c in ("open", "high", "low")])
+    return statistics.stage(rows.unionByName(rows)).select("instrument", "as_of_us", _d("open"))
+
+
+@query(f"""WITH {TICKS}, r AS (SELECT DISTINCT instrument, CAST(instrument AS INT) % 4 AS part FROM ticks), d AS (SELECT max(trading_date) AS day FROM ticks),
+b AS (SELECT part, instrument, day AS trading_date FROM r, d UNION ALL SELECT part, instrument, day FROM r, d WHERE part = 1 AND instrument = (SELECT min(instrument) FROM r WHERE part = 1)
+  UNION ALL SELECT 2, 'foreign', day FROM d UNION ALL SELECT 3, 'late', CAST(day - INTERVAL 1 DAY AS DATE) FROM d),
+o AS (SELECT part, bool_or(NOT EXISTS (SELECT 1 FROM r WHERE r.instrument = b.instrument) OR trading_date <> (SELECT day FROM d)) OR count(*) <> count(DISTINCT instrument) AS bad FROM b GROUP BY 1)
+SELECT b.part, b.instrument FROM b JOIN o USING (part) WHERE NOT bad""")
+def refresh_validation(spark, sf_dir):
+    """Four batches: a sound one, one with a repeat, one with an instrument that nobody asked for and one with another date."""
+    t = bindings.ticks(spark, sf_dir)
+    asked = t.select("instrument", (F.col("instrument").cast("int") % 4).alias("part")).distinct()
+    day = t.agg(F.max("trading_date")).first()[0]
+    rows = asked.withColumn("trading_date", F.lit(day))
+    again = rows.where("part = 1").orderBy("instrument").limit(1)
+    foreign = spark.range(1).select(F.lit("foreign").alias("instrument"), F.lit(2).alias("part"), F.lit(day).alias("trading_date"))
+    late = spark.range(1).select(F.lit("late").alias("instrument"), F.lit(3).alias("part"), F.date_sub(F.lit(day), 1).alias("trading_date"))
+    batches = rows.unionByName(again).unionByName(foreign).unionByName(late)
+    out = None
+    for k in range(4):
+        told = statistics.accept_refresh(batches.where(F.col("part") == k), asked, F.lit(day)).select("part", "instrument")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query(f"WITH {TICKS} SELECT instrument, arrival, coalesce(quantity % 4 <> 0 AND (lag(ts_us) OVER w IS NULL OR ts_us - lag(ts_us) OVER w >= quantity * 1000000000), false) AS due FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY arrival)")
+def refresh_due(spark, sf_dir):
+    order = Window.partitionBy("instrument").orderBy("arrival")
+    age = F.when(F.col("quantity") % 4 != 0, F.col("quantity") * 1_000_000_000)
+    rows = bindings.ticks(spark, sf_dir).withColumns({"last": F.lag("ts_us").over(order), "age": age})
+    return rows.select("instrument", "arrival", statistics.due(F.col("ts_us"), F.col("last"), F.col("age")).alias("due"))
+
+
+@query(f"WITH {TICKS} SELECT instrument, CASE WHEN bool_or(kind = 'tick') AND bool_or(kind = 'quote') THEN 'PARTIAL' WHEN bool_or(kind = 'quote') THEN 'FAILED' ELSE 'SATISFIED' END AS status FROM ticks WHERE quantity < 30 GROUP BY 1")
+def warmup(spark, sf_dir):
+    rows = bindings.ticks(spark, sf_dir).where("quantity < 30").groupBy("instrument").agg(F.count_if(F.col("kind") == "tick").alias("resolved"), F.count_if(F.col("kind") == "quote").alias("unresolved"))
+    return rows.select("instrument", history.warmup_status().alias("status"))
+
+
+@query(f"WITH {TICKS}, c AS (SELECT instrument, arrival, quantity AS version, max(quantity) OVER (PARTITION BY instrument ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ticks) SELECT instrument, arrival, version FROM c WHERE top IS NULL OR version > top")
+def newer_contexts(spark, sf_dir):
+    rows = bindings.ticks(spark, sf_dir).select("instrument", "arrival", F.col("quantity").alias("version"))
+    return evaluation.newer_only(rows)
+
+
+@query(f"""WITH {SESSIONS}, c AS (SELECT instrument, trading_date, count(*) AS n FROM ticks GROUP BY ALL)
+SELECT c.instrument, CAST(c.trading_date AS VARCHAR) AS trading_date, c.n, CAST(p.source_date AS VARCHAR) AS source_date, CAST(p.close AS DOUBLE) AS previous_close FROM c LEFT JOIN prev p USING (instrument, trading_date)""")
+def context_with_history(spark, sf_dir):
+    contexts = bindings.ticks(spark, sf_dir).groupBy("instrument", "trading_date").agg(F.count("*").alias("n"))
+    held = history.with_previous(contexts, _previous(spark, sf_dir))
+    return held.select("instrument", _s("trading_date"), "n", F.col("previous.source_date").cast("string").alias("source_date"), F.col("previous.close").cast("double").alias("previous_close"))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 86400 ELSE 300 END AS seconds, epoch_us(o_orderdate) AS a, epoch_us(o_orderdate) + (o_custkey % 250) * 86400000000 AS z FROM orders),
+c AS (SELECT *, CASE WHEN seconds = 86400 THEN z - a ELSE 7776000000000 END AS step FROM n WHERE z > a), k AS (SELECT *, unnest(generate_series(a, z - 1, step)) AS s FROM c)
+SELECT id, seconds, CASE WHEN seconds = 86400 THEN 'daily' ELSE 'intraday' END AS endpoint, s AS start_us, least(s + step, z) AS end_us FROM k""")
+def historical_requests(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    start = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    needs = o.select(F.col("o_orderkey").alias("instrument"), F.when(F.col("o_orderkey") % 3 == 0, 86400).otherwise(300).alias("seconds"), start.alias("start_us"), (start + (F.col("o_custkey") % 250) * 86_400_000_000).alias("end_us"))
+    return history.fetch_requests(needs).withColumnRenamed("instrument", "id")
+
+
+@query(f"WITH {DAILY} SELECT instrument, CAST(trading_date AS VARCHAR) AS trading_date, CAST(close AS DOUBLE) AS close FROM daily WHERE trading_date >= DATE '2024-01-08' AND trading_date < DATE '2024-01-15'")
+def historical_range(spark, sf_dir):
+    bars = bindings.daily(spark, sf_dir).withColumn("start_us", F.unix_micros(F.col("trading_date").cast("timestamp")))
+    return history.in_range(bars, 1_704_672_000_000_000, 1_705_276_800_000_000).select("instrument", _s("trading_date"), _d("close"))
+
+
+@query(f"""WITH {TICKS}, b AS (SELECT instrument, open_us + ((ts_us - open_us) // 3600000000) * 3600000000 AS start_us, count(*) AS n FROM ticks GROUP BY ALL), m AS (SELECT *, max(start_us) OVER (PARTITION BY instrument) AS top FROM b)
+SELECT instrument, start_us, CASE WHEN start_us = top AND start_us + 3600000000 > epoch_us(TIMESTAMP '2024-01-29 12:00:00') THEN 'partial' ELSE 'incomplete' END AS state FROM m""")
+def finalized_candles(spark, sf_dir):
+    rows = bindings.ticks(spark, sf_dir).withColumn("cum", F.lit(None).cast("long"))
+    made = candles.finalize(candles.live_candles(rows, [3600]), F.lit(1_706_529_600_000_000))
+    return made.select("instrument", "start_us", "state")
+
+
+@query(f"WITH {TICKS}, p AS (SELECT arrival, CAST(instrument AS INT) % 20 AS id FROM ticks) SELECT arrival, CASE WHEN id < 15 THEN 'I' || id END AS instrument FROM p")
+def packets_resolved(spark, sf_dir):
+    """Packets of known ids with their instruments, and those of unknown ids without."""
+    rows = bindings.ticks(spark, sf_dir).select("arrival", F.lit(1).alias("segment_code"), (F.col("instrument").cast("int") % 20).alias("security_id"))
+    reference = spark.range(15).select(F.lit(1).alias("segment_code"), F.col("id").cast("int").alias("security_id"), F.concat(F.lit("I"), F.col("id").cast("string")).alias("instrument"))
+    found, unknown = universe.resolve_packets(rows, reference)
+    return found.select("arrival", "instrument").unionByName(unknown.select("arrival", F.lit(None).cast("string").alias("instrument")))
+
+
+@query("SELECT 'S' || (s_nationkey % 3) AS exchange_segment, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY CAST(s_suppkey AS VARCHAR)) AS ids FROM supplier GROUP BY 1")
+def quote_batches(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.lit("X").alias("exchange"), F.col("s_name").alias("symbol"), F.concat(F.lit("S"), (F.col("s_nationkey") % 3).cast("string")).alias("exchange_segment"), F.col("s_suppkey").cast("string").alias("security_id")
+    )
+    asked = rows.select("exchange", "symbol")
+    made = universe.quote_request(asked.unionByName(asked), rows, most=1_000_000)
+    return made.select("exchange_segment", F.array_join("security_ids", ",").alias("ids"))
+
+
+@query(ORACLES["universe_resolution"].replace("SELECT exchange, underlying_symbol, CASE", "SELECT exchange, underlying_symbol, security_id FROM (SELECT exchange, underlying_symbol, CASE", 1) + ") WHERE status = 'RESOLVED'")
+def finalized_universe(spark, sf_dir):
+    return universe.finalize_universe(universe_resolution(spark, sf_dir)).select("exchange", "underlying_symbol", "security_id")
+
+
+@query(f"""WITH {_MASTER}, l AS (SELECT d.*, CASE WHEN substr(d.security_id, 2)::INT % 3 = 0 THEN 'option' ELSE 'future' END AS kind FROM deriv d JOIN cash c ON c.security_id = d.underlying_security_id WHERE c.series = 'ES' AND c.symbol = d.underlying_symbol)
+SELECT kind, security_id AS id FROM l UNION ALL SELECT DISTINCT 'underlying', underlying_security_id FROM l""")
+def fno_split(spark, sf_dir):
+    """The derivatives' universe as futures, options and their distinct underlyings."""
+    cash, derivatives = _master(spark, sf_dir)
+    kind = F.when(F.substring("security_id", 2, 20).cast("int") % 3 == 0, "OPTSTK").otherwise("FUTSTK")
+    both = cash.withColumns({"instrument": F.lit("EQUITY"), "underlying_security_id": F.lit(None).cast("string"), "underlying_symbol": F.lit(None).cast("string")}).unionByName(
+        derivatives.drop("exchange").withColumns({"symbol": F.col("security_id"), "exchange_segment": F.lit("NSE_FNO"), "series": F.lit(None).cast("string"), "instrument": kind})
+    )
+    futures, options, underlyings = universe.fno_universe(both)
+    named = lambda rows, kind, c: rows.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    return named(futures, "future", "security_id").unionByName(named(options, "option", "security_id")).unionByName(named(underlyings, "underlying", "underlying_security_id"))
+
+
+@query("""WITH u AS (SELECT i, 'SYM' || lpad(CAST(i AS VARCHAR), 3, '0') AS instrument, 100 + (i + 1) / 10.0 AS close FROM range(208) t(i)), h AS (SELECT *, 140 AS high, 160 - close AS low FROM u WHERE i NOT IN (3, 100, 204)),
+w AS (SELECT instrument, 100 * abs(2 * (high + low + close) / 3 - (high + low)) / ((high + low + close) / 3) AS w FROM h), n AS (SELECT (SELECT count(*) FROM u) AS expected, (SELECT count(*) FROM h) AS evaluated)
+SELECT instrument, round(CAST(w AS DOUBLE), 6) AS cpr_width_pct, row_number() OVER (ORDER BY w, instrument) AS rank, expected, evaluated, CASE WHEN expected = evaluated THEN 'COMPLETE' ELSE 'PARTIAL' END AS completeness FROM w, n""")
 def fixture_universe_scan(spark, sf_dir):
     """A universe of 208 made instruments, three of them without history, whose pivot widths are known."""
     made = spark.range(208).select(F.col("id"), F.concat(F.lit("SYM"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("instrument"))
@@ -550,15 +771,19 @@ def fixture_universe_scan(spark, sf_dir):
     return ranked.select("instrument", F.round(F.col("cpr_width_pct").cast("double"), 6).alias("cpr_width_pct"), F.col("rank").cast("long").alias("rank"), "expected", "evaluated", "completeness")
 
 
-@query(f"""WITH {_HOURLY}, c AS (SELECT instrument, open_us + k * 3600000000 AS start_us, open_us + (k + 1) * 3600000000 AS end_us, quantity FROM h
-  UNION ALL SELECT instrument, open_us + k * 3600000000 + 1, open_us + (k + 1) * 3600000000, quantity FROM h WHERE instrument = 'view' AND k = 5)
-SELECT instrument, count(*) AS n FROM c WHERE instrument <> 'view' GROUP BY 1""")
+@query(f"""WITH {_HOURLY}, b AS (SELECT instrument AS asked, instrument, open_us + k * 3600000000 AS start_us, open_us + (k + 1) * 3600000000 AS end_us, k FROM h),
+c AS (SELECT * FROM b UNION ALL SELECT asked, instrument, start_us + 1, end_us, k FROM b WHERE asked = 'view' AND k = 5 UNION ALL SELECT 'error', instrument, start_us + 86400000000 * 100, end_us + 86400000000 * 100, k FROM b WHERE instrument = 'click' AND k = 7),
+f AS (SELECT *, coalesce(lag(end_us) OVER (PARTITION BY asked ORDER BY start_us, end_us) > start_us, false) OR asked <> instrument AS wrong FROM c),
+g AS (SELECT *, bool_or(wrong) OVER (PARTITION BY asked) AS bad FROM f)
+SELECT asked, count(*) AS n FROM g WHERE NOT bad GROUP BY 1""")
 def verified_series(spark, sf_dir):
-    """Series with one overlap are rejected whole."""
-    bars = _hourly(spark, sf_dir).withColumn("tf", F.lit(3600))
+    """Series with one overlap, or one candle of another instrument, are rejected whole."""
+    bars = _hourly(spark, sf_dir).withColumns({"tf": F.lit(3600), "asked": F.col("instrument")})
     hour = (F.col("start_us") / 3_600_000_000).cast("long") % 24
-    twice = bars.unionByName(bars.where((F.col("instrument") == "view") & (hour == 5)).withColumn("start_us", F.col("start_us") + 1))
-    return history.verify_series(twice).groupBy("instrument").agg(F.count("*").alias("n"))
+    far = F.lit(86_400_000_000 * 100)
+    twice = bars.unionByName(bars.where((F.col("asked") == "view") & (hour == 5)).withColumn("start_us", F.col("start_us") + 1))
+    foreign = bars.where((F.col("instrument") == "click") & (hour == 7)).withColumns({"asked": F.lit("error"), "start_us": F.col("start_us") + far, "end_us": F.col("end_us") + far})
+    return history.verify_series(twice.unionByName(foreign), asked="asked").groupBy("asked").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id AS arrival, 4 AS code, 1 AS segment_code, user_id + 1 AS security_id, epoch_us(date_trunc('second', ts)) AS ts_us, CAST(CAST(value AS FLOAT) AS DOUBLE) AS last_price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS traded_quantity FROM events")

@@ -15,6 +15,7 @@ SEGMENT_NAMES = {"segment", "exchange", "exchange segment", "exchange/segment",
 STATUS_NAMES = {"status", "type"}
 TIMING_NAMES = {"timings", "timing", "session timings", "hours", "session hours"}
 EQUITY = {"nse", "nse eq", "nse_eq", "nse equity", "nse cm", "nse cash", "capital market", "equity"}
+#: Of NSE segments by longer names, what marks equity.
 EQUITY_PARTS = ("equity", "cash", " eq", "capital market")
 OTHER_PARTS = ("mcx", "currency", "cds", "clearing", "bse", "commodity")
 CLOSED = {"closed", "close", "holiday", "trading holiday"}
@@ -54,8 +55,12 @@ class Unsure(ValueError):
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
+    """The spans of a timings cell; none of an empty one. A cell of separators alone says nothing for sure."""
     out = []
-    for part in filter(None, (p.strip() for p in re.split("[;,]", text))):
+    parts = [p.strip() for p in re.split("[;,]", text)]
+    if text.strip() and not any(parts):
+        raise Unsure(f"timing {text!r}")
+    for part in filter(None, parts):
         m = SPAN.fullmatch(part)
         if not m:
             raise Unsure(f"timing {part!r}")
@@ -66,6 +71,15 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _of_equity(segment: str) -> bool:
+    """Whether a segment is NSE equity; False for others that are known. NSE equity is asked first: its names may hold others' words."""
+    if segment in EQUITY or ("nse" in segment and any(p in segment for p in EQUITY_PARTS)):
+        return True
+    if any(p in segment for p in OTHER_PARTS):
+        return False
+    raise Unsure(f"segment {segment!r}")
+
+
 def read_page(html: str) -> list[tuple[date, str, list[tuple[int, int]]]]:
     """(date, OPEN or CLOSED, intervals in seconds) of the first table with date, segment and status columns; raises Unsure."""
     parser = _Tables()
@@ -74,29 +88,30 @@ def read_page(html: str) -> list[tuple[date, str, list[tuple[int, int]]]]:
         rows = [r for r in table if r]
         if not rows:
             continue
-        top = next((r for r in rows if r[0][0]), rows[0])
+        top = next((r for r in rows if any(header for header, _ in r)), rows[0])
         names = [text.lower() for _, text in top]
         place = [next((i for i, n in enumerate(names) if n in wanted), None) for wanted in (DATE_NAMES, SEGMENT_NAMES, STATUS_NAMES, TIMING_NAMES)]
         if None in place[:3]:
             continue
         found: dict[date, tuple[str, list]] = {}
         for row in (r for r in rows if r is not top):
-            if len(row) <= max(p for p in place if p is not None):
+            if len(row) <= max(place[:3]):
                 raise Unsure("short row")
             segment, status = row[place[1]][1].lower(), row[place[2]][1].lower()
-            if any(p in segment for p in OTHER_PARTS):
+            if not _of_equity(segment):
                 continue
-            if segment not in EQUITY and not any(p in segment for p in EQUITY_PARTS):
-                raise Unsure(f"segment {segment!r}")
             if status not in OPEN | CLOSED:
                 raise Unsure(f"status {status!r}")
+            timed = status in OPEN and place[3] is not None
+            if timed and len(row) <= place[3]:
+                raise Unsure("no timings cell")
             try:
                 day = date.fromisoformat(row[place[0]][1])
             except ValueError as error:
                 raise Unsure("date") from error
             if day in found:
                 raise Unsure(f"{day} twice")
-            spans = _spans(row[place[3]][1]) if status in OPEN and place[3] is not None else []
+            spans = _spans(row[place[3]][1]) if timed else []
             found[day] = ("OPEN" if status in OPEN else "CLOSED", spans)
         return [(d, s, i) for d, (s, i) in sorted(found.items())]
     raise Unsure("no holiday table")
