@@ -325,10 +325,19 @@ FROM m WHERE baseline_range_pct > 0""")
 def scan_relative_range(spark, sf_dir):
     held = strategies.lookback(bindings.daily(spark, sf_dir), _numbered_days(spark), 21)
     results = _placed(strategies.evaluate(strategies.CATALOG["previous_session_relative_range"], held))
-    rounded = results.withColumn("__key", F.round("relative_range_ratio", 9))
+    rounded = results.where("status = 'MATCHED'").withColumn("__key", F.round("relative_range_ratio", 9))
     return _shown(evaluation.rank_candidates(rounded, "__key"), "previous_range_pct", "baseline_range_pct", "relative_range_ratio")
 
 
+@query(f"""WITH {DAILY}, p AS (SELECT instrument, trading_date, high = low AS flat FROM daily), t AS (SELECT a.instrument, a.trading_date AS d,
+  (SELECT count(*) FROM p b WHERE b.instrument = a.instrument AND b.trading_date <= a.trading_date AND b.trading_date >= a.trading_date - INTERVAL 4 DAY) AS n FROM p a)
+SELECT instrument, CAST(d + INTERVAL 1 DAY AS DATE)::VARCHAR AS trading_date, n = 5 AS whole FROM t""")
+def lookback_cover(spark, sf_dir):
+    """Which sessions have the four days before them too: the others' lookbacks are short."""
+    rows = strategies.lookback(bindings.daily(spark, sf_dir), _numbered_days(spark), 5, short=True)
+    return rows.select("instrument", _s("trading_date"), F.col("sessions").isNotNull().alias("whole"))
+
+
 @query(f"""WITH {SESSIONS}, u AS (SELECT count(DISTINCT instrument) AS expected FROM ticks)
 SELECT CAST(trading_date AS VARCHAR) AS trading_date, count(*) AS evaluated, count(*) AS eligible, expected, CASE WHEN count(*) = expected THEN 'COMPLETE' ELSE 'PARTIAL' END AS completeness
 FROM prev, u GROUP BY trading_date, expected""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.evaluation import project
 from tideline.plans.strategies import CATALOG
+from tideline.streaming.snapshots import versions
 
 
 class Unavailable(RuntimeError):
@@ -26,7 +27,7 @@ class Snapshot:
 
 
 def read_snapshot(spark: SparkSession, folder: str | None, strategy_id: str, limit: int = 50) -> Snapshot | None:
-    """The newest snapshot under folder/strategy_id (ranked and header tables), its first limit candidates; None before there is one.
+    """The newest whole snapshot under folder/strategy_id (as streaming.snapshots keeps them, or bare ranked and header tables), its first limit candidates; None before there is one.
 
     Counts are the whole snapshot's whatever the limit. At most 500 rows reach the driver.
     """
@@ -36,12 +37,15 @@ def read_snapshot(spark: SparkSession, folder: str | None, strategy_id: str, lim
         strategy = CATALOG[strategy_id]
     except KeyError as error:
         raise UnknownStrategy(strategy_id) from error
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{strategy_id}/header")
+    base = f"{folder}/{strategy_id}"
+    if held := versions(spark, base):
+        base = f"{base}/v{held[-1]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/header")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
-    header = spark.read.parquet(f"{folder}/{strategy_id}/header").orderBy(F.desc("trading_date")).first()
+    header = spark.read.parquet(f"{base}/header").orderBy(F.desc("trading_date")).first()
     if header is None:
         return None
-    ranked = spark.read.parquet(f"{folder}/{strategy_id}/ranked").where(F.col("trading_date") == header.trading_date)
+    ranked = spark.read.parquet(f"{base}/ranked").where(F.col("trading_date") == header.trading_date)
     rows = project(ranked, limit, strategy.rank_by).orderBy("rank").collect()
     return Snapshot(header.asDict(), [r.asDict() for r in rows])

@@ -66,39 +66,47 @@ def cpr() -> dict[str, Column]:
     tc = 2 * pivot - bc
     return {
         "pivot": pivot, "bc": bc, "tc": tc, "cpr_bottom": F.least(bc, tc), "cpr_top": F.greatest(bc, tc), "cpr_width": F.abs(tc - bc),
-        "cpr_width_pct": F.abs(h + low - 2 * c) * 100 / (h + low + c),
+        "cpr_width_pct": F.try_divide(F.abs(h + low - 2 * c) * 100, h + low + c),
         "previous_high": h, "previous_low": low, "previous_close": c,
     }
 
 
 def range_pct() -> dict[str, Column]:
     o, h, low, c = map(_c, (O, H, L, C))
-    return {"previous_range": h - low, "previous_range_pct": (h - low) * 100 / o, "previous_open": o, "previous_high": h, "previous_low": low, "previous_close": c}
+    return {"previous_range": h - low, "previous_range_pct": F.try_divide((h - low) * 100, o), "previous_open": o, "previous_high": h, "previous_low": low, "previous_close": c}
 
 
 def body_pct() -> dict[str, Column]:
     o, c = _c(O), _c(C)
-    return {"previous_body": F.abs(c - o), "previous_body_pct": F.abs(c - o) * 100 / o, "previous_open": o, "previous_close": c}
+    return {"previous_body": F.abs(c - o), "previous_body_pct": F.try_divide(F.abs(c - o) * 100, o), "previous_open": o, "previous_close": c}
 
 
 BASELINE_SESSIONS = 20
 
 
 def relative_range(history: DataFrame) -> DataFrame:
-    """history: exactly 21 sessions of an instrument and trading date, rn 1 the newest. Its range over the exact median of the others' ranges."""
-    share = (_c(H) - _c(L)) * 100 / _c(O)
-    grouped = history.withColumn("pct", share).groupBy("instrument", "trading_date").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("pct"))).alias("previous_range_pct"),
-        F.sort_array(F.collect_list(F.when(F.col("rn") > 1, F.col("pct")))).alias("base"),
-        F.max(F.when(F.col("rn") == 1, F.col("source_date"))).alias("source_date"),
-    )
+    """The newest session's range over the exact median of the 20 before, from lookback's rows of 21 sessions.
+
+    reason says VALID; NO_HISTORY of a short lookback and DEGENERATE_BASELINE of a median of 0 are SKIPPED; a session
+    without an opening price is an ERROR of its own row.
+    """
+    pct = lambda x: F.try_divide((x[H] - x[L]) * 100, x[O])
+    whole = F.coalesce(F.size("sessions") == BASELINE_SESSIONS + 1, F.lit(False))
+    base = F.sort_array(F.transform(F.slice("sessions", 1, BASELINE_SESSIONS), pct))
+    rows = history.select(
+        "instrument", "trading_date", "source_date", F.when(whole, pct(F.try_element_at("sessions", F.lit(-1)))).alias("previous_range_pct"), F.when(whole, base).alias("base"), whole.alias("whole")
+    )
     middle = (F.get("base", F.lit(BASELINE_SESSIONS // 2 - 1)) + F.get("base", F.lit(BASELINE_SESSIONS // 2))) / F.lit(2).cast("decimal(20,0)")
-    rows = grouped.where(F.size("base") == BASELINE_SESSIONS).withColumn("baseline_range_pct", middle)
-    ratio = F.col("previous_range_pct").cast("double") / F.col("baseline_range_pct").cast("double")
-    status = F.when(F.col("baseline_range_pct") > 0, "MATCHED").otherwise("SKIPPED")
+    broken = F.col("previous_range_pct").isNull() | F.exists("base", lambda x: x.isNull())
+    rows = rows.withColumn("baseline_range_pct", F.when(~broken, middle))
+    reason = (
+        F.when(~F.col("whole"), "NO_HISTORY").when(broken, "NO_OPEN").when(F.col("baseline_range_pct") > 0, "VALID").otherwise("DEGENERATE_BASELINE")
+    )
+    ratio = F.try_divide(F.col("previous_range_pct").cast("double"), F.col("baseline_range_pct").cast("double"))
+    status = F.when(reason == "VALID", "MATCHED").when(reason == "NO_OPEN", "ERROR").otherwise("SKIPPED")
     return rows.select(
         "instrument", "trading_date", "source_date", "previous_range_pct", "baseline_range_pct", F.lit(BASELINE_SESSIONS).alias("baseline_sessions"),
-        F.when(F.col("baseline_range_pct") > 0, ratio).alias("relative_range_ratio"), status.alias("status"),
+        F.when(reason == "VALID", ratio).alias("relative_range_ratio"), status.alias("status"), reason.alias("reason"),
     )
 
 
@@ -117,27 +125,31 @@ CATALOG = Registry(
 
 
 def evaluate(strategy: Strategy, sessions: DataFrame, threshold: Decimal | None = None) -> DataFrame:
-    """Results over sessions (previous-session candles, or a whole lookback for strategies with an escape): columns, metrics and status."""
+    """Results over sessions (previous-session candles, or a whole lookback for strategies with an escape): columns, metrics and status.
+
+    A row whose ranking metric can't be computed (a price of 0) is an ERROR of its own and stops no other.
+    """
     if strategy.escape:
         return strategy.escape(sessions).withColumn("strategy_id", F.lit(strategy.id))
     told = sessions.select("instrument", "trading_date", "source_date", *[v.alias(k) for k, v in strategy.metrics().items()])
     status = strategy.status(threshold) if strategy.status else F.lit("MATCHED")
-    return told.withColumns({"status": status, "strategy_id": F.lit(strategy.id)})
+    return told.withColumns({"status": F.when(F.col(strategy.rank_by).isNull(), "ERROR").otherwise(status), "strategy_id": F.lit(strategy.id)})
 
 
-def lookback(daily: DataFrame, calendar_days: DataFrame, n: int, latest_only: bool = False) -> DataFrame:
-    """(instrument, trading_date, source_date, rn, prices): the n sessions before each trading date, whole or not at all.
+def lookback(daily: DataFrame, calendar_days: DataFrame, n: int, latest_only: bool = False, short: bool = False) -> DataFrame:
+    """(instrument, trading_date, source_date, sessions): the n sessions before each trading date, oldest first, whole or not at all.
 
-    calendar_days: trading_date and number, counted along the calendar. A date's n sessions are those whose numbers
-    are 1 to n less; each daily row goes to the n dates it serves, so the join is on keys.
+    calendar_days: trading_date and number, counted along the calendar. A session serves the day after it, if it and
+    the n - 1 rows before are n days of the calendar in a row: one window over the rows as they are. With short, other
+    sessions have a row too, its sessions null.
     """
     numbered = daily.join(F.broadcast(calendar_days), "trading_date")
-    served = numbered.select("instrument", F.col("trading_date").alias("source_date"), "open", "high", "low", "close", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rn"), "number")
-    dates = calendar_days.withColumnsRenamed({"trading_date": "target_date", "number": "target_number"})
+    order = Window.partitionBy("instrument").orderBy("number")
+    held = F.collect_list(F.struct(F.col("trading_date").alias("source_date"), "open", "high", "low", "close")).over(order.rowsBetween(1 - n, 0))
+    whole = F.coalesce(F.col("number") - F.lag("number", n - 1).over(order) == n - 1, F.lit(False))
+    rows = numbered.select("instrument", F.col("trading_date").alias("source_date"), (F.col("number") + 1).alias("target_number"), held.alias("held"), whole.alias("whole"))
+    dates = calendar_days.select("trading_date", F.col("number").alias("target_number"))
     if latest_only:
         dates = dates.orderBy(F.desc("target_number")).limit(1)
-    joined = served.withColumn("target_number", F.col("number") + F.col("rn")).join(F.broadcast(dates), "target_number")
-    whole = Window.partitionBy("instrument", "target_date")
-    return joined.withColumn("__c", F.count("*").over(whole)).where(F.col("__c") == n).select(
-        "instrument", F.col("target_date").alias("trading_date"), "source_date", "rn", "open", "high", "low", "close"
-    )
+    rows = (rows if short else rows.where("whole")).join(F.broadcast(dates), "target_number")
+    return rows.select("instrument", "trading_date", "source_date", F.when(F.col("whole"), F.col("held")).alias("sessions"))

@@ -63,6 +63,13 @@ def instrument_master(spark: SparkSession, path: str) -> DataFrame:
     return constraints.require(made, F.col("symbol").isNotNull() & constraints.contract_valid(), "bad contract")
 
 
+def _price(text: Column) -> Column:
+    """A price's own digits as decimal(20,8); null if it isn't one or has more. Nothing is rounded."""
+    wide = text.try_cast("decimal(38,18)")
+    narrow = wide.try_cast("decimal(20,8)")
+    return F.when(narrow == wide, narrow)
+
+
 _ARRAYS = ("open", "high", "low", "close", "volume", "timestamp")
 _WHOLE = r"^-?[0-9]+(\.0+)?$"
 
@@ -81,7 +88,7 @@ def historical_json(spark: SparkSession, path: str, seconds: int) -> DataFrame:
     sure = constraints.require(raw, even, "arrays of unequal length")
     rows = sure.select(F.inline(F.arrays_zip(*_ARRAYS)))
     whole = lambda c: _or_fail(F.col(c).cast("decimal(20,0)").cast("long"), F.col(c).rlike(_WHOLE), f"{c} isn't whole")
-    price = lambda c: F.col(c).cast("decimal(12,4)").alias(c)
+    price = lambda c: _or_fail(_price(F.col(c)), _price(F.col(c)).isNotNull(), f"{c} isn't a price").alias(c)
     told = rows.select(
         (whole("timestamp") * 1_000_000).alias("start_us"), (whole("timestamp") * 1_000_000 + seconds * 1_000_000).alias("end_us"),
         *map(price, ("open", "high", "low", "close")), whole("volume").alias("quantity"),
@@ -98,7 +105,7 @@ def session_ohlc_json(payloads: DataFrame, requested: DataFrame) -> DataFrame:
     read = payloads.select(F.from_json("body", kind).alias("p"))
     sure = constraints.require(read, F.col("p.status") == "success", "the quote batch failed")
     flat = sure.select(F.explode("p.data").alias("exchange_segment", "m")).select("exchange_segment", F.explode("m").alias("security_id", "v"))
-    price = lambda c: F.col(f"v.ohlc.{c}").try_cast("decimal(12,4)").alias(c)
+    price = lambda c: _price(F.col(f"v.ohlc.{c}")).alias(c)
     rows = flat.select("exchange_segment", "security_id", *map(price, ("open", "high", "low", "close")))
     return requested.join(rows, ["exchange_segment", "security_id"]).where(constraints.ohlc_valid())
 

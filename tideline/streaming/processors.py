@@ -7,13 +7,18 @@ as Spark promises no order there. State is bounded: the latest values of a key,
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FUTURE_SKEW_US = 60_000_000
+#: Prices go through the states as whole ten-thousandths: JSON has no decimals.
+PRICE_UNIT = 10_000
+#: Most series that a feed-wide event is dealt out to.
+MOST_SERIES = 100_000
 
 
 def validate_step(state: dict, e: dict) -> tuple[dict, dict]:
@@ -35,8 +40,11 @@ def candle_step(state: dict, e: dict) -> tuple[dict, dict | None]:
     """state: the open bucket and what the next one needs. A tick of a later bucket or day gives out the bucket before.
 
     A row of kind loss taints an instrument that has ticks: its open bucket, if it isn't over, and those that follow that day.
+    A row of kind flush gives out a bucket that ends by its instant. What comes later for a bucket given out is dropped.
     """
     now = state.get("bucket")
+    if e["kind"] == "flush":
+        return flush_step(state) if now and now["end_us"] <= e["ts_us"] else (state, None)
     if e["kind"] == "loss":
         if now and now["trading_date"] == e["trading_date"]:
             state = state | {"broken": True, "bucket": now | {"cut": now["cut"] or e["ts_us"] <= now["end_us"]}}
@@ -47,6 +55,8 @@ def candle_step(state: dict, e: dict) -> tuple[dict, dict | None]:
     index = (e["ts_us"] - e["open_us"]) // width
     done = None
     if now and (now["trading_date"], now["index"]) == (e["trading_date"], index):
+        if now.get("given"):
+            return state, None
         top = now["cum"]
         back = e["cum"] is not None and top is not None and e["cum"] < top
         cum = top if e["cum"] is None or back else e["cum"]
@@ -54,7 +64,7 @@ def candle_step(state: dict, e: dict) -> tuple[dict, dict | None]:
         return state | {"bucket": bucket}, None
     broken, before = False, None
     if now:
-        done = finish(now)
+        done = None if now.get("given") else finish(now)
         if now["trading_date"] == e["trading_date"]:
             broken, before = bool(state.get("broken")), now
     gap = broken or (before is not None and index != before["index"] + 1)
@@ -66,6 +76,14 @@ def candle_step(state: dict, e: dict) -> tuple[dict, dict | None]:
     return {"bucket": bucket, "broken": broken}, done
 
 
+def flush_step(state: dict) -> tuple[dict, dict | None]:
+    """Gives the open bucket out; the state keeps what the next one needs of it."""
+    now = state.get("bucket")
+    if not now or now.get("given"):
+        return state, None
+    return state | {"bucket": now | {"given": True}}, finish(now)
+
+
 def finish(b: dict) -> dict:
     sure = not b["invalid"] and b["base"] is not None and b["cum"] is not None and b["cum"] >= b["base"]
     quality = "FEED_GAP" if b["gap"] else "INCOMPLETE_OHLC" if b["cut"] else "INCOMPLETE_VOLUME"
@@ -90,20 +108,42 @@ def _plain(row: dict) -> dict:
     return {k: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v for k, v in row.items()}
 
 
-def stateful(events: DataFrame, step: Callable, schema: str, names: list[str], mode: str = "append") -> DataFrame:
-    """step over each instrument's events; the state is JSON text, so any step's state fits."""
+def stateful(
+    events: DataFrame, step: Callable, schema: str, names: list[str], mode: str = "append", keys: Sequence[str] = ("instrument",),
+    timer: tuple[Callable[[dict], int | None], Callable[[dict], tuple[dict, dict | None]]] | None = None,
+) -> DataFrame:
+    """step over each key's events; the state is JSON text, so any step's state fits.
+
+    timer: (the microseconds at which a state is due, or None; what is then done with it). It needs a watermark on events, and fires
+    once that has passed the instant, with no further event of the key.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState):
         state = json.loads(held.get[0]) if held.exists else {}
         out = []
-        for e in pd.concat(list(frames)).sort_values("arrival").to_dict("records"):
-            state, told = step(state, _plain(e))
-            if told is not None:
-                out.append({"instrument": key[0]} | told)
+        if held.hasTimedOut:
+            state, told = timer[1](state)
+            out += [told] if told else []
+        else:
+            for e in pd.concat(list(frames)).sort_values("arrival").to_dict("records"):
+                state, told = step(state, _plain(e))
+                out += [told] if told is not None else []
         held.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=["instrument", *names]).astype(object)
+        if timer and (due := timer[0](state)) is not None:
+            held.setTimeoutTimestamp(max(due // 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([dict(zip(keys, key, strict=True)) | x for x in out], columns=[*keys, *names]).astype(object)
+
+    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    timeout = GroupStateTimeout.EventTimeTimeout if timer else GroupStateTimeout.NoTimeout
+    return events.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, {schema}", "state string", mode, timeout)
+
+
+def _units(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({c: (F.col(c).cast("decimal(12,4)") * PRICE_UNIT).cast("long") for c in names})
 
-    return events.groupBy("instrument").applyInPandasWithState(run, f"instrument string, {schema}", "state string", mode, GroupStateTimeout.NoTimeout)
+
+def _prices(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({c: (F.col(c) / F.lit(PRICE_UNIT).cast("decimal(20,0)")).cast("decimal(12,4)") for c in names})
 
 
 def validated(events: DataFrame) -> DataFrame:
@@ -111,28 +151,39 @@ def validated(events: DataFrame) -> DataFrame:
     return stateful(events, validate_step, "arrival long, verdict string, version long", ["arrival", "verdict", "version"])
 
 
-def candles(events: DataFrame) -> DataFrame:
-    """events: instrument, arrival, kind (tick or loss), ts_us, trading_date (text), tf, open_us, close_us, price, cum. Losses come as a row an instrument."""
-    names = ["trading_date", "index", "open", "high", "low", "close", "ticks", "volume", "quality"]
-    return stateful(events, candle_step, "trading_date string, index long, open double, high double, low double, close double, ticks long, volume long, quality string", names)
-
-
-def session_statistics(events: DataFrame) -> DataFrame:
-    """events: instrument, arrival, trading_date (text), as_of_us, market_state, verified, open, high, low."""
-    return stateful(events, statistics_step, "trading_date string, as_of_us long, open double, high double, low double", ["trading_date", "as_of_us", "open", "high", "low"])
+def fan_out(events: DataFrame, timeframes: Sequence[int]) -> DataFrame:
+    """A row of events for each timeframe (tf, in seconds), which may be given anew at each start of the stream: states are by (instrument, tf)."""
+    return events.withColumn("tf", F.explode(F.array(*map(F.lit, timeframes))))
 
 
-def per_instrument(losses: DataFrame, instruments: DataFrame) -> DataFrame:
-    """A feed-wide event as a row for each instrument of the (small, distinct) universe; Spark has no broadcast state."""
-    from pyspark.sql import functions as F
+def candles(events: DataFrame, flush: bool = False) -> DataFrame:
+    """Candles of each (instrument, tf) from events: instrument, tf, arrival, kind (tick, loss or flush), ts_us, trading_date (text), open_us, close_us, price, cum.
 
-    return losses.crossJoin(F.broadcast(instruments.select("instrument").distinct()))
+    Losses and flushes come as a row a series (per_series). A bucket is given out by a tick of a later one, by a flush, or, with
+    flush, as soon as the watermark (which events must have, on any instant column) has passed its end.
+    """
 
+    def due(state: dict) -> int | None:
+        now = state.get("bucket")
+        return now["end_us"] if now and not now.get("given") else None
 
-def latest_snapshot(results: DataFrame, rank: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Starts a stream that keeps the current ranked snapshot in path: each micro-batch is ranked and replaces it."""
+    names = ["trading_date", "index", "open", "high", "low", "close", "ticks", "volume", "quality"]
+    schema = "trading_date string, index long, open long, high long, low long, close long, ticks long, volume long, quality string"
+    made = stateful(_units(events, "price"), candle_step, schema, names, keys=("instrument", "tf"), timer=(due, flush_step) if flush else None)
+    return _prices(made, "open", "high", "low", "close")
 
-    def write(batch: DataFrame, _: int) -> None:
-        rank(batch).write.mode("overwrite").parquet(path)
 
-    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def session_statistics(events: DataFrame) -> DataFrame:
+    """events: instrument, arrival, trading_date (text), as_of_us, market_state, verified, open, high, low."""
+    names = ["trading_date", "as_of_us", "open", "high", "low"]
+    made = stateful(_units(events, "open", "high", "low"), statistics_step, "trading_date string, as_of_us long, open long, high long, low long", names)
+    return _prices(made, "open", "high", "low")
+
+
+def per_series(events: DataFrame, instruments: Sequence[str], timeframes: Sequence[int] = ()) -> DataFrame:
+    """A feed-wide event as a row for each instrument (and timeframe); Spark has no broadcast state. MOST_SERIES rows an event at most, else it fails."""
+    names = sorted(set(instruments))
+    if len(names) * max(1, len(timeframes)) > MOST_SERIES:
+        raise ValueError(f"{len(names)} instruments; {MOST_SERIES} series are dealt out to")
+    rows = events.withColumn("instrument", F.explode(F.array(*map(F.lit, names))))
+    return fan_out(rows, timeframes) if timeframes else rows
