@@ -75,10 +75,11 @@ def append_arrow(
     schema: str,
     make: Callable[[], Callable[..., list[pa.Array]]],
     keep: Sequence[str] | None = None,
+    rows_at_once: int = ROWS_AT_ONCE,
 ) -> DataFrame:
     """df's columns in keep (default: all) plus those of schema, computed batch by batch.
 
-    make() runs once per task and returns a function from the input arrays to the new ones.
+    make() runs once per task and returns a function from the input arrays, of rows_at_once rows at most, to the new ones.
     A kept column whose name is in schema gives way to the new column.
     """
     fields = T.StructType.fromDDL(schema).fields
@@ -91,18 +92,26 @@ def append_arrow(
     def run(batches):
         function = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
+            for at in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(at, rows_at_once)
                 made = function(*batch.columns[first:])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:first], *made], names=names)
 
     return chosen.mapInArrow(run, out)
 
 
-def least(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """The n rows of df with the least keys. Only keys, n a task, go to the driver; among rows of the last key any may stay."""
-    keys = df.select(key.alias("k")).where("k is not null").orderBy("k").limit(n).collect()
-    return df.where(key <= keys[-1].k).limit(n) if keys else df.limit(0)
+def least(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The n rows of df that come first by the columns of order (none of them null).
+
+    Their keys are found first, so whole rows move for few but these. Rows equal in all of order may stand for one another.
+    """
+    kinds = T.StructType([df.schema[c] for c in order])
+    keys = df.select(*map(quoted, order)).orderBy(*map(quoted, order)).limit(n).collect()
+    if not keys:
+        return df.limit(0)
+    mine = F.struct(*map(quoted, order))
+    last = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(keys[-1], kinds, strict=True)])
+    return df.where(mine <= last).orderBy(*map(quoted, order)).limit(n)
 
 
 def connected_components(edges: DataFrame) -> Stored:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stored, append_arrow, least
+from tideline.llm.common import Stored, append_arrow, least, quoted
 
 CUTOFF = 0.7
 GRAMS = (3, 4, 5)
@@ -143,14 +143,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     Log-count ratios come from all labelled texts. Features are kept where the ratio is far from 0 for its count
     (FEATURES at most, by the evidence). Weights are fitted on SAMPLE_OF_LABEL texts of either label at most,
-    those of least hashed id. A label that is null or neither 0 nor 1 is left out; of repeated labels the larger holds.
+    those of least hashed id, then text. A label that is null or neither 0 nor 1 is left out; of repeated labels the larger
+    holds; without labels of both kinds, or with empty docs, the model knows no feature. Labelled texts are stored once.
     """
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("toxic"))
+    marks = labels.where(quoted(label).isin(0, 1)).groupBy(quoted(doc_id).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    whole = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    labelled = whole.join(F.broadcast(marks) if few else marks, "id").select("id", "text", "toxic")
-    if not few:
-        labelled = Stored(labelled).df
+    whole = docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
+    labelled = Stored(whole.join(F.broadcast(marks) if few else marks, "id").select("toxic", F.xxhash64(F.col("id").cast("string")).alias("h"), F.xxhash64("text").alias("g"), "text")).df
     totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
@@ -170,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     rows = []
     for value in (0, 1):
-        part = least(labelled.where(F.col("toxic") == value), F.xxhash64(F.col("id").cast("string")), SAMPLE_OF_LABEL)
+        part = least(labelled.where(F.col("toxic") == value), ["h", "g"], SAMPLE_OF_LABEL)
         rows += [(sorted(r.found), value) for r in append_arrow(part, [F.col("text")], "found array<int>", make, []).collect()]
     return train(rows, counts, n1, n0)
 
@@ -191,4 +190,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
 
         return run
 
-    return append_arrow(docs, [F.col(text)], "score double, predicted int", make, keep)
+    return append_arrow(docs, [quoted(text)], "score double, predicted int", make, keep)
