@@ -3,26 +3,41 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import append_arrow, least
+from tideline.llm.common import append_arrow, quoted
 
 UNDETERMINED = "und"
-#: Bounds of the sample that the field is fitted on.
-SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 100_000
+#: Bounds of the sample that the field is fitted on: documents of a language, and characters of a document (longer ones give a stretch from anywhere).
+SAMPLE_OF_LANGUAGE = 300
+SAMPLE_CHARS = 20_000
+#: Code-switched sequences that are fitted: so many, or so many a language if that is more.
 SEQUENCES = 2400
+SEQUENCES_OF_LANGUAGE = 100
 #: Feature weights are held in this many hashed rows.
 ROWS = 1 << 16
 CACHE_WORDS = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Texts whose chains are run together, those of like length side by side.
+TEXTS_AT_ONCE = 10_000
+
+
+def _not_letters() -> str:
+    """The numerals that Python's words hold beside letters and digits (categories No and Nl), as ranges of a character class."""
+    found = [c for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl")]
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i == len(found) - 1 or found[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+_LETTERS = re.compile(rf"[^\W\d_{_not_letters()}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -144,7 +159,7 @@ def fit_rows(rows: list[tuple[str, str]], *, epochs: int = 12, seed: int = 0) ->
         if sum(c.values()) >= 5 and shares[best] >= 0.9 * sum(shares.values()):
             lexicon[w] = best
     field = Field(labels, lexicon)
-    data = _switched(taken, SEQUENCES, rng)
+    data = _switched(taken, max(SEQUENCES, SEQUENCES_OF_LANGUAGE * len(labels)), rng)
     if len(labels) < 2 or not data:
         return field
     number = {lang: i for i, lang in enumerate(labels)}
@@ -188,16 +203,39 @@ def fit_rows(rows: list[tuple[str, str]], *, epochs: int = 12, seed: int = 0) ->
     return field
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """The field of a bounded sample: the sample_docs rows with a language whose hashed order column is least.
+def sample(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: str = "doc_id", of_language: int = SAMPLE_OF_LANGUAGE) -> DataFrame:
+    """(lang, text): of every language that docs hold, the of_language rows whose hashed order column, then text, is least; equal rows once.
 
-    Texts of over SAMPLE_CHARS characters aren't drawn, which bounds what the driver receives; predictions read
-    whole texts of any length.
+    Rows are counted by language first; of large languages only keys under a bound that three times as many
+    should pass, and the least, are ranked, so no task sees a whole language.
     """
-    known = docs.where(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    rows = least(known, F.xxhash64(F.col(order).cast("string")), sample_docs).select(F.col(lang).alias("lang"), F.col(text).alias("text")).collect()
-    rows.sort(key=lambda r: (r.lang, r.text))
-    return fit_rows([(r.lang, r.text) for r in rows])
+    known = docs.where(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(
+        quoted(lang).cast("string").alias("lang"), quoted(text).alias("text"), F.xxhash64(quoted(order).cast("string")).alias("h"), F.xxhash64(quoted(text)).alias("g")
+    )
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    if not sizes:
+        return known.select("lang", "text")
+    whole = lambda n: (1 << 63) - 1 if n <= 20 * of_language else int(3 * of_language / n * (1 << 64)) - (1 << 63)
+    spark = docs.sparkSession
+    bounds = spark.createDataFrame([(r.lang, max(r.least, whole(r.n))) for r in sizes], "lang string, bound long")
+    few = known.join(F.broadcast(bounds), "lang").where("h <= bound")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))
+    ranked = few.select("lang", "h", "g").distinct().withColumn("rank", rank).where(F.col("rank") <= of_language)
+    ends = ranked.groupBy("lang").agg(F.max(F.struct("h", "g")).alias("last")).collect()
+    ends = spark.createDataFrame([(r.lang, r.last.h, r.last.g) for r in ends], "lang string, h1 long, g1 long")
+    chosen = few.join(F.broadcast(ends), "lang").where((F.col("h") < F.col("h1")) | ((F.col("h") == F.col("h1")) & (F.col("g") <= F.col("g1"))))
+    place = 1 + F.pmod(F.col("g"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)))
+    return chosen.groupBy("lang", "h", "g").agg(F.first(F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS))).alias("text")).select("lang", "text")
+
+
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: str = "doc_id", of_language: int = SAMPLE_OF_LANGUAGE) -> Field:
+    """The field of a bounded sample of every language; which languages there are is taken from all rows.
+
+    Rows without language or text teach nothing; with none left no language is learned. Predictions read whole
+    texts of any length.
+    """
+    rows = sample(docs, text=text, lang=lang, order=order, of_language=of_language).collect()
+    return fit_rows(sorted((r.lang, r.text) for r in rows))
 
 
 class _Emissions(dict):
@@ -208,10 +246,14 @@ class _Emissions(dict):
         self.field = field
         self.table = np.zeros((0, len(field.labels)), np.float32)
 
-    def meet(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def turn_over(self) -> None:
+        """Forgets all words if there are too many."""
         if len(self) > CACHE_WORDS:
             self.clear()
             self.table = self.table[:0]
+
+    def meet(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The words of each text as rows of the table."""
         fresh = sorted(set().union(*texts).difference(self))
         self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
         for at in range(0, len(fresh), 20_000):
@@ -222,13 +264,18 @@ class _Emissions(dict):
 _held: dict[str, _Emissions] = {}
 
 
-def judge(texts: list[str | None], field: Field, emissions: _Emissions, cells: int = 200_000) -> list[tuple[str, float]]:
-    """(language, mean posterior of its words) of each text; texts of like length go through the chain together."""
-    out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+def judge(texts: list[str | None], field: Field, emissions: _Emissions, cells: int = 200_000) -> list[tuple[str, float, float]]:
+    """(language, its mean posterior over the words, the mean of each word's greatest posterior) of each text."""
+    out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
     if not field.labels:
         return out
-    found = [(i, words) for i, t in enumerate(texts) if t and (words := words_of(t))]
-    rows = sorted(zip((i for i, _ in found), emissions.meet([w for _, w in found]), strict=True), key=lambda r: len(r[1]))
+    emissions.turn_over()
+    rows: list[tuple[int, np.ndarray]] = []
+    for at in range(0, len(texts), 500):  # the words of few texts at a time; what stays is 4 bytes a word
+        found = [(at + i, words) for i, t in enumerate(texts[at : at + 500]) if t and (words := words_of(t))]
+        if found:
+            rows += zip((i for i, _ in found), emissions.meet([w for _, w in found]), strict=True)
+    rows.sort(key=lambda r: len(r[1]))
     at = 0
     while at < len(rows):
         stop = at + 1
@@ -241,9 +288,10 @@ def judge(texts: list[str | None], field: Field, emissions: _Emissions, cells: i
             ids[i, : len(row)] = row
         marginal, _ = forward_backward(emissions.table[ids], lengths, field.start, field.move)
         shares = marginal.sum(1) / lengths[:, None]
-        for (i, _), share in zip(part, shares, strict=True):
+        sure = marginal.max(2).sum(1) / lengths
+        for (i, _), share, s in zip(part, shares, sure, strict=True):
             best = int(share.argmax())
-            out[i] = (field.labels[best], float(min(1.0, share[best])))
+            out[i] = (field.labels[best], float(min(1.0, share[best])), float(min(1.0, s)))
         at = stop
     return out
 
@@ -259,10 +307,12 @@ def tag(text: str, field: Field) -> list[tuple[str, str]]:
 
 
 def identify(docs: DataFrame, field: Field, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs plus lang_pred and score, the mean posterior of lang_pred over the text's words.
+    """docs plus lang_pred, score (the mean posterior of lang_pred over the text's words) and certainty (the mean of each word's greatest).
 
-    Null texts and texts without a letter are 'und' with score 0, as is any text if no language was learned;
-    repeated rows are judged alike; columns of these names are replaced. Whole texts are read.
+    An evenly code-switched text has a low score, however sure its words are; certainty tells whether the learned languages
+    explain it. Null texts and texts without a letter are 'und' with 0 for both, as is any text if no language
+    was learned; repeated rows are judged alike; an empty table gives no rows; columns of these names are replaced.
+    Whole texts are read.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -274,8 +324,8 @@ def identify(docs: DataFrame, field: Field, *, text: str = "text", keep: list[st
 
         def run(texts):
             found = judge(texts.to_pylist(), held.value, emissions)
-            return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            return [pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]]
 
         return run
 
-    return append_arrow(docs, [F.col(text)], "lang_pred string, score double", make, keep)
+    return append_arrow(docs, [quoted(text)], "lang_pred string, score double, certainty double", make, keep, TEXTS_AT_ONCE)
