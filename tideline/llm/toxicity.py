@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tideline.llm.common import Stored, append_arrow, least, quoted
 
 CUTOFF = 0.7
-GRAMS = (3, 4, 5)
-ROWS = 1 << 20
+GRAMS = (4, 5, 6, 7, 8)
+ROWS = 1 << 22
+#: Least evidence of a feature (log-count ratio times the root of its texts): what lies under it adds noise to every text.
+EVIDENCE = 5.0
 #: Bounds of the sample that the linear weights are fitted on, of either label, and of the features kept.
 SAMPLE_OF_LABEL = 3000
 FEATURES = 1 << 16
@@ -142,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     """The classifier of the labelled rows of docs.
 
     Log-count ratios come from all labelled texts. Features are kept where the ratio is far from 0 for its count
-    (FEATURES at most, by the evidence). Weights are fitted on SAMPLE_OF_LABEL texts of either label at most,
+    (EVIDENCE; FEATURES at most, those of most evidence). Weights are fitted on SAMPLE_OF_LABEL texts of either label at most,
     those of least hashed id, then text. A label that is null or neither 0 nor 1 is left out; of repeated labels the larger
     holds; without labels of both kinds, or with empty docs, the model knows no feature. Labelled texts are stored once.
     """
@@ -157,8 +159,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     p, q = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("clean") + 0.5) / (n0 + 1)
     evidence = F.abs(F.log(p / q)) * F.sqrt(F.col("toxic") + F.col("clean"))
     kept = (
-        document_counts(labelled).where("toxic + clean >= 3").withColumns({"ratio": F.log(p / q), "evidence": evidence})
-        .where(F.abs("ratio") >= 0.4).orderBy(F.desc("evidence"), "feature").limit(FEATURES).select("feature", "toxic", "clean").collect()
+        document_counts(labelled).withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE)
+        .orderBy(F.desc("evidence"), "feature").limit(FEATURES).select("feature", "toxic", "clean").collect()
     )
     counts = {r.feature: (r.toxic, r.clean) for r in kept}
     held = docs.sparkSession.sparkContext.broadcast(frozenset(counts))
