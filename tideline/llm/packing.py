@@ -38,8 +38,8 @@ class _Words(dict):
     """Ids (little-endian uint32 bytes) by stretch between spaces; the tokenizer never joins across white space.
 
     A stretch that isn't known is normalised and split here and its pieces go to the tokenizer's model. One whose
-    normal form depends on more than its characters goes through the whole tokenizer. Of the words, those used
-    since the last turnover are kept.
+    normal form depends on more than its characters, or that holds a character this Python doesn't know and the
+    tokenizer may, goes through the whole tokenizer. Of the words, those used since the last turnover are kept.
     """
 
     def __init__(self, path: str):
@@ -64,7 +64,7 @@ class _Words(dict):
                 return self.piece(word.lower())
             if "<|" in word:
                 return self.whole(word)
-        elif not unicodedata.is_normalized("NFC", word) or "<|" in word or "Σ" in word or "İ" in word:
+        elif not unicodedata.is_normalized("NFC", word) or "<|" in word or "Σ" in word or "İ" in word or any(unicodedata.category(c) == "Cn" for c in word):
             return self.whole(word)
         return b"".join(map(self.piece, _PIECES.findall(word.lower())))
 
@@ -313,6 +313,7 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY,
 
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("length", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    ranked = stored.join(offsets, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    # as many rows as lengths met in all partitions: too many to broadcast in the long run
+    ranked = stored.join(offsets.hint("merge"), ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     shown = [*keep, "piece", "start", "length", "ids_crc32"]
     return append_arrow(ranked, [F.col("length"), F.col("__rank")], "sequence_id long, offset long", place, shown)
