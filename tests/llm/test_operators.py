@@ -406,6 +406,25 @@ def test_decontamination(spark):
     assert decontam.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_a_benchmark_of_two_blocks(spark):
+    """Over twice BLOCK_BYTES of benchmark: two or more passes, and a bounded matcher in each."""
+    import sys
+
+    rng = random.Random(6)
+    items = [(f"i{k}", " ".join(f"{rng.getrandbits(40):x}" for _ in range(4000))) for k in range(210)]
+    assert sum(len(t) for _, t in items) > 2 * decontam.BLOCK_BYTES
+    pick = lambda k, n: " ".join(items[k][1].split()[50 : 50 + n])
+    texts = [pick(3, 13), pick(100, 40) + " tail " * 20, pick(200, 12), pick(7, 13) + " x " + pick(150, 14), None]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string").withColumn("__hits", F.lit(1))
+    got = {r.doc_id: r for r in decontam.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert [(got[i].n_words, got[i].n_hit, got[i].item_ids) for i in range(5)] == [(13, 13, ["i3"]), (60, 40, ["i100"]), (12, 0, []), (28, 27, ["i150", "i7"]), (0, 0, [])]
+    assert got[0]["a.b"] == "c" and got[0]["__hits"] == 1
+    block = [(k, t.encode()) for k, t in items[: len(items) // 2]]
+    matcher = decontam.Matcher(block, decontam.WINDOW)
+    size = sum(sys.getsizeof(k) + 48 * len(k) + (sys.getsizeof(v) if isinstance(v, list) else 28) for k, v in matcher.searches[0].table.items())
+    print("table bytes a byte of text:", size / sum(len(t) for _, t in block))
+
+
 def test_quality(spark, rows):
     rng = random.Random(9)
     plain = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(2, 8) + str(rng.randint(0, 999)) for _ in range(40))
@@ -492,6 +511,140 @@ def test_pipeline_keeps_the_documents_columns(spark, rows, tmp_path):
     assert corpus_pipeline.packed(spark, at, str(tmp_path)).select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
 
 
+def test_tokens_of_every_code_point():
+    """Words with each code point of the planes in use, against the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizers.path(packing.TOKENIZER)
+    tok, words = Tokenizer.from_file(path), packing._Words(path)
+    texts = [f"a{chr(c)}b{chr(c)}" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    wrong = [t for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True) if np.array(e.ids, "<u4").tobytes() != words.encode(t)]
+    assert not wrong, [hex(ord(t[1])) for t in wrong[:20]]
+
+
+def test_texts_of_numerals_have_no_letter(spark):
+    docs = spark.createDataFrame([(0, "½ ² Ⅷ ৴ 12 _ ①"), (1, "Ⅷ the and"), (2, "ª")], "doc_id long, text string")
+    field = crf.fit_rows([("en", "the and of to in that " * 5), ("fr", "le la les des une que " * 5)])
+    got = {r.doc_id: r.lang_pred for r in crf.identify(docs, field).collect()}
+    assert got[0] == "und" and got[1] == "en" and got[2] != "und"
+    assert crf.words_of("a½b Ⅷc d²") == ["a", "b", "c", "d"]
+
+
+def test_every_language_is_sampled(spark):
+    """A language of one row among thousands, one of very long texts only, and one whose rows are all alike."""
+    rows = [(i, f"the and of {i}", "en") for i in range(9000)] + [(-1, "ene mene", "rare"), (-2, "ta tu " * 50_000, "long"), (-2, "ta tu " * 50_000, "long")]
+    rows += [(7, "same row", "twin")] * 7000 + [(-3, None, "none"), (-4, "no lang", None)]
+    docs = spark.createDataFrame(rows, DOCS.split(", source")[0])
+    got = crf.sample(docs, of_language=200).collect()
+    by = {k: [r.text for r in got if r.lang == k] for k in {r.lang for r in got}}
+    assert {k: len(v) for k, v in by.items()} == {"en": 200, "rare": 1, "long": 1, "twin": 1}
+    assert len(by["long"][0]) == crf.SAMPLE_CHARS and sorted(r.text for r in crf.sample(docs.repartition(7), of_language=200).collect()) == sorted(r.text for r in got)
+    assert crf.sample(docs.limit(0)).collect() == []
+
+
+def test_whole_pipeline_on_odd_rows(spark, rows, tmp_path):
+    """run itself, on nulls, long and repeated texts and columns with odd names, and on an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([("1", "le la les")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("a.b", F.lit(1)).withColumn("d", F.lit("x")).withColumn("text.x", F.lit(2))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got if r.doc_id is not None} <= {r[0] for r in rows} and len({r.doc_id for r in got}) > 200
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_held_out_rows_follow_the_contract(spark, tmp_path):
+    """The opN_ functions themselves: which rows are held out, and that tests' own labels and languages play no part."""
+    from tideline.llm import queries
+
+    rows = [(i, f"{'the and of' if i % 2 else 'le la les'} word{i % 7} bad{i % 5} x{i}", "en" if i % 2 else "fr", "s", 1) for i in range(120)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query, mod, rest in ((queries.op2_toxicity, 3, 1), (queries.op4_bloom_lm, 7, 2), (queries.op5_language, 3, 1)):
+        got = query(spark, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in got) == list(range(120))
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in got)
+    toxic = {r.doc_id: r.score for r in queries.op2_toxicity(spark, str(tmp_path)).collect()}
+    changed = [(i, t, None if zlib.crc32(str(i).encode()) % 3 == 1 else g, s, n) for i, t, g, s, n in rows]
+    spark.createDataFrame(changed, DOCS).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 5 == 0) if zlib.crc32(str(i).encode()) % 3 != 1 else 1) for i in range(120)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    assert {r.doc_id: r.score for r in queries.op2_toxicity(spark, str(tmp_path)).collect()} == toxic
+
+
+def test_languages_against_all_label_sequences(spark):
+    """lang_pred and score of short texts, by summing over every sequence of labels."""
+    import itertools
+
+    rows = [("en", "the and of to in that was with " * 4), ("fr", "le la les des une que dans sur " * 4), ("de", "der die das und mit ein auf von " * 4)]
+    field = crf.fit_rows(rows)
+    texts = ["the", "le the und", "und die des une", "mit la of xyz qqq", "The LES  das-and", "zz yy"]
+    got = crf.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()
+    for r in got:
+        words = re.findall(r"[a-z]+", r.text.lower())
+        emit = np.array([field.weight[crf.features(w, field.lexicon)].astype(float).sum(0) for w in words])
+        k, share, total, best = len(field.labels), np.zeros(len(field.labels)), 0.0, np.zeros((len(words), len(field.labels)))
+        for tags in itertools.product(range(k), repeat=len(words)):
+            p = np.exp(field.start[tags[0]] + sum(emit[i, t] for i, t in enumerate(tags)) + sum(field.move[a, b] for a, b in itertools.pairwise(tags)))
+            total += p
+            for i, t in enumerate(tags):
+                best[i, t] += p
+        share = best.sum(0) / total / len(words)
+        assert r.lang_pred == field.labels[int(share.argmax())] and r.score == pytest.approx(share.max(), abs=1e-4)
+        assert r.certainty == pytest.approx((best / total).max(1).mean(), abs=1e-4)
+
+
+def test_toxicity_against_plain_counts(spark):
+    """The model and its scores, from counts over all texts by sets of substrings."""
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in ("ban", "tor", "lim", "wex") for b in ("ra", "do", "ki") for c in ("n", "st", "")]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(12)) + (" grobzak" if i % 4 == 0 else "")) for i in range(160)]
+    docs = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts] + [(0, 0), (5, None), (7, 2)], "doc_id long, toxic int")
+
+    def grams(text):
+        bounds = {f"<{w}>" for w in re.findall(r"\w+", (text or "").lower())}
+        names = {b[i : i + n] for b in bounds for n in toxicity.GRAMS for i in range(len(b) - n + 1)} | {"=" + b[1:-1] for b in bounds}
+        return {zlib.crc32(x.encode()) % toxicity.ROWS for x in names}
+
+    rows = [(sorted(grams(t)), int(i % 4 == 0)) for i, t in texts]
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    counts = {}
+    for found, y in rows:
+        for x in found:
+            a, b = counts.get(x, (0, 0))
+            counts[x] = (a + y, b + 1 - y)
+    ratio = lambda a, b: np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    counts = {x: (a, b) for x, (a, b) in counts.items() if abs(ratio(a, b)) * np.sqrt(a + b) >= toxicity.EVIDENCE}
+    want = toxicity.train([([x for x in found if x in counts], y) for found, y in rows], counts, n1, n0)
+    got = toxicity.learn(docs, labels)
+    assert set(got.weight) == set(want.weight) and all(got.weight[x] == pytest.approx(w, abs=1e-6) for x, w in want.weight.items())
+    for r in toxicity.score(docs, got).collect():
+        z = want.bias + sum(want.weight.get(x, 0.0) for x in grams(r.text))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and r.predicted == int(r.score >= 0.7)
+    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels)).collect() == []
+    odd = docs.withColumns({"score": F.lit("x"), "toxic": F.lit(9), "id": F.lit(1)})
+    assert {r.doc_id: r.score for r in toxicity.score(odd, toxicity.learn(odd, labels)).collect()} == pytest.approx({r.doc_id: r.score for r in toxicity.score(docs, got).collect()})
+
+
+def test_repeated_pages_and_exported_bundles(spark, tmp_path):
+    pages = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (3, "v", "same"), (None, None, None), (9, "w", "é" * 3000)], "page_id long, url string, html string")
+    stored = warc.write_bundles(pages)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_bundles(stored.df).collect())
+    assert got == [(0, "response", None), (3, "revisit", 5), (5, "response", None), (5, "response", None), (9, "response", None)]
+    (tmp_path / "out").mkdir()
+    told = warc.export_bundles(stored.df, str(tmp_path / "out")).collect()
+    held = {r.bundle_id: r for r in stored.df.collect()}
+    assert len(told) == len(held)
+    for r in told:
+        blob = open(r.path, "rb").read()
+        assert blob == bytes(held[r.bundle_id].blob)
+        for entry in held[r.bundle_id]["index"]:
+            headers, block = warc.read_record(blob, entry.frame, entry.offset)
+            assert headers["WARC-Record-ID"] == f"<{entry.record_id}>" and len(block) > 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tideline.llm.common import Stored, append_arrow, connected_components
+from tideline.llm.common import Stored, append_arrow, connected_components, quoted
 
 BITS = 64
 THRESHOLD = 4
@@ -303,10 +303,11 @@ def _groups(printed: DataFrame, tau: int) -> DataFrame:
     nodes = Stored(printed.groupBy("fp").agg(F.min(stands).alias("least"))).df
     roots = connected_components(near_links(nodes, tau)).df
     members = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
-    named = members.groupBy("root").agg(F.min("least").alias("named"))
+    # stored, so that the joins on roots and fingerprints, of which one may hold a third of all rows, are between plain shuffles, which Spark can split
+    named = Stored(members.groupBy("root").agg(F.min("least").alias("named"))).df
     labels = Stored(members.join(named, "root").select("fp", "named")).df
     least = F.coalesce("named", "least")
-    return nodes.join(labels, "fp", "left").select("fp", least["doc_id"].alias("component_id"), least["row"].alias("first"))
+    return Stored(nodes.join(labels, "fp", "left").select("fp", least["doc_id"].alias("component_id"), least["row"].alias("first"))).df
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
@@ -326,7 +327,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
     """The rows of docs, one of each component: that of the smallest doc_id (null after all others), of equal rows one."""
-    rows = docs.select(F.struct(*docs.columns).alias("d"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("d"), quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     printed = Stored(add_fingerprint(rows, keep=["d", "doc_id", "row"])).df
     kept = _groups(printed.select("doc_id", "row", "fp"), tau).select(F.col("first").alias("row")).distinct()
-    return printed.join(kept, "row", "left_semi").select("d.*")
+    return printed.join(kept, "row", "left_semi").select(*[F.col("d")[c].alias(c) for c in docs.columns])

@@ -152,7 +152,8 @@ def write_bundles(
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    owners = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page").alias("owner"))
+    # stored, so that the join is between plain shuffles, which Spark splits where one payload has very many pages
+    owners = Stored(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page").alias("owner"))).df
     told = rows.join(owners, "digest", "left").select(
         "page", "url", "payload", "owner",
         (F.octet_length("payload").__ge__(min_bytes) & ~F.col("page").eqNullSafe(F.col("owner"))).alias("revisit"),
