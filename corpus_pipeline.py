@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import crf, decontam, packing, pii, simhash
-from tideline.llm.common import Stored, read_table
+from tideline.llm.common import Stored, quoted, read_table
 
-#: Least mean posterior of a document's language: code-switched texts whose languages share evenly stay.
-LANGUAGE_SCORE = 0.3
+#: Least mean, over a document's words, of the greatest posterior: how well the learned languages explain it. Code-switched texts stay.
+LANGUAGE_CERTAINTY = 0.6
 
 
 def _whole(docs: DataFrame) -> DataFrame:
     """A document's columns as one, d, beside its text: what an operator adds can't clash with them."""
-    return docs.select(F.struct(*docs.columns).alias("d"), "text")
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("d"), "text")
+
+
+def _parts(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of d again."""
+    return found.select(*[F.col("d")[c].alias(c) for c in columns])
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with LANGUAGE_SCORE, go."""
+    """Documents without a letter, or that the learned languages don't explain (LANGUAGE_CERTAINTY), go."""
     told = crf.identify(_whole(docs), crf.learn(docs), keep=["d"])
-    return told.where((F.col("lang_pred") != crf.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)).select("d.*")
+    return _parts(told.where((F.col("lang_pred") != crf.UNDETERMINED) & (F.col("certainty") >= LANGUAGE_CERTAINTY)), docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +36,19 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words 1 in 20 or more lie in benchmark passages go."""
     found = decontam.find_contamination(_whole(docs), read_table(spark, sf_dir, "benchmark"), keep=["d"])
-    return found.where("not contaminated").select("d.*")
+    return _parts(found.where("not contaminated"), docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to their kind in brackets, and n_chars follows."""
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*others).alias("d"), "text")
+    rows = docs.select(F.struct(*map(quoted, others), F.lit(0).alias("__")).alias("d"), "text")
     clean = pii.redact(pii.detect(rows, keep=["d", "text"]))
     whole = F.col("d").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         size = F.when(F.size("span_list") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.n_chars"))
         whole = whole.withField("n_chars", size)
-    return clean.select(whole.alias("d")).select("d.*").select(*docs.columns)
+    return _parts(clean.select(whole.alias("d")), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
