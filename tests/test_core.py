@@ -249,6 +249,14 @@ def test_packets(spark):
     assert got[1].fault is None and got[1].tick.last_price == Decimal("101.25") and got[1].tick.session_ohlc.high == 102 and got[1].quote is None
     assert got[2].tick.session_ohlc is None and got[2].quote.bid_price == 10 and len(got[2].depth.asks) == 5
     assert got[3].code == 50 and got[3].fault is None and got[4].fault and got[5].fault
+    assert got[2].depth.asks[4].asDict() == {"price": Decimal(15), "quantity": 24} and got[2].quote.ask_quantity == 20 and got[1].depth is None
+    # prices are the shortest text of the float, whatever its size; a batch may hold each kind of packet, or none
+    odd = [0.1, 100.05, 16777217.0, 1e-7, 3.0e8, 7.5e-5]
+    bodies = [(k, bytearray(struct.pack("<BhBi", 4, 50, 1, 7) + struct.pack("<f h i f i i i f f f f", v, 1, 1_754_452_800, v, 1, 1, 1, 0, 0, 0, 0))) for k, v in enumerate(odd)]
+    more = packets.decode(spark.createDataFrame([*bodies, (90, None), (91, bytearray(b"\xff\x00"))], "arrival long, packet binary").coalesce(1))
+    told = {r.arrival: r for r in more.collect()}
+    assert [told[k].tick.last_price for k in range(len(odd))] == [Decimal(str(struct.unpack("<f", struct.pack("<f", v))[0])).quantize(Decimal(1).scaleb(-18)) for v in odd]
+    assert told[90].fault == "empty" and told[91].fault == "unknown code" and told[0].tick.session_ohlc is None
 
 
 def test_html_calendar(spark):

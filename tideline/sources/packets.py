@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values of the wire format, little-endian.
 HEADER = [("code", "u1"), ("length", "<i2"), ("segment", "u1"), ("security_id", "<i4")]
@@ -22,33 +21,21 @@ LAYOUTS = {
 SEGMENT_CODES = {"IDX_I": 0, "NSE_EQ": 1, "NSE_FNO": 2, "NSE_CURRENCY": 3, "BSE_EQ": 4, "MCX_COMM": 5, "BSE_CURRENCY": 7, "BSE_FNO": 8}
 
 _P = "decimal(38,18)"
-SCHEMA = (
-    f"arrival long, code int, segment_code int, security_id long, fault string, ts_us long, "
-    f"tick struct<last_price:{_P},traded_quantity:bigint,session_cumulative_volume:bigint,session_ohlc:struct<open:{_P},high:{_P},low:{_P},close:{_P}>>, "
-    f"quote struct<bid_price:{_P},ask_price:{_P},bid_quantity:bigint,ask_quantity:bigint>, "
-    f"depth struct<bids:array<struct<price:{_P},quantity:bigint>>,asks:array<struct<price:{_P},quantity:bigint>>>"
-)
-_D = pa.decimal128(38, 18)
-_OHLC = pa.struct([(c, _D) for c in ("open", "high", "low", "close")])
-_SIDE = pa.list_(pa.struct([("price", _D), ("quantity", pa.int64())]))
-_TYPES = {
+_OHLC = ("open", "high", "low", "close")
+#: What the decoder gives, flat; prices as the text of their shortest form, which Spark casts.
+_FLAT = {
     "arrival": pa.int64(), "code": pa.int32(), "segment_code": pa.int32(), "security_id": pa.int64(), "fault": pa.string(), "ts_us": pa.int64(),
-    "tick": pa.struct([("last_price", _D), ("traded_quantity", pa.int64()), ("session_cumulative_volume", pa.int64()), ("session_ohlc", _OHLC)]),
-    "quote": pa.struct([("bid_price", _D), ("ask_price", _D), ("bid_quantity", pa.int64()), ("ask_quantity", pa.int64())]),
-    "depth": pa.struct([("bids", _SIDE), ("asks", _SIDE)]),
+    "price": pa.string(), "traded": pa.int64(), "volume": pa.int64(), **dict.fromkeys(_OHLC, pa.string()),
+    **{x: pa.list_(pa.struct([("price", pa.string()), ("quantity", pa.int64())])) for x in ("bid", "ask")},
 }
+_FLAT_SCHEMA = (
+    "arrival long, code int, segment_code int, security_id long, fault string, ts_us long, price string, traded long, volume long, open string, high string, low string, close string, "
+    "bid array<struct<price:string,quantity:bigint>>, ask array<struct<price:string,quantity:bigint>>"
+)
 
 
-def _exact(x: float) -> Decimal:
-    return Decimal(str(float(x))).quantize(Decimal(1).scaleb(-18))
-
-
-def _whole(x) -> dict | None:
-    """The day's prices, or None where they aren't coherent: zeros stand for not yet known."""
-    o, h, low, c = (float(x[k]) for k in ("open", "high", "low", "close"))
-    if not (0 < low <= min(o, c) and max(o, c) <= h):
-        return None
-    return {"open": _exact(o), "high": _exact(h), "low": _exact(low), "close": _exact(c)}
+def _texts(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float64).astype(str)
 
 
 def _bad(x: np.ndarray) -> np.ndarray:
@@ -73,48 +60,91 @@ def _bad(x: np.ndarray) -> np.ndarray:
     return bad
 
 
+def _sides(x: np.ndarray, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """Prices (as text) and quantities of a side's levels, record by record."""
+    return _texts(x["levels"][f"{side}_price"].ravel()), x["levels"][f"{side}_quantity"].ravel().astype(np.int64)
+
+
+def _columns(arrivals: pa.Array, data: list[bytes | None]) -> pa.RecordBatch:
+    n = len(data)
+    codes = np.array([body[0] if body else -1 for body in data], np.int64)
+    lengths = np.array([len(body) if body else 0 for body in data], np.int64)
+    fault = np.full(n, None, object)
+    fault[lengths == 0] = "empty"
+    fault[(lengths > 0) & ~np.isin(codes, list(LAYOUTS))] = "unknown code"
+    whole = {c: np.zeros(n, np.int64) for c in ("code", "segment_code", "security_id", "ts_us", "traded", "volume")}
+    known, traded = np.zeros(n, bool), np.zeros(n, bool)
+    text = {c: np.full(n, None, object) for c in ("price", *_OHLC)}
+    levels: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    deep = np.zeros(0, np.int64)
+    for code, layout in LAYOUTS.items():
+        mine = codes == code
+        fault[mine & (lengths != layout.itemsize)] = "wrong length"
+        at = np.flatnonzero(mine & (lengths == layout.itemsize))
+        if not len(at):
+            continue
+        x = np.frombuffer(b"".join([data[i] for i in at]), layout)
+        known[at] = True
+        for name, field in (("code", "code"), ("segment_code", "segment"), ("security_id", "security_id")):
+            whole[name][at] = x[field]
+        header = (x["length"] != layout.itemsize) | ~np.isin(x["segment"], list(SEGMENT_CODES.values())) | ((x["security_id"] <= 0) if code != 50 else False)
+        values = _bad(x) & ~header
+        fault[at[header]], fault[at[values]] = "bad header", "bad values"
+        good = ~header & ~values
+        if code not in (4, 8) or not good.any():
+            continue
+        at, x = at[good], x[good]
+        traded[at] = True
+        whole["ts_us"][at] = x["time"].astype(np.int64) * 1_000_000
+        whole["traded"][at], whole["volume"][at] = x["traded"], x["volume"]
+        text["price"][at] = _texts(x["price"])
+        # the day's prices only where they are coherent: zeros stand for not yet known
+        o, h, low, c = (x[k] for k in _OHLC)
+        sound = (low > 0) & (low <= np.minimum(o, c)) & (np.maximum(o, c) <= h)
+        for k in _OHLC:
+            text[k][at[sound]] = _texts(x[k][sound])
+        if code == 8:
+            deep = at
+            levels = {side: _sides(x, side) for side in ("bid", "ask")}
+    offsets = np.concatenate([[0], np.cumsum(np.where(np.isin(np.arange(n), deep), 5, 0))])
+    out: dict[str, pa.Array] = {"arrival": arrivals, "fault": pa.array(fault, pa.string())}
+    for name, x in whole.items():
+        out[name] = pa.array(x, mask=~(known if name in ("code", "segment_code", "security_id") else traded)).cast(_FLAT[name])
+    out |= {name: pa.array(x, pa.string()) for name, x in text.items()}
+    for side in ("bid", "ask"):
+        prices, quantities = levels.get(side, (np.zeros(0, str), np.zeros(0, np.int64)))
+        cells = pa.StructArray.from_arrays([pa.array(prices, pa.string()), pa.array(quantities)], names=["price", "quantity"])
+        out[side] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells)
+    return pa.RecordBatch.from_arrays([out[c] for c in _FLAT], names=list(_FLAT))
+
+
 def decode(packets: DataFrame) -> DataFrame:
-    """packets (arrival, packet) as rows of tick, quote and depth; what can't be read has a fault and stays, a disconnect is code 50.
+    """packets (arrival, packet) as rows of arrival, code, segment_code, security_id, fault, ts_us, tick, quote and depth.
 
-    A previous-close packet is checked and carries nothing.
+    What can't be read has a fault and stays; a disconnect is code 50; a previous-close packet is checked and
+    carries nothing. Null packets are empty ones. Records are decoded by column, prices keep the shortest text of their floats.
     """
 
     def run(batches):
         for batch in batches:
-            rows: list[dict] = []
-            groups: dict[int, list[int]] = {}
-            data = batch.column(1).to_pylist()
-            for i, (arrival, body) in enumerate(zip(batch.column(0).to_pylist(), data, strict=True)):
-                rows.append(dict.fromkeys(_TYPES) | {"arrival": arrival})
-                code = body[0] if body else None
-                if code not in LAYOUTS:
-                    rows[i]["fault"] = "unknown code" if body else "empty"
-                elif len(body) != LAYOUTS[code].itemsize:
-                    rows[i]["fault"] = "wrong length"
-                else:
-                    groups.setdefault(code, []).append(i)
-            for code, where in groups.items():
-                x = np.frombuffer(b"".join(data[i] for i in where), LAYOUTS[code])
-                bad = _bad(x)
-                for k, i in enumerate(where):
-                    r, v = rows[i], x[k]
-                    r |= {"code": code, "segment_code": int(v["segment"]), "security_id": int(v["security_id"])}
-                    if v["length"] != len(data[i]) or int(v["segment"]) not in SEGMENT_CODES.values() or (code != 50 and v["security_id"] <= 0):
-                        r["fault"] = "bad header"
-                    elif bad[k]:
-                        r["fault"] = "bad values"
-                    elif code in (4, 8):
-                        r["ts_us"] = int(v["time"]) * 1_000_000
-                        r["tick"] = {"last_price": _exact(v["price"]), "traded_quantity": int(v["traded"]), "session_cumulative_volume": int(v["volume"]), "session_ohlc": _whole(v)}
-                        if code == 8:
-                            levels = v["levels"]
-                            side = lambda s: [{"price": _exact(y[f"{s}_price"]), "quantity": int(y[f"{s}_quantity"])} for y in levels]  # noqa: E731, B023
-                            bids, asks = side("bid"), side("ask")
-                            r["quote"] = {"bid_price": bids[0]["price"], "ask_price": asks[0]["price"], "bid_quantity": bids[0]["quantity"], "ask_quantity": asks[0]["quantity"]}
-                            r["depth"] = {"bids": bids, "asks": asks}
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in _TYPES.items()], names=list(_TYPES))
-
-    return packets.select("arrival", "packet").mapInArrow(run, SCHEMA)
+            yield _columns(batch.column(0), batch.column(1).to_pylist())
+
+    flat = packets.select("arrival", "packet").mapInArrow(run, _FLAT_SCHEMA)
+    exact = lambda x: x.cast(_P)
+    side = lambda c: F.transform(c, lambda x: F.struct(exact(x["price"]).alias("price"), x["quantity"].alias("quantity")))
+    prices = F.when(F.col("open").isNotNull(), F.struct(*[exact(F.col(c)).alias(c) for c in _OHLC]))
+    best = [F.get("bids", F.lit(0)), F.get("asks", F.lit(0))]
+    deep = F.size("bids") > 0
+    return flat.withColumns({"bids": side("bid"), "asks": side("ask")}).select(
+        "arrival", "code", "segment_code", "security_id", "fault", "ts_us",
+        F.when(F.col("price").isNotNull(), F.struct(
+            exact(F.col("price")).alias("last_price"), F.col("traded").alias("traded_quantity"), F.col("volume").alias("session_cumulative_volume"), prices.alias("session_ohlc"),
+        )).alias("tick"),
+        F.when(deep, F.struct(
+            best[0]["price"].alias("bid_price"), best[1]["price"].alias("ask_price"), best[0]["quantity"].alias("bid_quantity"), best[1]["quantity"].alias("ask_quantity"),
+        )).alias("quote"),
+        F.when(deep, F.struct("bids", "asks")).alias("depth"),
+    )
 
 
 def encode_quotes(rows: DataFrame) -> DataFrame:
