@@ -521,3 +521,19 @@ def test_prices_are_never_rounded(spark, tmp_path):
     path.write_text(json.dumps(body).replace('"123456789.12345678"', "1.123456789").replace('"1.5"', "1.5"))
     with pytest.raises(Exception, match="isn't a price"):
         files.historical_json(spark, str(path), 86400).collect()
+
+
+def test_a_timeframe_as_long_as_the_session_fails(spark):
+    rows = ticks_of(spark, [("A", 0, 100, 1000)])
+    with pytest.raises(Exception, match="shorter than the session"):
+        candles.ohlc(rows, [(CLOSE - OPEN) // 1_000_000]).collect()
+    assert candles.ohlc(rows, [0, 300]).count() == 2
+
+
+def test_session_prices_by_request(spark):
+    body = json.dumps({"status": "success", "data": {"S": {"1": {"ohlc": {"open": 10.5, "high": 11, "low": 10, "close": 10.25}}, "2": {"ohlc": {"open": 0, "high": 0, "low": 0, "close": 0}}, "3": {"ohlc": {"open": 1.123456789, "high": 2, "low": 1, "close": 1}}}}})
+    asked = spark.createDataFrame([("S", "1", 0), ("S", "2", 1), ("S", "3", 2), ("S", "9", 3)], "exchange_segment string, security_id string, place int")
+    got = files.session_ohlc_json(spark.createDataFrame([(body,)], "body string"), asked).collect()
+    assert [(r.security_id, r.place, str(r.open)) for r in got] == [("1", 0, "10.50000000")]
+    with pytest.raises(Exception, match="batch failed"):
+        files.session_ohlc_json(spark.createDataFrame([(body.replace("success", "failure"),)], "body string"), asked).collect()

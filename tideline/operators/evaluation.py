@@ -135,6 +135,11 @@ def collapse(results: DataFrame, universe: DataFrame, policies: DataFrame) -> Da
     return pinned.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def metric_of(entries: Column, name: str) -> Column:
+    """The value of the first entry (name, value) of that name as decimal(38,18); null if there is none or it isn't a number."""
+    return F.get(F.filter(entries, lambda x: x["name"] == name), F.lit(0))["value"].try_cast("decimal(38,18)")
+
+
 def rank_candidates(results: DataFrame, metric: str, descending: bool = False, keys: tuple[str, ...] = ("trading_date",)) -> DataFrame:
     """MATCHED rows with a metric, ranked 1..n by it; ties by exchange and symbol upwards in either direction."""
     by = F.desc(metric) if descending else F.asc(metric)

@@ -197,6 +197,20 @@ def candle_quality(spark, sf_dir):
     return made.select("instrument", _s("trading_date"), "index", _d("open"), _d("close"), _d("volume"), "quality", "state")
 
 
+@query(f"""WITH {TICKS}, c AS (SELECT *, CASE WHEN arrival % 23 <> 0 THEN sum(quantity) OVER (PARTITION BY instrument, trading_date ORDER BY arrival) - CASE WHEN arrival % 17 = 0 THEN 60 ELSE 0 END END AS cum, (ts_us - open_us) // 25200000000 AS index FROM ticks),
+r AS (SELECT *, coalesce(cum < max(cum) OVER (PARTITION BY instrument, trading_date, index ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS back FROM c),
+b AS (SELECT instrument, trading_date, index, max(cum) AS last_cum, bool_or(back) AS bad FROM r GROUP BY ALL),
+g AS (SELECT *, coalesce(lag(index) OVER d + 1 <> index, false) AS gap, lag(index) OVER d IS NOT NULL AS later FROM b WINDOW d AS (PARTITION BY instrument, trading_date ORDER BY index)),
+v AS (SELECT *, CASE WHEN NOT gap AND later THEN lag(CASE WHEN NOT gap THEN last_cum END) OVER (PARTITION BY instrument, trading_date ORDER BY index) END AS baseline FROM g)
+SELECT instrument, CAST(trading_date AS VARCHAR) AS trading_date, index, bad AS volume_invalid, CAST(CASE WHEN NOT bad AND last_cum >= baseline THEN last_cum - baseline END AS DOUBLE) AS volume FROM v""")
+def candle_regressions(spark, sf_dir):
+    """Cumulative volumes that fall back within a bucket, or are missing: no volume is made of them."""
+    a = F.col("arrival")
+    rows = bindings.with_cumulative(bindings.ticks(spark, sf_dir))
+    rows = rows.withColumn("cum", F.when(a % 23 != 0, F.col("cum") - F.when(a % 17 == 0, 60).otherwise(0)))
+    return candles.live_candles(rows, [25200]).select("instrument", _s("trading_date"), "index", "volume_invalid", _d("volume"))
+
+
 @query(f"""WITH {TICKS}, b AS (SELECT DISTINCT instrument, trading_date, open_us + ((ts_us - open_us) // 3600000000) * 3600000000 AS start_us FROM ticks),
 m AS (SELECT *, max(start_us) OVER (PARTITION BY instrument) AS top FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY instrument, start_us = top ORDER BY start_us DESC) AS n FROM m)
@@ -390,14 +404,32 @@ def cross_strategy_rank(spark, sf_dir):
     return evaluation.rank_in_context(last).select(*_SHOW.split(", "), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_RESULTS}, n AS (SELECT strategy_id, max(trading_date) AS trading_date FROM able WHERE CAST(instrument AS INT) % 5 <> 0 GROUP BY 1),
-k AS (SELECT a.*, row_number() OVER (PARTITION BY strategy_id, trading_date, instrument ORDER BY version DESC, arrival) AS n FROM able a JOIN n USING (strategy_id, trading_date) WHERE CAST(instrument AS INT) % 5 <> 0)
-SELECT {_SHOW}, version FROM k WHERE n = 1""")
+@query(f"""WITH {_RESULTS}, u AS (SELECT *, CASE WHEN arrival % 4 = 0 THEN '2' ELSE '1' END AS sv FROM able WHERE CAST(instrument AS INT) % 5 <> 0), n AS (SELECT strategy_id, max(trading_date) AS trading_date FROM u GROUP BY 1),
+p AS (SELECT strategy_id, arg_min(sv, arrival) AS pin FROM u JOIN n USING (strategy_id, trading_date) GROUP BY 1),
+k AS (SELECT u.*, row_number() OVER (PARTITION BY strategy_id, trading_date, instrument ORDER BY version DESC, arrival) AS n FROM u JOIN n USING (strategy_id, trading_date) JOIN p USING (strategy_id) WHERE sv = pin)
+SELECT {_SHOW}, version, sv AS strategy_version FROM k WHERE n = 1""")
 def scanner_collapse(spark, sf_dir):
-    rows = _results(spark, sf_dir).withColumns({"strategy_version": F.lit("1"), "config_version": F.lit("1"), "context_version": F.col("version")})
+    rows = _results(spark, sf_dir).withColumns({"strategy_version": F.when(F.col("arrival") % 4 == 0, "2").otherwise("1"), "config_version": F.lit("1"), "context_version": F.col("version")})
     members = rows.select("instrument").distinct().where("cast(instrument as int) % 5 <> 0")
     policies = spark.createDataFrame([("s0",), ("s1",)], "strategy_id string")
-    return evaluation.collapse(rows, members, policies).select(*_SHOW.split(", "), "version")
+    return evaluation.collapse(rows, members, policies).select(*_SHOW.split(", "), "version", "strategy_version")
+
+
+@query(f"WITH {TICKS} SELECT arrival, CAST(TRY_CAST(CASE WHEN quantity % 3 = 0 THEN event_type WHEN quantity % 3 = 1 THEN CAST(price AS VARCHAR) END AS DECIMAL(38,18)) AS DOUBLE) AS metric FROM ticks")
+def metric_extraction(spark, sf_dir):
+    """A metric that is a number, one that isn't and one that is missing."""
+    q = F.col("quantity")
+    entry = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    entries = F.when(q % 3 == 0, F.array(entry("other", F.lit(1)), entry("wanted", F.col("event_type")))).when(q % 3 == 1, F.array(entry("wanted", F.col("price")), entry("wanted", F.lit(5)))).otherwise(F.array(entry("other", q)))
+    return bindings.ticks(spark, sf_dir).select("arrival", evaluation.metric_of(entries, "wanted").cast("double").alias("metric"))
+
+
+@query(f"WITH {SESSIONS} SELECT instrument, 'narrow_cpr' AS strategy_id, '1' AS strategy_version, 'c7' AS config_version, epoch_us(CAST(trading_date AS TIMESTAMP)) AS evaluated_us, high + low + close > 0 AS matched FROM prev")
+def promoted_results(spark, sf_dir):
+    s = strategies.CATALOG["narrow_cpr"]
+    made = strategies.evaluate(s, _previous(spark, sf_dir)).withColumn("observed_us", F.unix_micros(F.col("trading_date").cast("timestamp")))
+    told = evaluation.promote(made, s.id, s.version, "c7")
+    return told.select("instrument", "strategy_id", "strategy_version", "config_version", "evaluated_us", (F.col("status") == "MATCHED").alias("matched"))
 
 
 @query(f"""WITH {_RESULTS}, s AS (SELECT *, status = 'ERROR' AS failed, sum(CASE WHEN status = 'ERROR' THEN 0 ELSE 1 END) OVER (PARTITION BY strategy_id ORDER BY arrival) AS run FROM results),
@@ -409,8 +441,8 @@ def error_threshold(spark, sf_dir):
 
 
 @query(f"""WITH {TICKS}, c AS (SELECT instrument, arrival, row_number() OVER w AS version, CASE WHEN hour(ts) < 9 THEN 'PRE_OPEN' WHEN hour(ts) < 16 THEN 'LIVE_SESSION' ELSE 'MARKET_CLOSED' END AS state,
-  CASE WHEN kind = 'tick' THEN price END AS tick, trading_date, lag(trading_date) OVER w AS d0, quantity > 50 AS hist FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY arrival))
-SELECT instrument, arrival, tick IS NOT NULL AND tick IS DISTINCT FROM lag(tick) OVER w AS on_tick, version > 1 AND state IS DISTINCT FROM lag(state) OVER w AS on_session_transition,
+  CASE WHEN kind = 'tick' THEN price END AS tick, CASE WHEN kind = 'quote' THEN price END AS quote, trading_date, lag(trading_date) OVER w AS d0, quantity > 50 AS hist FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY arrival))
+SELECT instrument, arrival, tick IS NOT NULL AND tick IS DISTINCT FROM lag(tick) OVER w AS on_tick, quote IS NOT NULL AND quote IS DISTINCT FROM lag(quote) OVER w AS on_quote, version > 1 AND state IS DISTINCT FROM lag(state) OVER w AS on_session_transition,
   d0 IS DISTINCT FROM trading_date AS on_candle_finalized, hist AND NOT coalesce(lag(hist) OVER w, false) AS on_historical_ready FROM c WINDOW w AS (PARTITION BY instrument ORDER BY version)""")
 def trigger_flags(spark, sf_dir):
     t = bindings.ticks(spark, sf_dir)
@@ -422,7 +454,7 @@ def trigger_flags(spark, sf_dir):
         F.when(F.col("kind") == "tick", F.col("price")).alias("tick"), F.when(F.col("kind") == "quote", F.col("price")).alias("quote"),
         F.array(F.col("trading_date").cast("string")).alias("finalized_ids"), (F.col("quantity") > 50).alias("historical"),
     )
-    return evaluation.triggers(contexts).select("instrument", "arrival", "on_tick", "on_session_transition", "on_candle_finalized", "on_historical_ready")
+    return evaluation.triggers(contexts).select("instrument", "arrival", "on_tick", "on_quote", "on_session_transition", "on_candle_finalized", "on_historical_ready")
 
 
 @query(f"""WITH {TICKS} SELECT instrument, arrival, CASE WHEN event_type = 'error' THEN 'INCOMPATIBLE_CONTEXT' WHEN arrival % 13 = 0 THEN 'MISSING_CONFIGURATION' WHEN kind = 'quote' THEN 'MISSING_FACTS'
