@@ -415,10 +415,12 @@ def test_decontamination_of_a_benchmark_of_two_blocks(spark):
     assert sum(len(t) for _, t in items) > 2 * decontam.BLOCK_BYTES
     pick = lambda k, n: " ".join(items[k][1].split()[50 : 50 + n])
     texts = [pick(3, 13), pick(100, 40) + " tail " * 20, pick(200, 12), pick(7, 13) + " x " + pick(150, 14), None]
-    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string").withColumn("__hits", F.lit(1))
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string").withColumns({"__hits": F.lit(1), "__in0": F.lit(2)})
     got = {r.doc_id: r for r in decontam.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
     assert [(got[i].n_words, got[i].n_hit, got[i].item_ids) for i in range(5)] == [(13, 13, ["i3"]), (60, 40, ["i100"]), (12, 0, []), (28, 27, ["i150", "i7"]), (0, 0, [])]
     assert got[0]["a.b"] == "c" and got[0]["__hits"] == 1
+    one = decontam.find_contamination(docs, spark.createDataFrame(items[:4], "item_id string, text string")).collect()
+    assert {(r.doc_id, r.n_hit, r["__in0"], r["__hits"]) for r in one} == {(0, 13, 2, 1), (1, 0, 2, 1), (2, 0, 2, 1), (3, 0, 2, 1), (4, 0, 2, 1)}
     block = [(k, t.encode()) for k, t in items[: len(items) // 2]]
     matcher = decontam.Matcher(block, decontam.WINDOW)
     size = sum(sys.getsizeof(k) + 48 * len(k) + (sys.getsizeof(v) if isinstance(v, list) else 28) for k, v in matcher.searches[0].table.items())
@@ -633,6 +635,10 @@ def test_repeated_pages_and_exported_bundles(spark, tmp_path):
     stored = warc.write_bundles(pages)
     got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_bundles(stored.df).collect())
     assert got == [(0, "response", None), (3, "revisit", 5), (5, "response", None), (5, "response", None), (9, "response", None)]
+    ids = [x.record_id for b in stored.df.collect() for x in b["index"]]
+    asked = spark.createDataFrame([(ids[0],), (ids[-1],), (ids[-1],), ("none",)], "record_id string")
+    some = {r.record_id: r for r in warc.fetch_records(stored.df, asked).collect()}
+    assert set(some) == {ids[0], ids[-1]} and all(r.headers["WARC-Record-ID"] == f"<{i}>" and len(r.block) == int(r.headers["Content-Length"]) for i, r in some.items())
     (tmp_path / "out").mkdir()
     told = warc.export_bundles(stored.df, str(tmp_path / "out")).collect()
     held = {r.bundle_id: r for r in stored.df.collect()}
@@ -645,6 +651,23 @@ def test_repeated_pages_and_exported_bundles(spark, tmp_path):
             assert headers["WARC-Record-ID"] == f"<{entry.record_id}>" and len(block) > 0
 
 
+def test_columns_of_any_name_pass(spark, rows):
+    """Names with dots, and names that operators use within."""
+    docs = spark.createDataFrame(rows[:60], DOCS).withColumns({"a.b": F.col("doc_id"), "k0": F.lit("k"), "in0": F.lit("i"), "d": F.lit("d"), "t": F.lit("t"), "row": F.lit("r")})
+    names = ["doc_id", "a.b", "k0", "in0", "d", "t", "row"]
+    field = crf.fit_rows([(r[2], r[1]) for r in rows[:60]])
+    bench = spark.createDataFrame([("1", "le la les")], "item_id string, text string")
+    made = {
+        "language": crf.identify(docs, field, keep=names), "toxicity": toxicity.score(docs, toxicity.Model({}, 0.0), keep=names), "pii": pii.detect(docs, keep=names),
+        "lm": bloomlm.score_marked(docs.withColumn("score", F.lit(1)), F.lit(True), keep=[*names, "score"]), "lm of two": bloomlm.score(docs.withColumn("score", F.lit(1)), docs), "packing": packing.pack(docs, keep=names),
+        "benchmark": decontam.find_contamination(docs, bench, keep=names), "blocks": decontam.find_contamination(docs, bench, keep=names, block_bytes=10),
+        "duplicates": simhash.distinct_documents(docs).select(*[f"`{c}`" for c in names]),
+    }
+    for name, frame in made.items():
+        got = frame.collect()
+        assert len(got) >= 50 and all(r["a.b"] == r.doc_id and (r.k0, r.in0, r.d, r.t, r.row) == ("k", "i", "d", "t", "r") for r in got), name
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

@@ -243,8 +243,9 @@ _MADE_ARROW = pa.struct([(x, pa.binary()) for x in _MADE.names])
 
 def gather(docs: DataFrame, text: Column, learns: Column, scored: Column, kept: list[str]) -> DataFrame:
     """A row (kept, __row, n_tokens) for each scored row of docs, and, after those it holds, a row (__chunk, __made) for each chunk."""
-    chosen = docs.select(*map(quoted, kept), text.alias("__t"), learns.alias("__learns"), scored.alias("__scored"))
-    fields = [T.StructField(f.name, f.dataType) for f in chosen.schema.fields[: len(kept)]]
+    # within, columns go by their places: mapInArrow resolves names as they stand, and theirs may hold dots
+    chosen = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)], text.alias("t"), learns.alias("learns"), scored.alias("scored"))
+    fields = [T.StructField(c, chosen.schema[i].dataType) for i, c in enumerate(kept)]
     out = T.StructType([*fields, T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("__chunk", T.LongType()), T.StructField("__made", _MADE)])
 
     def run(batches):
@@ -374,6 +375,9 @@ def tell(chunks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
     )
 
 
+_NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score_marked(
     docs: DataFrame, learns: Column, *, scored: Column | None = None, text: str = "text", keep: list[str] | None = None, false_rate: float = FALSE_RATE
 ) -> DataFrame:
@@ -386,9 +390,7 @@ def score_marked(
     segment of its hash, where counts are summed, the filter's segment is built and probed, and levels and words' exact
     counts (for the base score) go back. Filter and segments grow with the input; no task holds more than one of them.
     """
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    kept = [c for c in docs.columns if c != text] if keep is None else keep
-    kept = [c for c in kept if c not in new]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in _NEW and (keep or c != text)]
     rows = Stored(gather(docs, quoted(text).cast("binary"), learns, F.lit(True) if scored is None else scored, kept)).df
     chunks = rows.where("__chunk is not null").select(F.col("__chunk").alias("chunk"), F.col("__made").alias("made"))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
@@ -404,8 +406,8 @@ def score_marked(
 
 def score(docs: DataFrame, train: DataFrame, *, text: str = "text", keep: list[str] | None = None, false_rate: float = FALSE_RATE) -> DataFrame:
     """score_marked for every row of docs, learning from the texts of another table, train."""
-    kept = [c for c in docs.columns if c != text] if keep is None else keep
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in _NEW and (keep or c != text)]
     mine = docs.select(F.struct(*map(quoted, kept), F.lit(1).alias("__")).alias("d"), quoted(text).alias("t"), F.lit(False).alias("learns"))
     both = mine.unionByName(train.select(F.lit(None).cast(mine.schema["d"].dataType).alias("d"), quoted(text).alias("t"), F.lit(True).alias("learns")))
     told = score_marked(both, F.col("learns"), scored=~F.col("learns"), text="t", keep=["d"], false_rate=false_rate)
-    return told.select("d.*", *[c for c in told.columns if c != "d"]).drop("__")
+    return told.select(*[F.col("d")[c].alias(c) for c in kept], *[c for c in told.columns if c != "d"])

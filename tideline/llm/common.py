@@ -85,8 +85,9 @@ def append_arrow(
     fields = T.StructType.fromDDL(schema).fields
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    chosen = df.select(*map(quoted, kept), *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
-    out = T.StructType([chosen.schema[i] for i in range(len(kept))] + fields)
+    # within, columns go by their places: mapInArrow resolves names as they stand, and theirs may hold dots
+    chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
+    out = T.StructType([T.StructField(c, chosen.schema[i].dataType) for i, c in enumerate(kept)] + fields)
     names, first = out.names, len(kept)
 
     def run(batches):

@@ -156,7 +156,7 @@ def _search(frame: DataFrame, text: str, block: DataFrame, window: int, keep: li
 
         return run
 
-    return append_arrow(frame, [F.col(text).cast("binary")], _FOUND if whole else "__hits array<int>, __items array<string>", make, keep)
+    return append_arrow(frame, [quoted(text).cast("binary")], _FOUND if whole else "__hits array<int>, __items array<string>", make, keep)
 
 
 def find_contamination(
@@ -185,8 +185,7 @@ def find_contamination(
     n_blocks = max(1, math.ceil(total / block_bytes))
     shown = docs.columns if keep is None else keep
     if n_blocks == 1:
-        inner = docs.select(*map(quoted, shown), quoted(text).alias("__text"))
-        return _search(inner, "__text", items, window, shown, True)
+        return _search(docs, text, items, window, shown, True)
     new = {f.split()[0] for f in _FOUND.split(", ")}
     shown = [c for c in shown if c not in new]
     rows = Stored(docs.select(F.struct(*map(quoted, shown), F.lit(0).alias("__")).alias("d"), quoted(text).cast("binary").alias("t"), F.monotonically_increasing_id().alias("row"))).df

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stored, append_arrow
+from tideline.llm.common import Stored, append_arrow, quoted
 
 CAPACITY = 4096
 END_ID = 1
@@ -109,9 +109,9 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, keep: list[str]) -> Dat
         return run
 
     cut = append_arrow(docs, [F.col("text")], "__pieces array<struct<n:bigint,crc:bigint>>", make, keep)
-    flat = cut.select(*keep, F.posexplode("__pieces").alias("piece", "__p"))
+    flat = cut.select(*map(quoted, keep), F.posexplode("__pieces").alias("piece", "__p"))
     return flat.select(
-        *keep, "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.col("__p.n").alias("length"), F.col("__p.crc").alias("ids_crc32")
+        *map(quoted, keep), "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.col("__p.n").alias("length"), F.col("__p.crc").alias("ids_crc32")
     )
 
 

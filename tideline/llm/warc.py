@@ -217,6 +217,30 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     )
 
 
+def fetch_records(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """record_id, headers (a map) and block of each record of bundles whose id is in wanted (record_id), by the index: only its frame is decompressed.
+
+    An id that is asked for twice is given once; one that no bundle holds gives no row; a record that is held twice gives two.
+    """
+    asked = wanted.select("record_id").distinct()
+    places = bundles.select("bundle_id", F.inline("index")).join(asked, "record_id", "left_semi")
+    grouped = places.groupBy("bundle_id").agg(F.collect_list(F.struct("record_id", "frame", "offset")).alias("places"))
+
+    def run(batches):
+        for batch in batches:
+            for blob, places in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for at in range(0, len(places), 100):
+                    part = places[at : at + 100]
+                    told = [read_record(blob, x["frame"], x["offset"]) for x in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x["record_id"] for x in part]), pa.array([list(h.items()) for h, _ in told], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in told], pa.binary())],
+                        names=["record_id", "headers", "block"],
+                    )
+
+    held = bundles.select("bundle_id", "blob").join(grouped, "bundle_id")
+    return held.select("blob", "places").mapInArrow(run, "record_id string, headers map<string,string>, block binary")
+
+
 def export_bundles(bundles: DataFrame, folder: str) -> DataFrame:
     """Writes each bundle as a .warc.zst file to a mounted folder that executors share; returns bundle_id and path.
 
