@@ -69,6 +69,20 @@ class Stored:
         _tables.pop(self.path, None)
 
 
+_slot: dict[str, object] = {}
+
+
+def held_by_worker(token: str, build: Callable[[], object]):
+    """What build gives, made once for a token in this Python worker.
+
+    A worker serves task after task, of any operator, and holds one such thing: what an earlier token held is given up.
+    """
+    if token not in _slot:
+        _slot.clear()
+        _slot[token] = build()
+    return _slot[token]
+
+
 def append_arrow(
     df: DataFrame,
     inputs: Sequence[Column],

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import append_arrow, quoted
+from tideline.llm.common import append_arrow, held_by_worker, quoted
 
 UNDETERMINED = "und"
 #: Bounds of the sample that the field is fitted on: documents of a language, and characters of a document (longer ones give a stretch from anywhere).
@@ -25,6 +25,8 @@ SEQUENCES_OF_LANGUAGE = 100
 #: Feature weights are held in this many hashed rows.
 ROWS = 1 << 16
 CACHE_WORDS = 400_000
+#: Features whose rows are remembered; others' are computed anew.
+CACHE_FEATURES = 100_000
 #: Texts whose chains are run together, those of like length side by side.
 TEXTS_AT_ONCE = 10_000
 
@@ -50,7 +52,7 @@ class _Rows(dict):
 
     def __missing__(self, feature: str) -> int:
         row = zlib.crc32(feature.encode("utf-8", "replace")) % ROWS
-        if len(self) < CACHE_WORDS:
+        if len(self) < CACHE_FEATURES:
             self[feature] = row
         return row
 
@@ -261,10 +263,7 @@ class _Emissions(dict):
         return [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in texts]
 
 
-_held: dict[str, _Emissions] = {}
-
-
-def judge(texts: list[str | None], field: Field, emissions: _Emissions, cells: int = 200_000) -> list[tuple[str, float, float]]:
+def judge(texts: list[str | None] | pa.Array, field: Field, emissions: _Emissions, cells: int = 200_000) -> list[tuple[str, float, float]]:
     """(language, its mean posterior over the words, the mean of each word's greatest posterior) of each text."""
     out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
     if not field.labels:
@@ -272,7 +271,9 @@ def judge(texts: list[str | None], field: Field, emissions: _Emissions, cells: i
     emissions.turn_over()
     rows: list[tuple[int, np.ndarray]] = []
     for at in range(0, len(texts), 500):  # the words of few texts at a time; what stays is 4 bytes a word
-        found = [(at + i, words) for i, t in enumerate(texts[at : at + 500]) if t and (words := words_of(t))]
+        part = texts[at : at + 500]
+        part = part.to_pylist() if isinstance(part, pa.Array) else part
+        found = [(at + i, words) for i, t in enumerate(part) if t and (words := words_of(t))]
         if found:
             rows += zip((i for i, _ in found), emissions.meet([w for _, w in found]), strict=True)
     rows.sort(key=lambda r: len(r[1]))
@@ -317,13 +318,10 @@ def identify(docs: DataFrame, field: Field, *, text: str = "text", keep: list[st
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     def make(token=uuid.uuid4().hex):
-        if token not in _held:
-            _held.clear()
-            _held[token] = _Emissions(held.value)
-        emissions = _held[token]
+        emissions = held_by_worker(token, lambda: _Emissions(held.value))
 
         def run(texts):
-            found = judge(texts.to_pylist(), held.value, emissions)
+            found = judge(texts, held.value, emissions)
             return [pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]]
 
         return run

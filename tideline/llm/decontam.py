@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stored, append_arrow, quoted
+from tideline.llm.common import Stored, append_arrow, held_by_worker, quoted
 
 WINDOW = 13
 #: Most bytes of benchmark text that a worker holds patterns of (some 60 bytes a byte); a larger benchmark is searched in blocks, one after the other.
@@ -119,8 +119,6 @@ def covered(ranges: list[tuple[int, int]]) -> int:
     return total
 
 
-#: The matcher of the block that this worker searched last, by the block's token.
-_built: dict[str, Matcher] = {}
 _FOUND = "n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean"
 
 
@@ -138,10 +136,7 @@ def _search(frame: DataFrame, text: str, block: DataFrame, window: int, keep: li
     held = frame.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in block.toLocalIterator()])
 
     def make(token=uuid.uuid4().hex):
-        if token not in _built:
-            _built.clear()
-            _built[token] = Matcher(held.value, window)
-        matcher = _built[token]
+        matcher = held_by_worker(token, lambda: Matcher(held.value, window))
 
         def run(texts):
             out = []

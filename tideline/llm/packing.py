@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stored, append_arrow, quoted
+from tideline.llm.common import Stored, append_arrow, held_by_worker, quoted
 
 CAPACITY = 4096
 END_ID = 1
@@ -24,7 +24,7 @@ END_ID = 1
 ETA = 4.0
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers before it turns its memory over.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 #: What the tokenizer file's splitter keeps as pieces.
@@ -88,14 +88,11 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_caches: dict[str, _Words] = {}
-
-
 def pieces_of(docs: DataFrame, path: str, capacity: int, keep: list[str]) -> DataFrame:
     """A row per piece: keep, piece, start, length, ids_crc32."""
 
     def make():
-        words = _caches.setdefault(path, _Words(path))
+        words = held_by_worker(path, lambda: _Words(path))
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Stored, append_arrow, least, quoted
+from tideline.llm.common import Stored, append_arrow, held_by_worker, least, quoted
 
 CUTOFF = 0.7
 GRAMS = (4, 5, 6, 7, 8)
@@ -60,14 +60,8 @@ class _Grams(dict):
         return out
 
 
-_held: dict[str, _Grams] = {}
-
-
 def _held_grams(token: str, chosen) -> _Grams:
-    if token not in _held:
-        _held.clear()
-        _held[token] = _Grams(chosen() if chosen else None)
-    return _held[token]
+    return held_by_worker(token, lambda: _Grams(chosen() if chosen else None))
 
 
 class Model:
