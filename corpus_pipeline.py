@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tideline.llm import crf, decontam, packing, pii, simhash
 from tideline.llm.common import Stored, quoted, read_table
 
-#: Least mean, over a document's words, of the greatest posterior: how well the learned languages explain it. Code-switched texts stay.
-LANGUAGE_CERTAINTY = 0.6
+#: Least mean, over a document's words, of the greatest posterior: how well the learned languages explain it. Code-switched texts stay,
+#: and single words that two languages share evenly (0.5) do, too.
+LANGUAGE_CERTAINTY = 0.4
 
 
 def _whole(docs: DataFrame) -> DataFrame:
