@@ -6,6 +6,7 @@ import struct
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -549,3 +550,30 @@ def test_a_universe_of_none_is_no_failure_of_its_query(spark, tmp_path):
     assert queries.finalized_universe(spark, str(tmp_path)).collect() == []
     with pytest.raises(ValueError, match="empty"):
         universe.finalize_universe(resolved)
+
+
+def against_sql(spark, folder, values, *names):
+    """The queries of these names over events made of values (user, day, prices in order), row by row as their SQL gives them."""
+    import duckdb
+
+    from tideline.plans.queries import ORACLES, QUERIES
+
+    rows = [(user, day, i, float(price)) for user, day, prices in values for i, price in enumerate(prices)]
+    made = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "event_id long, user_id long, day int, place int, value double")
+    ts = F.timestamp_seconds(1704067200 + F.col("day") * 86400 + F.col("place") * 60).cast("timestamp_ntz").alias("ts")
+    made.select("event_id", ts, "user_id", F.lit("click").alias("event_type"), "value", F.lit('{"k": 7}').alias("props")).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    for name in names:
+        got = QUERIES[name](spark, str(folder))
+        want = con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), name
+
+
+def test_packets_of_a_price_of_zero_say_what_they_said(spark, tmp_path):
+    against_sql(spark, tmp_path, [(0, 0, (0, 1.5)), (1, 0, (0.01,))], "packet_decode")
+    layout = packets.LAYOUTS[4]
+    x = np.zeros(1, layout)
+    x["code"], x["length"], x["segment"], x["security_id"], x["time"] = 4, layout.itemsize, 1, 5, 9
+    (row,) = packets.decode(spark.createDataFrame([(1, bytearray(x.tobytes()))], "arrival long, packet binary")).collect()
+    assert (row.fault, row.tick, row.ts_us, tuple(row.refused)) == ("bad values", None, None, (9_000_000, 0.0, 0))

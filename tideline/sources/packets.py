@@ -26,10 +26,12 @@ _OHLC = ("open", "high", "low", "close")
 _FLAT = {
     "arrival": pa.int64(), "code": pa.int32(), "segment_code": pa.int32(), "security_id": pa.int64(), "fault": pa.string(), "ts_us": pa.int64(),
     "price": pa.string(), "traded": pa.int64(), "volume": pa.int64(), **dict.fromkeys(_OHLC, pa.string()),
+    "said": pa.struct([("ts_us", pa.int64()), ("last_price", pa.float64()), ("traded_quantity", pa.int64())]),
     **{x: pa.list_(pa.struct([("price", pa.string()), ("quantity", pa.int64())])) for x in ("bid", "ask")},
 }
 _FLAT_SCHEMA = (
     "arrival long, code int, segment_code int, security_id long, fault string, ts_us long, price string, traded long, volume long, open string, high string, low string, close string, "
+    "said struct<ts_us:bigint,last_price:double,traded_quantity:bigint>, "
     "bid array<struct<price:string,quantity:bigint>>, ask array<struct<price:string,quantity:bigint>>"
 )
 
@@ -73,7 +75,8 @@ def _columns(arrivals: pa.Array, data: list[bytes | None]) -> pa.RecordBatch:
     fault[lengths == 0] = "empty"
     fault[(lengths > 0) & ~np.isin(codes, list(LAYOUTS))] = "unknown code"
     whole = {c: np.zeros(n, np.int64) for c in ("code", "segment_code", "security_id", "ts_us", "traded", "volume")}
-    known, traded = np.zeros(n, bool), np.zeros(n, bool)
+    known, traded, refused = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    refused_price = np.zeros(n)
     text = {c: np.full(n, None, object) for c in ("price", *_OHLC)}
     levels: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     deep = np.zeros(0, np.int64)
@@ -91,12 +94,15 @@ def _columns(arrivals: pa.Array, data: list[bytes | None]) -> pa.RecordBatch:
         values = _bad(x) & ~header
         fault[at[header]], fault[at[values]] = "bad header", "bad values"
         good = ~header & ~values
-        if code not in (4, 8) or not good.any():
+        if code not in (4, 8):
             continue
-        at, x = at[good], x[good]
-        traded[at] = True
         whole["ts_us"][at] = x["time"].astype(np.int64) * 1_000_000
         whole["traded"][at], whole["volume"][at] = x["traded"], x["volume"]
+        refused[at[values]], refused_price[at[values]] = True, x["price"][values]
+        if not good.any():
+            continue
+        at, x = at[good], x[good]
+        traded[at] = True
         text["price"][at] = _texts(x["price"])
         # the day's prices only where they are coherent: zeros stand for not yet known
         o, h, low, c = (x[k] for k in _OHLC)
@@ -111,6 +117,8 @@ def _columns(arrivals: pa.Array, data: list[bytes | None]) -> pa.RecordBatch:
     for name, x in whole.items():
         out[name] = pa.array(x, mask=~(known if name in ("code", "segment_code", "security_id") else traded)).cast(_FLAT[name])
     out |= {name: pa.array(x, pa.string()) for name, x in text.items()}
+    fields = [pa.array(whole["ts_us"]), pa.array(refused_price), pa.array(whole["traded"])]
+    out["said"] = pa.StructArray.from_arrays(fields, fields=list(_FLAT["said"]), mask=pa.array(~refused))
     for side in ("bid", "ask"):
         prices, quantities = levels.get(side, (np.zeros(0, str), np.zeros(0, np.int64)))
         cells = pa.StructArray.from_arrays([pa.array(prices, pa.string()), pa.array(quantities)], names=["price", "quantity"])
@@ -119,10 +127,10 @@ def _columns(arrivals: pa.Array, data: list[bytes | None]) -> pa.RecordBatch:
 
 
 def decode(packets: DataFrame) -> DataFrame:
-    """packets (arrival, packet) as rows of arrival, code, segment_code, security_id, fault, ts_us, tick, quote and depth.
+    """packets (arrival, packet) as rows of arrival, code, segment_code, security_id, fault, ts_us, tick, quote, depth and refused.
 
     What can't be read has a fault and stays; a disconnect is code 50; a previous-close packet is checked and
-    carries nothing. Null packets are empty ones. Records are decoded by column, prices keep the shortest text of their floats.
+    carries nothing. Null packets are empty ones. A trade of bad values makes no tick; what it said is in refused. Records are decoded by column, prices keep the shortest text of their floats.
     """
 
     def run(batches):
@@ -143,7 +151,7 @@ def decode(packets: DataFrame) -> DataFrame:
         F.when(deep, F.struct(
             best[0]["price"].alias("bid_price"), best[1]["price"].alias("ask_price"), best[0]["quantity"].alias("bid_quantity"), best[1]["quantity"].alias("ask_quantity"),
         )).alias("quote"),
-        F.when(deep, F.struct("bids", "asks")).alias("depth"),
+        F.when(deep, F.struct("bids", "asks")).alias("depth"), F.col("said").alias("refused"),
     )
 
 
