@@ -25,8 +25,11 @@ def _parts(found: DataFrame, columns: list[str]) -> DataFrame:
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or that the learned languages don't explain (LANGUAGE_CERTAINTY), go."""
-    told = crf.identify(_whole(docs), crf.learn(docs), keep=["d"])
-    return _parts(told.where((F.col("lang_pred") != crf.UNDETERMINED) & (F.col("certainty") >= LANGUAGE_CERTAINTY)), docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*map(quoted, others)).alias("d"), "text")  # texts go to Python and back once, not twice
+    told = crf.identify(rows, crf.learn(docs), keep=["d", "text"])
+    told = told.where((F.col("lang_pred") != crf.UNDETERMINED) & (F.col("certainty") >= LANGUAGE_CERTAINTY))
+    return told.select(*[F.col("text") if c == "text" else F.col("d")[c].alias(c) for c in docs.columns])
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -674,3 +674,17 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert json.dumps(sorted(__spark_entry__.oracle_sql()))
+
+
+def test_a_kept_input_is_sent_once(spark):
+    """An input named like a kept column is that column, not a second copy of it, and other inputs keep their places."""
+    import pyarrow as pa
+
+    from tideline.llm.common import append_arrow
+
+    docs = spark.createDataFrame([(1, "a.b", 5)], "`x.id` long, text string, n long")
+    make = lambda: lambda n, text, twice: [pa.array([f"{n[0]}{text[0]}{twice[0]}"])]
+    got = append_arrow(docs, ["n", "text", F.col("text")], "out string", make, ["x.id", "text"])
+    assert [tuple(r) for r in got.collect()] == [(1, "a.b", "5a.ba.b")]
+    told = crf.identify(docs, crf.fit_rows([]), keep=["x.id", "text"])
+    assert told._jdf.queryExecution().analyzed().children().apply(0).output().size() == 2

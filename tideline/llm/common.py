@@ -85,7 +85,7 @@ def held_by_worker(token: str, build: Callable[[], object]):
 
 def append_arrow(
     df: DataFrame,
-    inputs: Sequence[Column],
+    inputs: Sequence[Column | str],
     schema: str,
     make: Callable[[], Callable[..., list[pa.Array]]],
     keep: Sequence[str] | None = None,
@@ -94,13 +94,20 @@ def append_arrow(
     """df's columns in keep (default: all) plus those of schema, computed batch by batch.
 
     make() runs once per task and returns a function from the input arrays, of rows_at_once rows at most, to the new ones.
+    An input given by the name of a kept column is sent to Python once, as that column.
     A kept column whose name is in schema gives way to the new column.
     """
     fields = T.StructType.fromDDL(schema).fields
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     # within, columns go by their places: mapInArrow resolves names as they stand, and theirs may hold dots
-    chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
+    sent = [quoted(c) if isinstance(c, str) else c for c in inputs if not (isinstance(c, str) and c in kept)]
+    places, extra = [], len(kept)
+    for c in inputs:
+        shared = isinstance(c, str) and c in kept
+        places.append(kept.index(c) if shared else extra)
+        extra += not shared
+    chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)], *[c.alias(f"in{i}") for i, c in enumerate(sent)])
     out = T.StructType([T.StructField(c, chosen.schema[i].dataType) for i, c in enumerate(kept)] + fields)
     names, first = out.names, len(kept)
 
@@ -109,7 +116,7 @@ def append_arrow(
         for whole in batches:
             for at in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(at, rows_at_once)
-                made = function(*batch.columns[first:])
+                made = function(*[batch.columns[i] for i in places])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:first], *made], names=names)
 
     return chosen.mapInArrow(run, out)

@@ -24,11 +24,11 @@ SEQUENCES = 2400
 SEQUENCES_OF_LANGUAGE = 100
 #: Feature weights are held in this many hashed rows.
 ROWS = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Features whose rows are remembered; others' are computed anew.
 CACHE_FEATURES = 100_000
 #: Texts whose chains are run together, those of like length side by side.
-TEXTS_AT_ONCE = 10_000
+TEXTS_AT_ONCE = 4_000
 
 
 def _not_letters() -> str:
@@ -326,4 +326,4 @@ def identify(docs: DataFrame, field: Field, *, text: str = "text", keep: list[st
 
         return run
 
-    return append_arrow(docs, [quoted(text)], "lang_pred string, score double, certainty double", make, keep, TEXTS_AT_ONCE)
+    return append_arrow(docs, [text], "lang_pred string, score double, certainty double", make, keep, TEXTS_AT_ONCE)
