@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -630,6 +631,48 @@ def test_toxicity_against_plain_counts(spark):
     assert {r.doc_id: r.score for r in toxicity.score(odd, toxicity.learn(odd, labels)).collect()} == pytest.approx({r.doc_id: r.score for r in toxicity.score(docs, got).collect()})
 
 
+def _plain_features(text):
+    bounds = {f"<{w}>" for w in re.findall(r"\w+", (text or "").lower())}
+    names = {b[i : i + n] for b in bounds for n in toxicity.GRAMS for i in range(len(b) - n + 1)} | {"=" + b[1:-1] for b in bounds}
+    return {zlib.crc32(x.encode()) % toxicity.ROWS for x in names}
+
+
+def test_features_by_arrays_are_those_of_substrings(monkeypatch):
+    """Characters of one to four bytes, words around the length that is hashed among others, and texts cut into pieces."""
+    rng = random.Random(21)
+    pool = [chr(rng.randrange(0x110000)) for _ in range(2000)] + list("abc dé_9 ") * 200
+    texts = [*ODD, "ΑΣ", "汉字汉字汉字汉字 кириллица_1", "𐐀𐐁𐐂𐐃𐐄𐐅𐐆𐐇𐐈", "<a> =b", *("a" * n for n in range(60, 68)), *("é" * n for n in range(30, 35)), *("".join(rng.choice(pool) for _ in range(90)) for _ in range(60))]
+    texts.append("".join(rng.choice("abcdé") for _ in range(3000)))
+    want = [_plain_features(t) for t in texts]
+    some = {x for found in want for x in found if x % 3 == 0}
+    for piece in (toxicity.PIECE, 1000, 7):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        for chosen, kept in ((None, want), (toxicity.marked(some), [found & some for found in want])):
+            got = [[] for _ in texts]
+            for rows, found in toxicity.features(texts, chosen):
+                for row, x in zip(rows.tolist(), found.tolist(), strict=True):
+                    got[row].append(x)
+            assert [sorted(x) for x in kept] == got
+    model = toxicity.Model({x: (x % 7 - 3) / 10 for x in some}, 0.5)
+    want = [1 / (1 + np.exp(-np.clip(0.5 + sum(model.weight[x] for x in found & some), -30, 30))) for found in want]
+    assert model.scorer()(texts) == pytest.approx(want, abs=1e-9) and len(model.scorer()([])) == 0
+    assert toxicity.Model({}, 0.0).scorer()(["a", None]).tolist() == [0.5, 0.5]
+
+
+def test_scoring_words_never_seen_costs_no_python_per_substring():
+    rng = random.Random(22)
+    texts = [" ".join("".join(rng.choice("abcdefghé") for _ in range(9)) for _ in range(300)) for _ in range(80)]
+    names = sorted(set().union(*map(_plain_features, texts[:3])))
+    score = toxicity.Model(dict.fromkeys(names, 0.01), 0.0).scorer()
+    score(texts[:2])
+    began = time.process_time()
+    score(texts)
+    took, began = time.process_time() - began, time.process_time()
+    for t in texts:
+        _plain_features(t)
+    assert 3 * took < time.process_time() - began
+
+
 def test_repeated_pages_and_exported_bundles(spark, tmp_path):
     pages = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (3, "v", "same"), (None, None, None), (9, "w", "é" * 3000)], "page_id long, url string, html string")
     stored = warc.write_bundles(pages)
