@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideline.llm import bloomlm, crf, decontam, packing, pii, quality, simhash, toxicity, warc
+from tideline.llm import bloomlm, common, crf, decontam, packing, pii, quality, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \n\t ", "x", "É É É É É", "İΣ ΑΣ 'll 12 ¿", "a" * 5000, "w " * 3000, "\U0001f600 ￿ \x00 <|endoftext|> 1.2.3.4"]
@@ -731,3 +731,28 @@ def test_a_kept_input_is_sent_once(spark):
     assert [tuple(r) for r in got.collect()] == [(1, "a.b", "5a.ba.b")]
     told = crf.identify(docs, crf.fit_rows([]), keep=["x.id", "text"])
     assert told._jdf.queryExecution().analyzed().children().apply(0).output().size() == 2
+
+
+def test_features_of_many_words_are_those_of_each():
+    rng = random.Random(5)
+    words = ["a", "ab", "abc", "banana", "aaaaaaaaaaaaaaaa", "é", "日本語", "𝒜b", "ß" * 30, "\ud800x", "straße"]
+    words += ["".join(rng.choice("abcdéñ日я𝒜") for _ in range(rng.randint(1, 20))) for _ in range(500)]
+    lexicon = {"banana": "en", "é": "fr"}
+    rows, heads = crf.feature_rows(words, lexicon)
+    assert [sorted(x.tolist()) for x in np.split(rows, heads[1:])] == [sorted(crf.features(w, lexicon)) for w in words]
+
+
+def test_workers_hold_one_operators_memory_at_a_time(spark, rows):
+    """What packing holds goes with the next operator, which holds nothing; and a packing task keeps one Python worker, not two."""
+    common.begun(lambda: common.held_by_worker("packing", lambda: (lambda: 1)))
+    assert [*common._slot] == ["packing"]
+    common.begun(lambda: lambda texts: crf.judge(texts, crf.Field([], {})))
+    assert not common._slot
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows[:50]], "doc_id long, text string")
+    cut = packing.pieces_of(docs, packing.public_tokenizers.path(packing.TOKENIZER), 16, ["doc_id"])
+    got = cut.collect()
+    assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    ranks = {}
+    for r in got:
+        ranks.setdefault((r["__part"], r.length), []).append(r["__rank"])
+    assert all(sorted(x) == [*range(len(x))] for x in ranks.values()) and max(map(len, ranks.values())) > 1

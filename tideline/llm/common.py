@@ -70,6 +70,7 @@ class Stored:
 
 
 _slot: dict[str, object] = {}
+_asked: set[str] = set()
 
 
 def held_by_worker(token: str, build: Callable[[], object]):
@@ -77,12 +78,22 @@ def held_by_worker(token: str, build: Callable[[], object]):
 
     A worker serves task after task, of any operator, and holds one such thing: what an earlier token held is given up.
     """
+    _asked.add(token)
     if token not in _slot:
         _slot.clear()
         _slot[token] = build()
     return _slot[token]
 
 
+def begun(make: Callable[[], Callable]) -> Callable:
+    """A task's function; one that holds nothing in its worker makes that give up what an earlier operator held."""
+    _asked.clear()
+    function = make()
+    if not _asked:
+        _slot.clear()
+    return function
+
+
 def append_arrow(
     df: DataFrame,
     inputs: Sequence[Column | str],
@@ -112,12 +123,13 @@ def append_arrow(
     names, first = out.names, len(kept)
 
     def run(batches):
-        function = make()
+        function = begun(make)
         for whole in batches:
             for at in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(at, rows_at_once)
                 made = function(*[batch.columns[i] for i in places])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:first], *made], names=names)
+            whole = batch = made = None  # not held while the next one is read
 
     return chosen.mapInArrow(run, out)
 

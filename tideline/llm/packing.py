@@ -61,7 +61,8 @@ class _Words(dict):
     def look_up(self, word: str) -> bytes:
         if word.isascii():
             if word.isalpha():
-                return self.piece(word.lower())
+                low = word.lower()
+                return self.tokenized(word) if low == word else self[low]
             if "<|" in word:
                 return self.whole(word)
         elif not unicodedata.is_normalized("NFC", word) or "<|" in word or "Σ" in word or "İ" in word or any(unicodedata.category(c) == "Cn" for c in word):
@@ -69,14 +70,17 @@ class _Words(dict):
         return b"".join(map(self.piece, _PIECES.findall(word.lower())))
 
     def piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text) or self.former[1].get(text)
-        if ids is None:
-            plain = text.isascii() and text.isprintable()
-            found = self.model.tokenize(text if plain else text.encode().decode("latin-1").translate(_ALPHABET))
-            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        if text.isascii() and text.isalpha():  # lowered already, so a word too
+            return self[text]
+        ids = self.pieces.get(text) or self.former[1].get(text) or self.tokenized(text)
         self.pieces[text] = ids
         return ids
 
+    def tokenized(self, text: str) -> bytes:
+        plain = text.isascii() and text.isprintable()
+        found = self.model.tokenize(text if plain else text.encode().decode("latin-1").translate(_ALPHABET))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -89,27 +93,35 @@ class _Words(dict):
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, keep: list[str]) -> DataFrame:
-    """A row per piece: keep, piece, start, length, ids_crc32."""
+    """A row per piece: keep, piece, start, length, ids_crc32, __part (the partition) and __rank (among the partition's pieces of that length)."""
 
     def make():
         words = held_by_worker(path, lambda: _Words(path))
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
+        part, seen = TaskContext.get().partitionId(), defaultdict(int)
+
+        def numbered(piece):
+            n = len(piece) // 4
+            seen[n] += 1
+            return {"n": n, "crc": zlib.crc32(piece), "part": part, "rank": seen[n] - 1}
 
         def run(texts):
             rows = []
             for text in texts.to_pylist():
                 ids = words.encode(text or "") + end
-                rows.append([{"n": len(p) // 4, "crc": zlib.crc32(p)} for p in (ids[i : i + step] for i in range(0, len(ids), step))])
-            return [pa.array(rows, pa.list_(pa.struct([("n", pa.int64()), ("crc", pa.int64())])))]
+                rows.append([numbered(ids[i : i + step]) for i in range(0, len(ids), step)])
+            return [pa.array(rows, pa.list_(pa.struct([("n", pa.int64()), ("crc", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])))]
 
         return run
 
-    cut = append_arrow(docs, [F.col("text")], "__pieces array<struct<n:bigint,crc:bigint>>", make, keep)
+    # one operator of Python: a task of two would keep two workers, and so their memory
+    cut = append_arrow(docs, [F.col("text")], "__pieces array<struct<n:bigint,crc:bigint,part:int,rank:bigint>>", make, keep)
     flat = cut.select(*map(quoted, keep), F.posexplode("__pieces").alias("piece", "__p"))
     return flat.select(
-        *map(quoted, keep), "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.col("__p.n").alias("length"), F.col("__p.crc").alias("ids_crc32")
-    )
+        *map(quoted, keep), "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.col("__p.n").alias("length"), F.col("__p.crc").alias("ids_crc32"),
+        F.col("__p.part").alias("__part"), F.col("__p.rank").alias("__rank"),
+    )
 
 
 def price(weights: np.ndarray, capacity: int) -> list[int]:
@@ -263,21 +275,7 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY,
     """
     keep = ["doc_id"] if keep is None else keep
     path = path or public_tokenizers.path(TOKENIZER)
-    cut = pieces_of(docs, path, capacity, keep)
-
-    def number():
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
-
-        def run(lengths):
-            rank = []
-            for n in lengths.to_pylist():
-                rank.append(seen[n])
-                seen[n] += 1
-            return [pa.array([part] * len(rank), pa.int32()), pa.array(rank, pa.int64())]
-
-        return run
-
-    stored = Stored(append_arrow(cut, [F.col("length")], "__part int, __rank long", number)).df
+    stored = Stored(pieces_of(docs, path, capacity, keep)).df
     counts = Stored(stored.groupBy("length", "__part").agg(F.count("*").alias("__n"))).df
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     slots: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # by length: items before, first sequence, items in each, offset
